@@ -64,7 +64,7 @@ def benchmark_windows(items: DataFrame, ngram: int, id_col: str = "item_id", tex
     """Every distinct window: its words, length, fingerprint and the items that have it."""
     own = items.select(F.col(id_col).cast("string").alias("_item"), words(F.col(text_col)).alias("_ws")).where(F.size("_ws") > 0)
     own = own.withColumn("_len", F.least(F.size("_ws"), F.lit(ngram)))
-    cut = own.select("_item", "_len", F.explode(F.transform(F.sequence(F.lit(1), F.size("_ws") - F.col("_len") + 1), lambda i: F.slice("_ws", i, F.col("_len")))).alias("_win"))
+    cut = own.select("_item", "_len", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("_ws") - F.col("_len") + 1), lambda i: F.slice("_ws", i, F.col("_len")))).alias("_win"))
     return cut.groupBy("_win", "_len").agg(F.collect_set("_item").alias("_items"))
 
 
@@ -94,24 +94,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, ngram: int = 10, id_col: st
     windows = checkpointed(_fingerprinted(raw, lengths))
     marks = small(windows.select("_fp").distinct(), BROADCAST_ROWS)
 
-    # 1. winnow the documents; ids and positions only leave this stage
-    ws = own.select("doc_id", "_key", words(F.col("_text")).alias("_ws")).where(F.size("_ws") >= min(lengths))
+    # 1. winnow the documents; ids and positions only leave this stage. explode_outer, because for
+    # explode() the optimizer infers a filter that would repeat the array expressions inside lambdas.
+    ws = own.select("doc_id", "_key", words(F.col("_text")).alias("_ws"))
     grams = ws.select("doc_id", "_key", *(_packed(F.col("_ws"), F.size("_ws"), n).alias(f"_g{n}") for n in lengths))
     picked = grams.select("doc_id", "_key", *(_selected(F.col(f"_g{n}"), n).alias(f"_p{n}") for n in lengths))
     marked = None
     for n in lengths:
-        one = picked.select("doc_id", "_key", F.explode(f"_p{n}").alias("_at")).withColumn("_len", F.lit(n))
+        one = picked.select("doc_id", "_key", F.explode_outer(f"_p{n}").alias("_at")).withColumn("_len", F.lit(n))
         marked = one if marked is None else marked.unionByName(one)
     marked = marked.withColumn("_fp", F.shiftrightunsigned("_at", POS_BITS))
     hits = marked.join(marks, "_fp").groupBy("doc_id", "_key").agg(
         F.collect_set(F.struct("_len", F.col("_at").bitwiseAND(F.lit(POS_MASK)).cast("int").alias("pos"))).alias("_hits")
     )
-    hits = checkpointed(hits)
+    hits = checkpointed(hits.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_hits"))
 
     # 2. extend each hit to the stretches around it; compare their words with the windows
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_key"] == b["_key"])
-    few = small(hits, BROADCAST_ROWS)
-    near = own.join(few, same(own, few)).select(own["doc_id"], own["_key"], words(own["_text"]).alias("_ws"), few["_hits"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
+    near = own.join(small(hits, BROADCAST_ROWS), same).select("doc_id", "_key", words(F.col("_text")).alias("_ws"), "_hits")
 
     def around(hit: Column) -> Column:
         k = F.least(hit["_len"], F.lit(K))
@@ -121,7 +121,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, ngram: int = 10, id_col: st
     near = near.withColumn("_starts", F.array_distinct(F.flatten(F.transform("_hits", around))))
     cut = F.transform("_starts", lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), F.array_join(F.slice(F.col("_ws"), x["s"] + 1, x["n"]), " ").alias("w")))
     near = near.select("doc_id", "_key", cut.alias("_cut"), F.size("_ws").alias("_size"))
-    near = near.select("doc_id", "_key", F.explode("_cut").alias("_c")).select("doc_id", "_key", "_c.s", "_c.n", F.col("_c.w").alias("_window"))
+    near = near.select("doc_id", "_key", F.explode_outer("_cut").alias("_c")).select("doc_id", "_key", "_c.s", "_c.n", F.col("_c.w").alias("_window"))
     exact = near.join(small(windows.select("_window", "_items"), BROADCAST_ROWS), "_window")
     found = exact.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("s", "n")).alias("_at"), F.collect_set("_items").alias("_items"))
     return _finished(base, found)
