@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .op1_decontamination import SQL as SQL1, op1_decontamination
+from .op10_near_dedup import op10_near_dedup
 from .op2_bpe import op2_bpe
 from .op7_exact_dedup import SQL as SQL7, op7_exact_dedup
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op7_exact_dedup, op10_near_dedup)}
 SQL = {"op1_decontamination": SQL1, "op7_exact_dedup": SQL7}
