@@ -5,9 +5,10 @@ from __future__ import annotations
 from .op1_decontamination import SQL as SQL1, op1_decontamination
 from .op10_near_dedup import op10_near_dedup
 from .op2_bpe import op2_bpe
+from .op5_token_files import op5_token_files
 from .op7_exact_dedup import SQL as SQL7, op7_exact_dedup
 from .op8_line_dedup import SQL as SQL8, op8_line_dedup
 from .op9_toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op7_exact_dedup, op8_line_dedup, op9_toxicity, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op5_token_files, op7_exact_dedup, op8_line_dedup, op9_toxicity, op10_near_dedup)}
 SQL = {"op1_decontamination": SQL1, "op7_exact_dedup": SQL7, "op8_line_dedup": SQL8}
