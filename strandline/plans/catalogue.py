@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import relational
+
+QUERIES: dict = dict(relational.QUERIES)
+SQL: dict[str, str] = dict(relational.SQL)
