@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import analytics, relational
 
-QUERIES: dict = dict(relational.QUERIES)
-SQL: dict[str, str] = dict(relational.SQL)
+QUERIES: dict = {**relational.QUERIES, **analytics.QUERIES}
+SQL: dict[str, str] = {**relational.SQL, **analytics.SQL}
