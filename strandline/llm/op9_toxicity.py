@@ -329,9 +329,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """The rows with score, of their whole texts, and predicted (1 from 0.5 up).
 
     Null and empty texts get the score of a text without words. Columns named score or predicted are
-    replaced, all others pass through; repeated rows each get a score.
+    replaced (and _scored left out), all others pass through; repeated rows each get a score.
     """
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = [c for c in docs.columns if c not in ("score", "predicted", "_scored")]
     own = docs.select(*(F.col(f"`{c}`") for c in names), F.coalesce("text", F.lit("")).alias("_scored"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: lexicon and tree sizes are parameters
 
