@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import changes, consensus, features, graph, match, quality
+from ..operators import changes, consensus, features, graph, lineage, match, quality
 from ..session import table
 
 QUERIES: dict = {}
@@ -329,3 +329,72 @@ def report_rows(spark, sf_dir):
     return out.select(
         F.col("component").alias("role"), F.col("left").alias("left_address"), F.col("right").alias("right_address"), scalar.hex_address(F.col("left")).alias("shown"), "decision", "strength", F.coalesce("source", F.lit("UNKNOWN")).alias("right_source")
     )
+
+
+def _lineage_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as functions of four builds for each source; a function is matched to its successor."""
+    docs = table(spark, sf_dir, "documents")
+    left, right = features.documents_as_functions(docs)
+    fn = left.unionByName(right).withColumn("v", F.floor(F.col("entry") / 20) % 4)
+    product, name = F.split_part("component", F.lit(":"), F.lit(2)), lambda c: c.cast("string")
+    functions = fn.select(
+        product.alias("product"), F.concat(F.lit("b"), name(F.col("v"))).alias("build"), name(F.col("entry")).alias("fn"), F.col("normalized_hash").alias("hash"), "insn_count", "mnemonics", "cfg_blocks", "cfg_edges", "cyclomatic", "cfg_hash",
+        F.array(name(F.col("entry") + 80)).alias("callees"), F.array(name(F.col("entry") - 80)).alias("callers"), "callee_names", "imports", "strings", "constants", "name", "size",
+    )
+    builds = functions.select("product", "build").distinct().withColumn("ord", F.substring("build", 2, 9).cast("int") + 1)
+    i = F.col("entry")
+    decision = F.get(F.array(*(F.lit(d) for d in ("EXACT", "STRONG", "PROBABLE", "AMBIGUOUS", "UNRESOLVED"))), (F.floor(i / 20) % 5).cast("int"))
+    own = fn.where("v < 3").select(
+        product.alias("product"), F.concat(F.lit("b"), name(F.col("v"))).alias("left_build"), F.concat(F.lit("b"), name(F.col("v") + 1)).alias("right_build"), name(i).alias("left"), name(i + 20).alias("successor"), decision.alias("decision"), (i % 4).cast("int").alias("diversity")
+    )
+    there = functions.select("product", F.col("fn").alias("successor"))
+    matched = F.col("decision") != "UNRESOLVED"
+    offers = F.array(F.struct(F.col("successor").alias("other"), F.lit(0.7).alias("score")))
+    claims = own.join(there, ["product", "successor"]).select("product", "left_build", "right_build", "left", F.when(matched, F.col("successor")).alias("right"), "decision", "diversity", F.lit(False).alias("merge_candidate"), offers.alias("candidates"))
+    taken = claims.where("right IS NOT NULL").select("product", "right")
+    rest = functions.where("build <> 'b0'").select("product", F.col("build").alias("right_build"), F.col("fn").alias("right")).join(taken, ["product", "right"], "left_anti")
+    lone = rest.select(
+        "product", F.concat(F.lit("b"), (F.substring("right_build", 2, 9).cast("int") - 1).cast("string")).alias("left_build"), "right_build", F.lit(None).cast("string").alias("left"), "right", F.lit("UNRESOLVED").alias("decision"), F.lit(0).alias("diversity"), F.lit(False).alias("merge_candidate"),
+        F.array(F.struct((F.col("right").cast("long") - 20).cast("string").alias("other"), F.lit(0.5).alias("score"))).alias("candidates"),
+    )
+    return builds, functions, claims.unionByName(lone)
+
+
+@query()
+def lineage_fold(spark, sf_dir):
+    """Lineages of documents over four builds of each source: relations by build."""
+    out = lineage.fold(*_lineage_inputs(spark, sf_dir))
+    return out.groupBy("product", "build", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def resurrection_assess(spark, sf_dir):
+    """Every graded pairing of a function of the first build with one of the last, by source."""
+    _, functions, _ = _lineage_inputs(spark, sf_dir)
+    old = lineage._structs(functions.where("build = 'b0'"), "old").withColumnRenamed("old_fn", "lineage")
+    new = lineage._structs(functions.where("build = 'b3'"), "new").withColumnRenamed("new_fn", "fn")
+    near = old.join(new, "product").where(F.abs(F.col("lineage").cast("long") - F.col("fn").cast("long")) <= 120)
+    none = F.array().cast("array<string>")
+    graded = lineage.assess(near.withColumns({"old_callers": none, "new_callers": none, "rollback": F.lit(False)}))
+    return graded.select("product", "lineage", "fn", "status", "contradicted")
+
+
+CAPACITY = "c AS (SELECT i // 4000 AS build, 4096 + 16 * (i % 4000) AS address, CASE WHEN i % 50 = 0 THEN 'fn_' || i END AS name, sha256(CAST(i % 4000 AS VARCHAR)) AS hash FROM range(1000000) t(i))"
+
+
+def _capacity(spark) -> DataFrame:
+    """250 builds of 4,000 functions: the published capacity set of class M."""
+    i = F.col("id")
+    return spark.range(1_000_000).select(F.floor(i / 4000).alias("build"), (4096 + 16 * (i % 4000)).alias("address"), F.when(i % 50 == 0, F.concat(F.lit("fn_"), i.cast("string"))).alias("name"), F.sha2((i % 4000).cast("string"), 256).alias("hash"))
+
+
+@query(f"WITH {CAPACITY} SELECT build, count(*) AS n, count(DISTINCT hash) AS n_hash, count(name) AS n_named FROM c GROUP BY ALL")
+def capacity_load(spark, sf_dir):
+    """A million function rows counted by build."""
+    return _capacity(spark).groupBy("build").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("hash").alias("n_hash"), F.count("name").alias("n_named"))
+
+
+@query(f"WITH {CAPACITY} SELECT build, address, name FROM c WHERE contains(name, '9950') ORDER BY build, address LIMIT 50")
+def capacity_search(spark, sf_dir):
+    """Substring search over a million function rows."""
+    return _capacity(spark).where(F.col("name").contains("9950")).select("build", "address", "name").orderBy("build", "address").limit(50)
