@@ -1,0 +1,58 @@
+"""The package's queries on the smallest tables, and the pipeline against brute force."""
+
+import pytest
+from oracle import SF, same_rows
+
+from strandline.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    same_rows(spark, queries.QUERIES[name], queries.SQL[name])
+
+
+def test_pipeline_keeps_clean_documents_and_drops_the_others(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import random
+
+    rnd = random.Random(1)
+    letters = "abcdefghij"
+    word = lambda: "".join(rnd.choice(letters) for _ in range(5))
+    text = lambda n: "\n".join(" ".join(word() for _ in range(8)) for _ in range(n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = [(k, text(6)) for k in range(60)]
+    bench = " ".join(word() for _ in range(20))
+    labels = []
+    for k in range(100, 160):
+        docs.append((k, text(4) + " vilething " + text(1) + " vilethings vilething"))
+        labels.append((k, 1))
+    labels += [(k, 0) for k in range(60)]
+    docs += [(200, docs[3][1].replace("\n", " ") + " more"), (201, "x " + bench.upper() + " y"), (202, None), (203, ""), (204, docs[5][1].split("\n", 3)[0] + "\n" + text(2)), (205, docs[7][1] + "\n" + text(4))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], schema)
+    folder = str(tmp_path)
+    df.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    at, kept = df, {}
+    for name, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, folder).cache()
+        kept[name] = {r["doc_id"] for r in at.select("doc_id").collect()}
+        if name != "bpe":
+            assert at.columns == df.columns
+    clean = set(range(60))
+    assert clean <= kept["bpe"] and {202, 203} <= kept["near dedup"] and 204 in kept["bpe"]
+    assert not kept["toxicity"] & set(range(100, 160))
+    assert 200 not in kept["near dedup"] and 205 in kept["bpe"] and 201 in kept["near dedup"] and 201 not in kept["benchmark decontamination"]
+    rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert set(rows) == kept["bpe"]
+    import hashlib
+
+    assert rows[1]["decoded_sha256"] == hashlib.sha256(docs[1][1].encode()).hexdigest()
+    assert rows[205]["decoded_sha256"] == hashlib.sha256("\n".join(docs[-1][1].split("\n")[6:]).encode()).hexdigest()
+
+
+def test_stages_of_nothing(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
