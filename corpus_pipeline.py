@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import shared_dir, table
 from strandline.llm.op1_decontamination import decontaminate
-from strandline.llm.op2_bpe import decode, digests, encode
+from strandline.llm.op2_bpe import digests, round_trip
 from strandline.llm.op8_line_dedup import dedup_lines
 from strandline.llm.op9_toxicity import score, train
 from strandline.llm.op10_near_dedup import near_components
@@ -21,39 +21,37 @@ from strandline.llm.op10_near_dedup import near_components
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with these ids, columns as they are."""
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select(*COLUMNS)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not predict as toxic."""
+    docs = docs.select(*COLUMNS)
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).where("predicted = 0").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less their repeated three-line passages; documents with nothing else in them go."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs.select(*COLUMNS))
     left = (F.col("n_removed") == 0) | (F.trim("text") != "")
     return out.where(left).select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id."""
+    docs = docs.select(*COLUMNS)
     kept = near_components(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return _rows(docs, kept)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    docs = docs.select(*COLUMNS)
     hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti").select(*COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, with the digests of the ids and of the text that they decode to."""
-    return digests(decode(encode(docs)))
+    return digests(round_trip(docs))
 
 
 STAGES = [

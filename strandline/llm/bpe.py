@@ -9,6 +9,8 @@ import mmap
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: White space as the tokenizers library sees it (Unicode White_Space).
@@ -17,24 +19,9 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-#: A space beside other white space, where a cut before the space may part a pre-token.
-UNSAFE = re.compile(rf" [{SPACE}]|[{SPACE}] ")
 NONE = np.int32(2**31 - 1)
 
 
-def chunks(text: str) -> list[str]:
-    """Pieces of the text that no pre-token spans: encoding them one by one encodes the text.
-
-    A pre-token holds a space only at its start, so a text can be cut before every space that
-    stands between two other characters. Texts with longer runs of white space are cut into
-    their pre-tokens.
-    """
-    if UNSAFE.search(text):
-        return PRE_TOKEN.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
-
-
 class IntMap:
     """A read-only map from non-negative int64 keys to int32 pairs, looked up by the array."""
 
@@ -297,57 +284,146 @@ def vocabulary_at(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class ChunkTable:
+    """Texts to ids by their distinct chunks, in Arrow and numpy.
+
+    A pre-token holds a space only at its start, so a text can be cut before every space that stands
+    between two other characters; encoding the chunks one by one then encodes the text. Texts with
+    longer runs of white space are cut into their pre-tokens.
+
+    Arrow cuts a batch of texts at its spaces and finds the distinct pieces; only those are looked
+    up, and only those that were never seen go to `learn`, which gives the ids of each. The ids of all
+    texts are then gathered from one flat array. Up to `most` chunks are remembered.
+    """
+
+    #: SPACE in the syntax of Arrow's regular expressions.
+    _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+    def __init__(self, learn, most: int):
+        self.learn, self.most = learn, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.starts, self.sizes, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32), 0
+
+    def _slots_of(self, names: list[str]) -> np.ndarray:
+        get = self.slots.get
+        found = list(map(get, names))
+        new = list(dict.fromkeys(n for n, k in zip(names, found) if k is None))
+        if new:
+            if len(self.slots) + len(new) > self.most and self.slots:
+                self.forget()
+                return self._slots_of(names)
+            self._add(new)
+            found = list(map(self.slots.__getitem__, names))
+        return np.array(found, np.int64)
+
+    def _add(self, new: list[str]) -> None:
+        sizes, flat = self.learn(new)
+        n, m = len(self.slots), int(sizes.sum())
+        while n + len(new) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.used + m > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.starts[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(new)] = sizes
+        self.flat[self.used : self.used + m] = flat
+        self.used += m
+        self.slots.update(zip(new, range(n, n + len(new))))
+
+    def encode(self, texts: pa.StringArray, odd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text begins and the end of all). Texts marked odd are left
+        without ids; their place is kept."""
+        unsafe = pc.match_substring_regex(texts, f" [{self._SPACE}]|[{self._SPACE}] ").to_numpy(zero_copy_only=False).astype(bool)
+        odd = np.zeros(len(texts), bool) if odd is None else odd
+        plain = np.flatnonzero(~unsafe & ~odd)
+        parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        ends, pieces = parts.offsets.to_numpy().astype(np.int64), parts.values
+        first = np.zeros(len(pieces), bool)
+        first[ends[:-1]] = True
+        coded = pieces.filter(pa.array(~first)).dictionary_encode()
+        slow = np.flatnonzero(unsafe & ~odd)
+        others = [PRE_TOKEN.findall(t) for t in texts.take(pa.array(slow)).to_pylist()]
+        names = [" " + x for x in coded.dictionary.to_pylist()]
+        heads = pieces.filter(pa.array(first)).to_pylist()
+        rest = [c for o in others for c in o]
+        slots = self._slots_of([*names, *heads, *rest])
+        here = np.empty(len(pieces), np.int64)
+        here[~first] = slots[: len(names)][coded.indices.to_numpy()]
+        here[first] = slots[len(names) : len(names) + len(heads)]
+        # the chunks of all texts, in the order of the texts
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain], counts[slow] = np.diff(ends), [len(o) for o in others]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        order = np.empty(bounds[-1], np.int64)
+        if len(slow):
+            for group, own in ((plain, here), (slow, slots[len(names) + len(heads) :])):
+                n = counts[group]
+                order[np.repeat(bounds[group] - (np.cumsum(n) - n), n) + np.arange(len(own))] = own
+        else:
+            order[:] = here
+        sizes = self.sizes[order].astype(np.int64)
+        out = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(self.starts[order] - out[:-1], sizes) + np.arange(out[-1])]
+        return ids, out[bounds]
+
+
 class Encoder:
-    """Texts to ids: known chunks from memory, then the lexicon, then exact merges."""
+    """Texts to ids: remembered chunks, then the lexicon, then exact merges."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most: int = 300_000):
-        self.vocabulary, self.lexicon, self.most = vocabulary, lexicon, most
-        self.known: dict[str, bytes] = {}
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most: int = 800_000):
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.table = ChunkTable(self._learned, most)
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new chunks, as little-endian int32 bytes."""
-        parts = [PRE_TOKEN.findall(c) for c in new]
+    def _learned(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids, one after the other, of new chunks."""
+        parts = [[c] if c.isalpha() or c[:1] == " " and c[1:].isalpha() else PRE_TOKEN.findall(c) for c in new]
         words = list(dict.fromkeys(w for p in parts for w in p))
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         numbers = self.lexicon.numbers(raw) if self.lexicon else np.full(len(raw), -1)
+        ids: list[np.ndarray] = [np.empty(0, np.int32)] * len(raw)
         unseen = np.flatnonzero(numbers < 0)
-        ids = dict(zip((words[i] for i in unseen), (x.tobytes() for x in self.vocabulary.merge([raw[i] for i in unseen]))))
-        for i in np.flatnonzero(numbers >= 0):
-            ids[words[i]] = self.lexicon.of(numbers[i]).tobytes()
-        for c, p in zip(new, parts):
-            self.known[c] = ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p])
-
-    def _pieces(self, text: str) -> list[str | int]:
-        split = self.vocabulary.split_special
-        if split is None or not split.search(text):
-            return chunks(text)
-        return [y for x in split.split(text) for y in ([self.vocabulary.specials[x]] if x in self.vocabulary.specials else chunks(x))]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian int32 bytes."""
-        out: list[bytes] = []
-        for group in groups(texts):
-            pieces = [self._pieces(t) for t in group]
-            if len(self.known) > self.most:
-                self.known.clear()
-            new = {c for p in pieces for c in p if c not in self.known}
-            for i in [x for x in new if isinstance(x, int)]:
-                self.known[i] = np.int32(i).tobytes()  # a special token
-                new.discard(i)
-            self._learn(list(new))
-            get = self.known.__getitem__
-            out += [b"".join(map(get, p)) for p in pieces]
-        return out
-
-
-def groups(texts: list[str], most: int = 1_000_000) -> list[list[str]]:
-    """Runs of texts of about so many characters, or one longer text."""
-    out: list[list[str]] = []
-    size = most
-    for t in texts:
-        if size + len(t) > most:
-            out.append([])
-            size = 0
-        out[-1].append(t)
-        size += len(t)
-    return out
+        for i, x in zip(unseen.tolist(), self.vocabulary.merge([raw[i] for i in unseen])):
+            ids[i] = x
+        for i in np.flatnonzero(numbers >= 0).tolist():
+            ids[i] = self.lexicon.of(numbers[i])
+        at = dict(zip(words, range(len(words))))
+        order = np.fromiter((at[w] for p in parts for w in p), np.int64)
+        per_word = np.fromiter(map(len, ids), np.int64, len(ids))
+        starts = np.cumsum(per_word) - per_word
+        flat = np.concatenate([np.empty(0, np.int32), *ids])
+        sizes = per_word[order]
+        out = np.cumsum(sizes) - sizes
+        own = flat[np.repeat(starts[order] - out, sizes) + np.arange(int(sizes.sum()))]
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(count)])]
+        return np.diff(ends), own
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text begins and the end of all."""
+        odd = np.zeros(len(texts), bool)
+        for word in self.vocabulary.specials:
+            odd |= pc.match_substring(texts, word).to_numpy(zero_copy_only=False).astype(bool)
+        ids, bounds = self.table.encode(texts, odd)
+        return with_odd(ids, bounds, {int(i): self._spelt(texts[int(i)].as_py()) for i in np.flatnonzero(odd)})
+
+    def _spelt(self, text: str) -> np.ndarray:
+        """Ids of a text that spells out special tokens."""
+        parts = self.vocabulary.split_special.split(text)
+        known = self.vocabulary.specials
+        own = [np.array([known[x]], np.int32) if x in known else self.table.encode(pa.array([x], pa.string()))[0] for x in parts]
+        return np.concatenate(own)
+
+
+def with_odd(ids: np.ndarray, bounds: np.ndarray, odd: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Put the ids of odd texts into their places."""
+    if not odd:
+        return ids, bounds
+    sizes = np.diff(bounds)
+    parts, at = [], 0
+    for i, x in sorted(odd.items()):
+        parts += [ids[bounds[at] : bounds[i]], x.astype(ids.dtype)]
+        sizes[i], at = len(x), i
+    parts.append(ids[bounds[at] :])
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .bpe import Encoder, Lexicon, Vocabulary, vocabulary_at
 from .common import table
 
-#: Words in the lexicon; its file takes about 40 bytes a word.
-LEXICON_WORDS = 32_768
+#: Of a corpus's characters, a word of the lexicon opens one in so many: with its space it takes two
+#: of them at least, so there are at most half as many words; its file takes about 40 bytes a word.
+ONE_IN = 200_000
 
 
 def vocabulary_path() -> str:
@@ -32,11 +33,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def frequent_words(docs: DataFrame, n: int, text_col: str = "text") -> list[str]:
-    """The n most frequent words of letters between spaces, counted over all texts."""
+def frequent_words(docs: DataFrame, one_in: int = ONE_IN, text_col: str = "text") -> list[str]:
+    """The words of letters between spaces that are frequent enough, counted over all texts."""
+    size = docs.agg(F.sum(F.length(F.col(text_col)).cast("long"))).first()[0] or 0
     words = docs.select(F.explode_outer(F.split(F.col(text_col), " ")).alias("w"))
-    counted = words.groupBy("w").count().where(F.col("w").rlike(r"^\p{L}{1,40}$"))
-    return [r["w"] for r in counted.orderBy(F.desc("count"), "w").limit(n).collect()]
+    counted = words.groupBy("w").count().where((F.col("count") * one_in >= size) & F.col("w").rlike(r"^\p{L}+$"))
+    return sorted(r["w"] for r in counted.collect())
 
 
 def lexicon_file(spark: SparkSession, words: list[str], vocabulary: Vocabulary) -> str:
@@ -61,7 +63,23 @@ def _encoder(path: str, lexicon: str) -> Encoder:
     return _held[path, lexicon]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+def _encoded(path: str, lexicon: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(path, lexicon)
+    for batch in batches:
+        for part in _slices(batch):
+            flat, ends = encoder.encode(part.column(1))
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+
+
+def _decoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of = vocabulary_at(path).token_bytes.__getitem__
+    for batch in batches:
+        texts = [b"".join(map(of, x)).decode("utf-8", "replace") for x in _lists(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, one_in: int = ONE_IN) -> DataFrame:
     """doc_id and ids (array of int) of each whole text.
 
     Null and empty texts have no ids. Special tokens spelt out in a text become their ids. Repeated
@@ -70,23 +88,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """
     spark = docs.sparkSession
     path = vocabulary or vocabulary_path()
-    name = lexicon_file(spark, frequent_words(docs, lexicon_words, text_col), vocabulary_at(path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, name)
-        for batch in batches:
-            for part in _slices(batch):
-                raw = encoder.encode(part.column(1).to_pylist())
-                ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+    name = lexicon_file(spark, frequent_words(docs, one_in, text_col), vocabulary_at(path))
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return own.mapInArrow(lambda batches: _encoded(path, name, batches), f"doc_id {kind}, ids array<int>")
 
 
-def _slices(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many bytes of text at most, or one longer text."""
     import pyarrow.compute as pc
 
@@ -99,6 +108,16 @@ def _slices(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordB
         at = end
 
 
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, one_in: int = ONE_IN) -> DataFrame:
+    """doc_id, ids and text as decode(encode(docs)) has them, by the same worker."""
+    spark = docs.sparkSession
+    path = vocabulary or vocabulary_path()
+    name = lexicon_file(spark, frequent_words(docs, one_in, text_col), vocabulary_at(path))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    return own.mapInArrow(lambda batches: _decoded(path, _encoded(path, name, batches)), f"doc_id {kind}, ids array<int>, text string")
+
+
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids and text: the bytes of the ids, read as UTF-8 (wrong bytes become U+FFFD).
 
@@ -106,15 +125,9 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
     """
     path = vocabulary or vocabulary_path()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = vocabulary_at(path).token_bytes.__getitem__
-        for batch in batches:
-            texts = [b"".join(map(of, x or ())).decode("utf-8", "replace") for x in _lists(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
-
     own = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+    return own.mapInArrow(lambda batches: _decoded(path, batches), f"doc_id {kind}, ids array<int>, text string")
 
 
 def _lists(column: pa.ListArray) -> Iterator[list[int]]:
@@ -130,4 +143,4 @@ def digests(decoded: DataFrame) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(table(spark, sf_dir, "documents"))))
+    return digests(round_trip(table(spark, sf_dir, "documents")))

@@ -1,8 +1,8 @@
 """Token-id output: documents in ascending id order, as blocks of a static rANS.
 
 1. Texts are dealt to ranges of doc_id, sorted, encoded with the tokenizers library and written as
-   plain ids, each with its place in its range. The library sees every distinct chunk (bpe.chunks)
-   once while a worker remembers it; ids are those of the whole text.
+   plain ids, each with its place in its range. The library sees every distinct chunk
+   (bpe.ChunkTable) once while a worker remembers it; ids are those of the whole text.
 2. All ids are counted; the counts, one for each id of the vocabulary, make the shared table.
 3. Runs of whole documents of about BLOCK ids become independent blocks (rans.py): a row of a
    Parquet folder with the payload, the documents' ids and sizes, and CRCs of payload and ids.
@@ -16,14 +16,16 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .bpe import chunks, groups
+from .bpe import ChunkTable, with_odd
 from .common import shared_dir, staged, table
 from .op2_bpe import _slices, vocabulary_path
 
@@ -35,33 +37,34 @@ BLOCKS = (
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, as little-endian uint32 bytes; chunks are remembered."""
+    """Ids by the tokenizers library; each distinct chunk goes to it once while it is remembered."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.table = ChunkTable(self._learned, most)
 
-    def _of(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learned(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return sizes, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for group in groups(texts):
-            # a text that spells out an added token is cut by the library itself
-            pieces = [[t] if any(a in t for a in self.added) else chunks(t) for t in group]
-            if len(self.known) > self.most:
-                self.known.clear()
-            new = list({c for p in pieces for c in p if c not in self.known})
-            self.known.update(zip(new, self._of(new)))
-            get = self.known.__getitem__
-            out += [b"".join(map(get, p)) for p in pieces]
-        return out
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text begins and the end of all.
+
+        A text that spells out an added token is cut by the library itself.
+        """
+        odd = np.zeros(len(texts), bool)
+        for word in self.added:
+            odd |= pc.match_substring(texts, word).to_numpy(zero_copy_only=False).astype(bool)
+        ids, bounds = self.table.encode(texts, odd)
+        return with_odd(ids, bounds, {int(i): self._learned([texts[int(i)].as_py()])[1] for i in np.flatnonzero(odd)})
 
 
 _held: dict[str, LibraryEncoder] = {}
@@ -84,16 +87,17 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row, offset = _encoder(path), 0, 0
         kind = np.uint16 if encoder.size <= 1 << 16 else np.uint32
-        tail = np.array([end], np.uint32).tobytes()
         for batch in batches:
             for part in _slices(batch):
-                raw = [x + tail for x in encoder.encode(part.column(1).to_pylist())]
-                sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-                offsets = offset + np.cumsum(sizes) - sizes
-                ids = [np.frombuffer(x, np.uint32).astype(kind).tobytes() for x in raw]
-                columns = [pa.array(np.arange(row, row + len(raw))), pa.array(offsets), part.column(0), pa.array(ids, pa.binary())]
+                flat, ends = encoder.encode(part.column(1))
+                n = part.num_rows
+                flat, ends = np.insert(flat.astype(kind), ends[1:], end), ends + np.arange(n + 1)  # the end id after each
+                raw = flat.tobytes()
+                cuts = (ends * flat.itemsize).tolist()
+                ids = pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+                columns = [pa.array(np.arange(row, row + n)), pa.array(offset + ends[:-1]), part.column(0), ids]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "offset", "doc_id", "ids"])
-                row, offset = row + len(raw), offset + int(sizes.sum())
+                row, offset = row + n, offset + int(ends[-1])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

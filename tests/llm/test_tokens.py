@@ -6,13 +6,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from strandline.llm import bpe, rans
 from strandline.llm.op2_bpe import decode, encode, round_trip, vocabulary_path
 from strandline.llm.op3_chat_format import escape, escape_role, format_chats, read_chats, unescape, unescape_role
-from strandline.llm.op5_token_files import read_blocks, write_tokens
+from strandline.llm.op5_token_files import LibraryEncoder, read_blocks, write_tokens
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LETTERS = " \n\t\r\x0b\x1c\x85  　aabbtheing'sS'tredé世界🙂½²Ⅷ٣_-.!?0123​́﻿"
@@ -32,8 +33,13 @@ def texts():
 
 def test_words_are_merged_as_the_library_merges_them(library):
     own = texts()
-    got = bpe.Encoder(bpe.vocabulary_at(vocabulary_path())).encode(own)
-    assert [np.frombuffer(x, np.int32).tolist() for x in got] == [e.ids for e in library.encode_batch(own, add_special_tokens=False)]
+    want = [e.ids for e in library.encode_batch(own, add_special_tokens=False)]
+    for most in (100, 10**6):  # with and without forgetting
+        for encoder in (bpe.Encoder(bpe.vocabulary_at(vocabulary_path()), most=most), LibraryEncoder(vocabulary_path(), most)):
+            for _ in range(2):
+                ids, ends = encoder.encode(pa.array(own, pa.string()))
+                assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+            assert len(encoder.encode(pa.array([], pa.string()))[0]) == 0
 
 
 def test_lexicon_is_minimal_and_exact(tmp_path):
