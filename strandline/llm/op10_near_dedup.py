@@ -37,11 +37,13 @@ M, BANDS, ROWS = 256, 32, 6
 SLACK = 0.10
 #: Members of a bucket that one task compares.
 BLOCK = 1024
+#: Members of a bucket up to which one pivot does.
+FEW = 8
 #: Ids broadcast at most, 8 bytes each.
 BROADCAST_ROWS = 500_000
 
 
-def _texts(batch: pa.RecordBatch, column: int, most: int = 8_000_000) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _texts(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, shingle sets) of slices of a batch, each of about so many bytes or one text."""
     texts = batch.column(column)
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -93,11 +95,13 @@ def _put_forward(whole: bool):
         if not whole:
             if lo != hi:
                 return v[:0], v[:0]
-            agree = np.zeros(len(v))
-            for c in range(0, M, 4):  # agreement with the values most common in the bucket
-                _, inverse, count = np.unique(marks[:, c], return_inverse=True, return_counts=True)
-                agree += count[inverse]
-            rows = np.unique([0, int(agree.argmax())])
+            rows = np.zeros(1, np.int64)
+            if len(v) > FEW:  # besides the least id, the one that agrees most with the bucket's most common values
+                agree = np.zeros(len(v))
+                for c in range(0, M, 4):
+                    count = np.bincount(marks[:, c], minlength=256)
+                    agree += count[marks[:, c]]
+                rows = np.unique([0, int(agree.argmax())])
         else:
             rows = np.arange(len(v))
         got: list[tuple[np.ndarray, np.ndarray]] = []

@@ -268,7 +268,7 @@ class Model:
         return self.calibrated(self.trees.raw(features(data, starts, self.keys, self.weights)))
 
 
-def _slices(texts: pa.StringArray, most: int = 4_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _slices(texts: pa.StringArray, most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, bytes, starts) of runs of texts of about so many bytes, or one longer text."""
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -299,14 +299,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = staged(texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]), "labelled")  # known is bounded by sample
 
-    early = rows.where("part IN (1, 2)").select("toxic", "text")
+    early = rows.where("part IN (1, 2)").select("toxic", "text").dropDuplicates()  # copies are one piece of evidence
     size = early.agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
     pos, neg = size["p"] or 0, (size["n"] or 0) - (size["p"] or 0)
     entries = []
     if pos and neg:
         counted = early.mapInArrow(_grams, "gram long, toxic long").groupBy("gram").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n"))
         weight = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("p") + 0.5) / (neg + 1))
-        counted = counted.where(F.col("p") >= max(3, pos // 100)).withColumn("w", weight).where("w >= 2")
+        counted = counted.where(F.col("p") >= max(3, pos // 70)).withColumn("w", weight).where("w >= 2")
         entries = counted.orderBy(F.desc(F.col("p") * F.col("w")), "gram").limit(lexicon).collect()
     keys = np.array([r["gram"] for r in entries], np.int64).view(np.uint64)
     order = np.argsort(keys)

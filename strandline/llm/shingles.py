@@ -87,7 +87,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int) -> list[np.nd
     return out
 
 
-def superminhash(sets: list[np.ndarray], m: int, block: int = 200_000) -> np.ndarray:
+def superminhash(sets: list[np.ndarray], m: int, block: int = 60_000) -> np.ndarray:
     """SuperMinHash signatures: row i holds the m values of set i (infinite for an empty set).
 
     Every element walks a random permutation of the m slots, and in step j brings j plus a random
