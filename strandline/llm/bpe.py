@@ -284,20 +284,8 @@ def vocabulary_at(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class ChunkTable:
-    """Texts to ids by their distinct chunks, in Arrow and numpy.
-
-    A pre-token holds a space only at its start, so a text can be cut before every space that stands
-    between two other characters; encoding the chunks one by one then encodes the text. Texts with
-    longer runs of white space are cut into their pre-tokens.
-
-    Arrow cuts a batch of texts at its spaces and finds the distinct pieces; only those are looked
-    up, and only those that were never seen go to `learn`, which gives the ids of each. The ids of all
-    texts are then gathered from one flat array. Up to `most` chunks are remembered.
-    """
-
-    #: SPACE in the syntax of Arrow's regular expressions.
-    _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+class Remembered:
+    """Ids of words: those seen before from flat arrays, new ones from `learn`, up to `most` of them."""
 
     def __init__(self, learn, most: int):
         self.learn, self.most = learn, most
@@ -307,14 +295,13 @@ class ChunkTable:
         self.slots: dict[str, int] = {}
         self.starts, self.sizes, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32), 0
 
-    def _slots_of(self, names: list[str]) -> np.ndarray:
-        get = self.slots.get
-        found = list(map(get, names))
+    def slots_of(self, names: list[str]) -> np.ndarray:
+        found = list(map(self.slots.get, names))
         new = list(dict.fromkeys(n for n, k in zip(names, found) if k is None))
         if new:
             if len(self.slots) + len(new) > self.most and self.slots:
                 self.forget()
-                return self._slots_of(names)
+                return self.slots_of(names)
             self._add(new)
             found = list(map(self.slots.__getitem__, names))
         return np.array(found, np.int64)
@@ -332,23 +319,55 @@ class ChunkTable:
         self.used += m
         self.slots.update(zip(new, range(n, n + len(new))))
 
+    def ids_of(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids, one after the other."""
+        return gathered(self.slots_of(names), self.starts, self.sizes, self.flat)
+
+
+def gathered(slots: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches flat[starts : starts + sizes] of the slots, one after the other, and their sizes."""
+    own = sizes[slots].astype(np.int64)
+    ends = np.cumsum(own)
+    return own, flat[np.repeat(starts[slots] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class TextCutter:
+    """Texts to ids by their distinct chunks, in Arrow and numpy.
+
+    A pre-token holds a space only at its start, so a text can be cut before every space that stands
+    between two other characters; encoding the chunks one by one then encodes the text. Arrow cuts a
+    batch of texts there and finds the distinct chunks. Chunks are remembered, and so are the words of
+    those that are new. Texts with longer runs of white space are cut into pre-tokens as a whole.
+    """
+
+    #: SPACE in the syntax of Arrow's regular expressions.
+    _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+    def __init__(self, words: Remembered, most: int):
+        self.words, self.chunks = words, Remembered(self._cut, most)
+
+    def _cut(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of chunks, one after the other."""
+        parts = [[c] if c.isalpha() or c[:1] == " " and c[1:].isalpha() else PRE_TOKEN.findall(c) for c in chunks]
+        sizes, ids = self.words.ids_of([w for p in parts for w in p])
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(count)])]), ids
+
     def encode(self, texts: pa.StringArray, odd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text begins and the end of all). Texts marked odd are left
         without ids; their place is kept."""
         unsafe = pc.match_substring_regex(texts, f" [{self._SPACE}]|[{self._SPACE}] ").to_numpy(zero_copy_only=False).astype(bool)
         odd = np.zeros(len(texts), bool) if odd is None else odd
-        plain = np.flatnonzero(~unsafe & ~odd)
+        plain, slow = np.flatnonzero(~unsafe & ~odd), np.flatnonzero(unsafe & ~odd)
         parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
         ends, pieces = parts.offsets.to_numpy().astype(np.int64), parts.values
         first = np.zeros(len(pieces), bool)
         first[ends[:-1]] = True
         coded = pieces.filter(pa.array(~first)).dictionary_encode()
-        slow = np.flatnonzero(unsafe & ~odd)
-        others = [PRE_TOKEN.findall(t) for t in texts.take(pa.array(slow)).to_pylist()]
         names = [" " + x for x in coded.dictionary.to_pylist()]
         heads = pieces.filter(pa.array(first)).to_pylist()
-        rest = [c for o in others for c in o]
-        slots = self._slots_of([*names, *heads, *rest])
+        others = [PRE_TOKEN.findall(t) for t in texts.take(pa.array(slow)).to_pylist()]
+        slots = self.chunks.slots_of([*names, *heads, *(c for o in others for c in o)])
         here = np.empty(len(pieces), np.int64)
         here[~first] = slots[: len(names)][coded.indices.to_numpy()]
         here[first] = slots[len(names) : len(names) + len(heads)]
@@ -356,63 +375,47 @@ class ChunkTable:
         counts = np.zeros(len(texts), np.int64)
         counts[plain], counts[slow] = np.diff(ends), [len(o) for o in others]
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        order = np.empty(bounds[-1], np.int64)
+        order = here
         if len(slow):
+            order = np.empty(bounds[-1], np.int64)
             for group, own in ((plain, here), (slow, slots[len(names) + len(heads) :])):
                 n = counts[group]
                 order[np.repeat(bounds[group] - (np.cumsum(n) - n), n) + np.arange(len(own))] = own
-        else:
-            order[:] = here
-        sizes = self.sizes[order].astype(np.int64)
-        out = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[order] - out[:-1], sizes) + np.arange(out[-1])]
-        return ids, out[bounds]
+        own, ids = gathered(order, self.chunks.starts, self.chunks.sizes, self.chunks.flat)
+        return ids, np.concatenate([[0], np.cumsum(own)])[bounds]
 
 
 class Encoder:
-    """Texts to ids: remembered chunks, then the lexicon, then exact merges."""
+    """Texts to ids: remembered words, then the lexicon, then exact merges."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most: int = 800_000):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most: int = 150_000):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.table = ChunkTable(self._learned, most)
+        self.cutter = TextCutter(Remembered(self._merged, most), most)
 
-    def _learned(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids, one after the other, of new chunks."""
-        parts = [[c] if c.isalpha() or c[:1] == " " and c[1:].isalpha() else PRE_TOKEN.findall(c) for c in new]
-        words = list(dict.fromkeys(w for p in parts for w in p))
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         numbers = self.lexicon.numbers(raw) if self.lexicon else np.full(len(raw), -1)
         ids: list[np.ndarray] = [np.empty(0, np.int32)] * len(raw)
-        unseen = np.flatnonzero(numbers < 0)
-        for i, x in zip(unseen.tolist(), self.vocabulary.merge([raw[i] for i in unseen])):
+        unseen = np.flatnonzero(numbers < 0).tolist()
+        for i, x in zip(unseen, self.vocabulary.merge([raw[i] for i in unseen])):
             ids[i] = x
         for i in np.flatnonzero(numbers >= 0).tolist():
             ids[i] = self.lexicon.of(numbers[i])
-        at = dict(zip(words, range(len(words))))
-        order = np.fromiter((at[w] for p in parts for w in p), np.int64)
-        per_word = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = np.cumsum(per_word) - per_word
-        flat = np.concatenate([np.empty(0, np.int32), *ids])
-        sizes = per_word[order]
-        out = np.cumsum(sizes) - sizes
-        own = flat[np.repeat(starts[order] - out, sizes) + np.arange(int(sizes.sum()))]
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(count)])]
-        return np.diff(ends), own
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate([np.empty(0, np.int32), *ids])
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text begins and the end of all."""
         odd = np.zeros(len(texts), bool)
         for word in self.vocabulary.specials:
             odd |= pc.match_substring(texts, word).to_numpy(zero_copy_only=False).astype(bool)
-        ids, bounds = self.table.encode(texts, odd)
+        ids, bounds = self.cutter.encode(texts, odd)
         return with_odd(ids, bounds, {int(i): self._spelt(texts[int(i)].as_py()) for i in np.flatnonzero(odd)})
 
     def _spelt(self, text: str) -> np.ndarray:
         """Ids of a text that spells out special tokens."""
         parts = self.vocabulary.split_special.split(text)
         known = self.vocabulary.specials
-        own = [np.array([known[x]], np.int32) if x in known else self.table.encode(pa.array([x], pa.string()))[0] for x in parts]
+        own = [np.array([known[x]], np.int32) if x in known else self.cutter.encode(pa.array([x], pa.string()))[0] for x in parts]
         return np.concatenate(own)
 
 

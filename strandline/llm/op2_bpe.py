@@ -95,7 +95,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     return own.mapInArrow(lambda batches: _encoded(path, name, batches), f"doc_id {kind}, ids array<int>")
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many bytes of text at most, or one longer text."""
     import pyarrow.compute as pc
 

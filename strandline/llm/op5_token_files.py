@@ -1,8 +1,8 @@
 """Token-id output: documents in ascending id order, as blocks of a static rANS.
 
 1. Texts are dealt to ranges of doc_id, sorted, encoded with the tokenizers library and written as
-   plain ids, each with its place in its range. The library sees every distinct chunk
-   (bpe.ChunkTable) once while a worker remembers it; ids are those of the whole text.
+   plain ids, each with its place in its range. The library sees every distinct word
+   (bpe.Remembered) once while a worker remembers it; ids are those of the whole text.
 2. All ids are counted; the counts, one for each id of the vocabulary, make the shared table.
 3. Runs of whole documents of about BLOCK ids become independent blocks (rans.py): a row of a
    Parquet folder with the payload, the documents' ids and sizes, and CRCs of payload and ids.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .bpe import ChunkTable, with_odd
+from .bpe import Remembered, TextCutter, with_odd
 from .common import shared_dir, staged, table
 from .op2_bpe import _slices, vocabulary_path
 
@@ -37,9 +37,9 @@ BLOCKS = (
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library; each distinct chunk goes to it once while it is remembered."""
+    """Ids by the tokenizers library; each distinct word goes to it once while it is remembered."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -48,7 +48,7 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.table = ChunkTable(self._learned, most)
+        self.cutter = TextCutter(Remembered(self._learned, most), most)
 
     def _learned(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
@@ -63,7 +63,7 @@ class LibraryEncoder:
         odd = np.zeros(len(texts), bool)
         for word in self.added:
             odd |= pc.match_substring(texts, word).to_numpy(zero_copy_only=False).astype(bool)
-        ids, bounds = self.table.encode(texts, odd)
+        ids, bounds = self.cutter.encode(texts, odd)
         return with_odd(ids, bounds, {int(i): self._learned([texts[int(i)].as_py()])[1] for i in np.flatnonzero(odd)})
 
 
