@@ -8,12 +8,13 @@
    blocks, and each pair of blocks is a task of its own; no task holds a whole hot bucket.
 4. First round: each member is paired with two pivots of its bucket. Pairs are verified on the full
    sets, links give components. Second round: every pair of a bucket's members that are not in one
-   component yet. A pair is put forward once, in the first band that its members share, and only if
-   the signatures agree as a linked pair's do (AGREE); all that are put forward are verified.
+   component yet. A pair is put forward once, in the first band whose hash its members share, and
+   only if the signatures' marks (a byte a value) agree in as many places as a linked pair's do
+   (SLACK); all that are put forward are verified.
 
-A pair at the threshold of 0.85 shares one of 32 bands of 6 with probability 1 - 3e-7 and reaches
-AGREE of 256 values with probability above 1 - 1e-5; SuperMinHash's variance is below MinHash's, so
-the true figures are better. Nothing else is left out: no bucket, group or number of partners is capped.
+By the binomial law of MinHash a pair at the threshold of 0.85 shares none of 32 bands of 6 with a
+probability of 2.7e-7 and agrees in fewer than 192 of 256 values with one of 1.1e-5; SuperMinHash's
+variance is below MinHash's. Nothing else is left out: no bucket, group or number of partners is capped.
 """
 
 from __future__ import annotations
@@ -88,10 +89,10 @@ def _put_forward(whole: bool):
     least = int(M * (PERCENT / 100 - SLACK))
 
     def of(key: tuple, own: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        v, n, label, block, marks = own["v"], own["n"], own["label"], own["block"], own["marks"]
+        v, n, label, block, marks, bands = (own[c] for c in ("v", "n", "label", "block", "marks", "bands"))
         _, lo, hi = key
         order = np.lexsort((v, block))
-        v, n, label, block, marks = v[order], n[order], label[order], block[order], marks[order]
+        v, n, label, block, marks, bands = v[order], n[order], label[order], block[order], marks[order], bands[order]
         if not whole:
             if lo != hi:
                 return v[:0], v[:0]
@@ -119,11 +120,10 @@ def _put_forward(whole: bool):
             i, j = np.nonzero(ok)
             for a in range(0, len(i), 20_000):
                 x, y = r[i[a : a + 20_000]], j[a : a + 20_000]
-                same = marks[x] == marks[y]
-                keep = same.sum(1) >= least
-                if band:
-                    keep &= ~same[:, : band * ROWS].reshape(len(x), band, ROWS).all(2).any(1)
-                got.append((v[x[keep]], v[y[keep]]))
+                keep = (marks[x] == marks[y]).sum(1) >= least
+                x, y = x[keep], y[keep]
+                first = ~(bands[x, :band] == bands[y, :band]).any(1)  # by the hashes that make buckets: marks can agree where bands do not
+                got.append((v[x[first]], v[y[first]]))
         if not got:
             return v[:0], v[:0]
         return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
@@ -133,6 +133,7 @@ def _put_forward(whole: bool):
             t = pa.Table.from_batches(rows)
             own = {c: t.column(c).to_numpy() for c in ("v", "n", "label", "block", "band")}
             own["marks"] = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(-1, M)
+            own["bands"] = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             a, b = of(key, own)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -219,13 +220,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = small(ids.withColumnRenamed("v", "id"), BROADCAST_ROWS)
     texts = own.join(few, "id", "left_semi").select(F.col("id").alias("v"), "text").dropDuplicates(["v"])
     texts = staged(texts, "candidates")
-    marks = members.join(ids, "v", "left_semi").select("v", "n", "marks").dropDuplicates(["v"])
+    marks = members.join(ids, "v", "left_semi").select("v", "n", "marks", "bands").dropDuplicates(["v"])
 
     def pairs(rows: DataFrame, whole: bool) -> DataFrame:
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("v"), blocks).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1) if whole else F.array("block")))
-        rows = rows.join(marks, "v").select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "v", "n", "label", "block", "band", "marks")
+        rows = rows.join(marks, "v").select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "v", "n", "label", "block", "band", "marks", "bands")
         dealt = rows.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
         return dealt.mapInArrow(_put_forward(whole), "a long, b long")
 

@@ -131,6 +131,18 @@ def test_near_dedup_of_a_hot_group_over_several_blocks(spark, monkeypatch):
     assert got == near_brute(rows)
 
 
+def test_near_dedup_of_pairs_whose_marks_agree_in_a_band_that_they_do_not_share(spark):
+    rows = []
+    for seed in (308, 520, 734, 1134, 1380):  # of seeds below 1,500, those with such a band before the first shared one
+        rnd = random.Random(seed)
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(130)]
+        own = list(base)
+        own[40], own[90] = "x", "y"
+        rows += [(2 * seed, " ".join(base)), (2 * seed + 1, " ".join(own))]
+    got = {r["doc_id"]: tuple(r)[1:] for r in near_components(frame(spark, rows)).collect()}
+    assert got == near_brute(rows) and sum(kept for _, _, kept in got.values()) == 5
+
+
 def test_near_dedup_of_nothing_and_of_repeated_and_missing_ids(spark):
     assert near_components(frame(spark, [])).collect() == []
     rows = near_components(frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "alone"), (None, None)])).collect()
