@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalar, stats
 from strandline.operators import consensus, graph, joins, lineage, match, quality, retention, search, versions
+from strandline.plans import analytics
 
 FEATURES = (
     "component string, entry long, insn_count int, mnemonics map<string,long>, normalized_hash string, cfg_blocks int, cfg_edges int, cyclomatic int, cfg_hash string, callees array<bigint>, callers array<bigint>, "
@@ -264,3 +265,22 @@ def test_near_duplicates_against_all_pairs(spark):
     got = joins.near_duplicates(spark.createDataFrame([(g, i) for g, s in sets.items() for i in s], "g int, i int"), "g", "i", 0.6)
     want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
     assert {(r["a"], r["b"], r["shared"]) for r in got.collect()} == want
+
+
+def test_modified_clusters_whole_unites_over_the_orders_of_all_classes(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(k, rnd.randrange(1, 60), rnd.randrange(1, 90)) for k in range(90)]  # only order 0 is of the class that modified_clusters takes
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parent = {}
+
+    def find(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for _, a, b in rows:
+        x, y = find(a), find(b + 1000000)
+        parent[max(x, y)] = min(x, y)
+    want = {v: find(v) for v in list(parent)}
+    got = analytics.modified_clusters_whole(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r["v"]: r["component"] for r in got} == want and len(set(want.values())) > 1
