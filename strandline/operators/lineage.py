@@ -28,6 +28,9 @@ JOIN = ("EXACT", "STRONG", "PROBABLE")
 SPLIT_MIN, MERGE_MIN, RETURN_MIN = 0.40, 0.60, 0.75
 TRIVIAL, DATA_ITEMS, DATA_SUPPORT, DATA_CONTRADICT = 8, 2, 0.8, 0.3
 
+#: Rows a side, about, that one task pairs with as many of the other side.
+PAIR_BLOCK = 1024
+
 ROWS = "product string, build string, lineage string, fn string, relation string, step int"
 
 
@@ -87,6 +90,21 @@ def resolve(graded: DataFrame) -> DataFrame:
     return out.select("product", "fn", "lineage", "score", status.alias("status"))
 
 
+def paired(old: DataFrame, new: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """Every row of old (product, lineage, ...) beside every row of new (product, fn, ...) of its product.
+
+    Each side of a product is dealt to blocks of about so many rows and each pair of blocks is a join
+    key of its own, so that no task pairs a whole product.
+    """
+    blocks = lambda side, n: side.groupBy("product").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    sizes = _kept(blocks(old, "_m").join(blocks(new, "_n"), "product"))
+    dealt = lambda by, n: F.pmod(F.xxhash64(by), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = old.join(sizes, "product").withColumn("_i", dealt("lineage", "_m")).withColumn("_j", every("_n")).drop("_m", "_n")
+    b = new.join(sizes, "product").withColumn("_j", dealt("fn", "_n")).withColumn("_i", every("_m")).drop("_m", "_n")
+    return a.join(b, ["product", "_i", "_j"]).drop("_i", "_j")
+
+
 def _structs(functions: DataFrame, name: str) -> DataFrame:
     fields = [F.col("hash").alias("normalized_hash"), *(c for c in functions.columns if c not in ("product", "build", "fn", "hash")), F.array().cast("array<bigint>").alias("linked")]
     return functions.select("product", F.col("fn").alias(f"{name}_fn"), F.struct(*fields).alias(name))

@@ -382,9 +382,8 @@ def resurrection_assess(spark, sf_dir):
     _, functions, _ = _lineage_inputs(spark, sf_dir)
     old = lineage._structs(functions.where("build = 'b0'"), "old").withColumnRenamed("old_fn", "lineage")
     new = lineage._structs(functions.where("build = 'b3'"), "new").withColumnRenamed("new_fn", "fn")
-    near = old.join(new, "product").where(F.abs(F.col("lineage").cast("long") - F.col("fn").cast("long")) <= 120)
     none = F.array().cast("array<string>")
-    graded = lineage.assess(near.withColumns({"old_callers": none, "new_callers": none, "rollback": F.lit(False)}))
+    graded = lineage.assess(lineage.paired(old, new).withColumns({"old_callers": none, "new_callers": none, "rollback": F.lit(False)}))
     return graded.select("product", "lineage", "fn", "status", "contradicted")
 
 

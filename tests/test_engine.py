@@ -284,3 +284,32 @@ def test_modified_clusters_whole_unites_over_the_orders_of_all_classes(spark, tm
     want = {v: find(v) for v in list(parent)}
     got = analytics.modified_clusters_whole(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r["v"]: r["component"] for r in got} == want and len(set(want.values())) > 1
+
+
+def test_paired_rows_are_all_of_a_product(spark):
+    old = [("p", f"o{k}", k) for k in range(23)] + [("q", "o0", 0), ("r", "alone", 1), (None, "n", 1)]
+    new = [("p", f"n{k}", k) for k in range(11)] + [("q", "n0", 0), ("q", "n1", 1), ("s", "alone", 1), (None, "n", 1)]
+    want = sorted((p, a, b, x, y) for p, a, x in old for q, b, y in new if p and p == q)
+    for block in (4, 1000):
+        got = lineage.paired(spark.createDataFrame(old, "product string, lineage string, old int"), spark.createDataFrame(new, "product string, fn string, new int"), block)
+        assert sorted(map(tuple, got.select("product", "lineage", "fn", "old", "new").collect())) == want
+
+
+def test_resurrection_is_assessed_whatever_the_distance_of_ids(spark, tmp_path):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(3))
+    text = lambda: "\n".join(" ".join(word() for _ in range(9)) for _ in range(3))
+    ids = [k for k in range(400) if k % 20 < 4] + [8060]
+    docs = {k: text() for k in ids}
+    docs[8060] = docs[0]
+    source = {k: f"s{k % 2}" for k in ids}
+    spark.createDataFrame([(k, docs[k], "en", source[k], len(docs[k])) for k in ids], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["product"], r["lineage"], r["fn"]): (r["status"], r["contradicted"]) for r in analytics.resurrection_assess(spark, str(tmp_path)).collect()}
+    first, last = ([k for k in ids if k // 20 % 4 == v] for v in (0, 3))
+    assert set(got) == {(source[a], str(a), str(b)) for a in first for b in last if source[a] == source[b]}
+    assert got["s0", "0", "8060"] == ("CANDIDATE", False)
+    _, fn, _ = analytics._lineage_inputs(spark, str(tmp_path))
+    a, b = lineage._structs(fn.where("build = 'b0'"), "old"), lineage._structs(fn.where("build = 'b3'"), "new")
+    none = F.array().cast("array<string>")
+    brute = a.crossJoin(b.withColumnRenamed("product", "p")).where("product = p").withColumns({"old_callers": none, "new_callers": none, "rollback": F.lit(False)})
+    assert got == {(r["product"], r["old_fn"], r["new_fn"]): (r["status"], r["contradicted"]) for r in lineage.assess(brute).collect()}
