@@ -1,11 +1,12 @@
 """Chat formatting as a prefix tree: turns that conversations share at their start are emitted once.
 
-A conversation is known by the chain of digests of its turns; equal chains are one path. Paths are
-dealt to blocks by their first turn, and a block is a tree: depth-first, each node holds its turn's
+A conversation is known by the chain of digests of its turns; equal chains are one path. Turns are
+dealt to blocks by their first turn, and a block is a forest: depth-first, each node holds its turn's
 text once, the position at which it stands on its path, and the stretches of the block that its
-ancestors take (their attention intervals, merged where they touch). A first turn with more than
-BLOCK turns below it is dealt to several blocks by its paths, each with its own copy of the stem, so
-that no task holds an unbounded tree; every other turn is emitted exactly once.
+ancestors take (their attention intervals, merged where they touch). A turn that several paths share
+and that has more than BLOCK turns below it is a stem: its children, each with all that is below it up
+to the next stem, are dealt to blocks of their own that name the stem's path, so that no task holds an
+unbounded tree. Every turn is emitted exactly once; what stands before a block is read along its stem.
 
 The template is <|im_start|>role\\ntext<|im_end|>\\n. Inside texts and roles a control string's
 first two characters are parted by a backslash, and one is added to those already there, so that
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, staged, table
+from .common import checkpointed, small, staged, table
 from .op10_near_dedup import _grouped
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns of distinct conversations in a block, about; a longer conversation is a block of its own.
 BLOCK = 20_000
+#: Stems broadcast at most, 16 bytes each.
+STEMS = 500_000
 
 
 def escape(text: str) -> str:
@@ -68,15 +71,16 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last, before, k, held = conv, b"", 0, None
             elif held:
                 yield _row(*held, False)
-            before, root = _link(before, role, text), held[3] if held else None
-            held = (conv, k, before, root or before)
+            up, at = (before, held[4] + held[5]) if held else (None, 0)
+            before = _link(before, role, text)
+            held = (conv, k, before, up, at, len(turn(role, text)[0]))
             k += 1
     if held:
         yield _row(*held, True)
 
 
-def _row(conv, k, digest, root, leaf):
-    return {"conv_id": conv, "k": k, "path": digest, "root": root, "leaf": leaf}
+def _row(conv, k, digest, up, at, _, leaf):
+    return {"conv_id": conv, "k": k, "path": digest, "up": up, "at": at, "leaf": leaf}
 
 
 def _batched(rows: Iterator[dict], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -90,43 +94,38 @@ def _batched(rows: Iterator[dict], schema: pa.Schema, most: int = 4096) -> Itera
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-NODES = "block binary, salt int, node int, parent int, depth int, path binary, role string, start long, end long, position long, ancestors array<struct<s:long,e:long>>, formatted string, loss_start long, loss_end long, ends boolean"
+NODES = "block binary, salt int, node int, parent int, depth int, path binary, role string, start long, end long, position long, ancestors array<struct<s:long,e:long>>, formatted string, loss_start long, loss_end long, ends boolean, stem binary"
 _NODES = pa.schema(
     [("block", pa.binary()), ("salt", pa.int32()), ("node", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("path", pa.binary()), ("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("position", pa.int64()),
-     ("ancestors", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("ends", pa.bool_())]
+     ("ancestors", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("ends", pa.bool_()), ("stem", pa.binary())]
 )
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted turns of distinct conversations, block by block -> the block's nodes, depth-first."""
+    """A block's turns sorted by depth, each once -> the block's nodes, depth-first."""
 
     def nodes() -> Iterator[dict]:
         for (block, salt), parts in _grouped(batches, 2):
-            tree: dict[bytes, list] = {}  # path digest: [role, text, children, ends, depth, parent digest]
+            tree: dict[bytes, list] = {}  # path digest: [role, text, children, ends, depth, parent digest, position]
             roots: list[bytes] = []
-            before, last = b"", None
+            stem = None
             for part in parts:
-                for leaf, k, path, role, text, end in zip(*(part.column(c).to_pylist() for c in ("leaf_path", "k", "path", "role", "text", "leaf"))):
-                    if leaf != last:
-                        before, last = b"", leaf
-                    if path not in tree:
-                        tree[path] = [role, text, [], False, k, before]
-                        (tree[before][2] if before else roots).append(path)
-                    tree[path][3] |= end
-                    before = path
+                for path, up, k, at, stem, end, role, text in zip(*(part.column(c).to_pylist() for c in ("path", "up", "k", "at", "stem", "ends", "role", "text"))):
+                    tree[path] = [role, text, [], end, k, up, at]
+                    (tree[up][2] if up in tree else roots).append(path)
             at, number, spots = 0, {}, {}
             stack = sorted(roots, reverse=True)
             while stack:
                 path = stack.pop()
-                role, text, children, ends, depth, up = tree[path]
+                role, text, children, ends, depth, up, place = tree[path]
                 shown, a, b = turn(role, text)
-                place, seen = spots[up] if up else (0, [])
+                seen = spots.get(up, [])
                 yield {
                     "block": block, "salt": salt, "node": len(number), "parent": number.get(up, -1), "depth": depth, "path": path, "role": role, "start": at, "end": at + len(shown), "position": place,
-                    "ancestors": [{"s": s, "e": e} for s, e in seen], "formatted": shown, "loss_start": at + a if role == "assistant" else None, "loss_end": at + b if role == "assistant" else None, "ends": ends,
+                    "ancestors": [{"s": s, "e": e} for s, e in seen], "formatted": shown, "loss_start": at + a if role == "assistant" else None, "loss_end": at + b if role == "assistant" else None, "ends": ends, "stem": stem,
                 }
                 own = [*seen[:-1], (seen[-1][0], at + len(shown))] if seen and seen[-1][1] == at else [*seen, (at, at + len(shown))]
-                number[path], spots[path] = len(number), (place + len(shown), own)
+                number[path], spots[path] = len(number), own
                 at += len(shown)
                 stack += sorted(children, reverse=True)
 
@@ -158,20 +157,41 @@ def format_chats(turns: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataF
         first = next(it, None)
         if first is None:
             return
-        schema = pa.schema([("conv_id", own_kind), ("k", pa.int64()), ("path", pa.binary()), ("root", pa.binary()), ("leaf", pa.bool_())])
+        schema = pa.schema([("conv_id", own_kind), ("k", pa.int64()), ("path", pa.binary()), ("up", pa.binary()), ("at", pa.int64()), ("leaf", pa.bool_())])
         yield from _batched((r for src in ([first], it) for r in src), schema)
 
-    chains = staged(ordered.mapInArrow(chained, f"conv_id {kind}, k long, path binary, root binary, leaf boolean"), "chains")
-    members = chains.where("leaf").select("conv_id", "path", "root", (F.col("k") + 1).alias("n_turns"))
-    distinct = checkpointed(members.groupBy("path", "root").agg(F.min("conv_id").alias("conv_id"), F.max(F.col("conv_id").isNull()).alias("_null"), F.max("n_turns").alias("n_turns")))
-    salts = distinct.groupBy("root").agg(F.ceil(F.sum("n_turns") / block).cast("int").alias("salts"))
-    chosen = distinct.join(salts, "root").select(
-        F.col("path").alias("leaf_path"), F.col("root").alias("block"), F.pmod(F.xxhash64("path"), F.col("salts")).cast("int").alias("salt"), F.col("conv_id").alias("_conv")
+    chains = staged(ordered.mapInArrow(chained, f"conv_id {kind}, k long, path binary, up binary, at long, leaf boolean"), "chains")
+    members = chains.where("leaf").select("conv_id", "path", (F.col("k") + 1).alias("n_turns"))
+    distinct = members.groupBy("path").agg(F.min("conv_id").alias("_conv"), F.max("n_turns").alias("n_turns")).drop("path")
+    own_chains = checkpointed(chains.join(distinct, chains["conv_id"].eqNullSafe(distinct["_conv"])).drop("conv_id"))
+    placed = _placed(own_chains, block)
+    numbered = ordered.mapInArrow(_numbered(kind), f"conv_id {kind}, k long, role string, text string, path binary, leaf boolean").select("conv_id", F.col("k").alias("_k"), "role", "text")
+    rows = numbered.join(placed, numbered["conv_id"].eqNullSafe(placed["_conv"]) & (numbered["_k"] == placed["k"])).select("block", "salt", "path", "up", "k", "at", "stem", "ends", "role", "text")
+    dealt = rows.repartition("block", "salt").sortWithinPartitions("block", "salt", "k")
+    return dealt.mapInArrow(_trees, NODES), members.select("conv_id", "path")
+
+
+def _placed(chains: DataFrame, block: int) -> DataFrame:
+    """Each path once: the conversation that brings its turn, the block that it goes to, and the block's stem.
+
+    chains: the turns of distinct conversations. What is below a turn is counted by conversations, so
+    that turns they share below it count for each of them.
+    """
+    turns = chains.groupBy("path").agg(
+        F.sum(F.col("n_turns") - F.col("k")).alias("below"), F.count(F.lit(1)).alias("through"), F.min("_conv").alias("_conv"), F.max("leaf").alias("ends"), F.first("up").alias("up"), F.first("k").alias("k"), F.first("at").alias("at")
     )
-    numbered = ordered.mapInArrow(_numbered(kind), f"conv_id {kind}, k long, role string, text string, path binary, leaf boolean")
-    rows = numbered.join(chosen, numbered["conv_id"].eqNullSafe(chosen["_conv"])).select("block", "salt", "leaf_path", "k", "path", "role", "text", "leaf")
-    dealt = rows.repartition("block", "salt").sortWithinPartitions("block", "salt", "leaf_path", "k")
-    return dealt.mapInArrow(_trees, NODES), members.select("conv_id", F.col("path").alias("path"))
+    turns = checkpointed(turns.withColumn("hot", (F.col("below") > block) & (F.col("through") > 1)))
+    stems = small(turns.where("hot").select("path"), STEMS)
+    tops = chains.join(stems, "path", "left_anti").groupBy(F.col("_conv").alias("_own")).agg(F.min_by(F.struct("path", "up"), "k").alias("top"))
+    cold = turns.where("NOT hot")
+    cold = cold.join(tops, cold["_conv"].eqNullSafe(tops["_own"])).drop("_own")
+    rows = cold.unionByName(turns.where("hot").withColumn("top", F.struct("path", "up")))
+    rows = checkpointed(rows.withColumn("stem", F.col("top.up")).withColumn("top", F.col("top.path")))
+    weight = F.sum(F.when(F.col("hot"), 1).otherwise(F.col("below")))
+    salts = rows.where("stem IS NOT NULL AND path = top").groupBy("stem").agg(F.ceil(weight / block).cast("int").alias("salts"))
+    rows = rows.join(small(salts, STEMS), "stem", "left")
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("top"), F.col("salts"))).when(F.col("hot"), -1).otherwise(0)
+    return rows.withColumn("salt", salt.cast("int")).withColumn("block", F.coalesce("stem", "top")).drop("below", "through", "hot", "top", "salts")
 
 
 def _numbered(kind: str):
@@ -209,21 +229,25 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's nodes -> what each conversation that ends in it says, read from the formatted text.
 
     A node's conversation is the text in its ancestors' intervals and its own. Digests run along the
-    tree, so shared turns are read once.
+    tree, so shared turns are read once. A block under a stem begins with a row of the stem's text.
     """
     schema = pa.schema([("path", pa.binary()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     shape = re.compile(re.escape(START) + r"((?:(?!<\|)[^\n])*)\n((?:(?!<\|).)*)" + re.escape(END) + "\n", re.S)
 
     def rows() -> Iterator[dict]:
         for _, parts in _grouped(batches, 2):
-            state: dict[int, tuple] = {}  # node: digests and counts up to and with it, and its end
+            state: dict[int, tuple] = {-1: (hashlib.sha256(), 0, hashlib.sha256(), 0)}  # node: digests and counts up to and with it; -1: of what stands before the block
+            base = 0
             for part in parts:
                 for node, parent, s, e, position, seen, shown, a, b, ends in zip(*(part.column(c).to_pylist() for c in ("node", "parent", "start", "end", "position", "ancestors", "formatted", "loss_start", "loss_end", "ends"))):
+                    if node < 0:
+                        state[-1], base = before(shown), len(shown)
+                        continue
                     m = shape.fullmatch(shown)
-                    if m is None or e - s != len(shown) or sum(x["e"] - x["s"] for x in seen) != position:
+                    if m is None or e - s != len(shown) or sum(x["e"] - x["s"] for x in seen) + base != position:
                         raise ValueError("a node that does not follow the template")
                     role, text = unescape_role(m[1]), unescape(m[2])
-                    turns, n, loss, chars = state[parent] if parent >= 0 else (hashlib.sha256(), 0, hashlib.sha256(), 0)
+                    turns, n, loss, chars = state[parent]
                     turns, loss = turns.copy(), loss.copy()
                     turns.update(f"{role}\n{text}\n".encode())
                     if a is not None:
@@ -234,15 +258,45 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if ends:
                         yield {"n_turns": n + 1, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": position + len(shown), "path": part_path(part, node)}
 
+    def before(text: str) -> tuple:
+        turns, n, loss, chars, at = hashlib.sha256(), 0, hashlib.sha256(), 0, 0
+        while at < len(text):
+            m = shape.match(text, at)
+            if m is None:
+                raise ValueError("a stem that does not follow the template")
+            role, said, at = unescape_role(m[1]), unescape(m[2]), m.end()
+            turns.update(f"{role}\n{said}\n".encode())
+            n += 1
+            if role == "assistant":
+                loss.update(said.encode())
+                chars += len(said)
+        return turns, n, loss, chars
+
     def part_path(part: pa.RecordBatch, node: int) -> bytes:
         return part.column("path")[node - part.column("node")[0].as_py()].as_py()
 
     yield from _batched(rows(), schema)
 
 
+def _before(nodes: DataFrame) -> DataFrame:
+    """A row for each block under a stem, with the text of the stem's whole path; node is -1.
+
+    Texts double along the stems in each round, so rounds are the logarithm of the longest one.
+    """
+    blocks = nodes.where("stem IS NOT NULL").select("block", "salt", "stem").distinct()
+    stems = checkpointed(nodes.join(blocks.select(F.col("stem").alias("path")).distinct(), "path", "left_semi").select("path", F.col("stem").alias("up"), "formatted"))
+    while not stems.where("up IS NOT NULL").isEmpty():
+        above = stems.select(F.col("path").alias("_path"), F.col("up").alias("_up"), F.col("formatted").alias("_text"))
+        stems = stems.join(above, stems["up"] == above["_path"], "left").select("path", F.col("_up").alias("up"), F.concat(F.coalesce("_text", F.lit("")), "formatted").alias("formatted"))
+        stems = checkpointed(stems)
+    rows = blocks.join(stems.select(F.col("path").alias("stem"), "formatted"), "stem")
+    filled = {"block": "block", "salt": "salt", "node": "-1", "parent": "-1", "start": "0L", "end": "0L", "position": "0L", "ancestors": "array()", "formatted": "formatted", "ends": "false", "stem": "stem"}
+    return rows.select(*(F.expr(filled.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in nodes.schema))
+
+
 def read_chats(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Per conversation, from the trees: n_turns, digests of turns and of the text under the loss mask."""
-    ordered = nodes.repartition("block", "salt").sortWithinPartitions("block", "salt", "node")
+    ordered = nodes.unionByName(_before(nodes)).repartition("block", "salt").sortWithinPartitions("block", "salt", "node")
     said = ordered.mapInArrow(_read, "path binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return members.join(said, "path").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 

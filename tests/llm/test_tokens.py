@@ -149,3 +149,27 @@ def test_chats_read_back_from_the_trees(spark):
             assert max(len(r["ancestors"]) for r in nodes.where("depth > 300").collect()) < 5
     nodes, members = format_chats(df.limit(0))
     assert read_chats(nodes, members).collect() == []
+
+
+def test_turns_below_a_hot_first_turn_stand_once(spark):
+    rows = []
+    for c in range(60):
+        said = ["system prompt", f"group {c % 4}", f"part {c % 12}", *(f"own {c % 30} {t}" for t in range(c % 5))]
+        rows += [(c, t, "assistant" if t % 2 else "user", x) for t, x in enumerate(said)]
+    rows += [(100, 0, "user", "system prompt"), (101, 0, "user", "system prompt"), (101, 1, "assistant", "group 1"), (None, 0, "user", "system prompt"), (None, 1, "user", TRICK), (102, 0, "user", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    trie = set()
+    for c in {r[0] for r in rows}:
+        path = [r[2:] for r in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
+        trie |= {tuple(path[: k + 1]) for k in range(len(path))}
+    for block in (4, 8, 30):
+        nodes, members = format_chats(df, block)
+        nodes = nodes.cache()
+        got = nodes.collect()
+        assert len(got) == len({r["path"] for r in got}) == len(trie)
+        stood = {r["path"]: r for r in got}
+        assert any(r["stem"] for r in got)
+        for r in got:  # what stands before a turn: its stem's path, and its ancestors in the block
+            stem = stood[r["stem"]] if r["stem"] else None
+            assert r["position"] == (stem["position"] + len(stem["formatted"]) if stem else 0) + sum(x["e"] - x["s"] for x in r["ancestors"])
+        assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in read_chats(nodes, members).collect()} == chats_brute(rows)
