@@ -2,9 +2,10 @@
 
 1. Each page becomes a tree. Every block-level subtree that is not a paragraph or heading of the
    page's article is hashed: tags, classes and text, without links' targets.
-2. Spark counts, for each host, the pages that have a subtree. One that stands on MIN_PAGES pages
-   and MIN_SHARE of the host's pages at least belongs to the site's template. A host has 1 / MIN_SHARE
-   times as many of them as an average page has subtrees, at most.
+2. Spark counts, for each host and each section of it (the first segment of the path), the pages that
+   have a subtree. One that stands on MIN_PAGES pages and MIN_SHARE of the pages at least, of the host
+   or of the section, belongs to the template of these pages. Each has 1 / MIN_SHARE times as many of
+   them as an average page has subtrees, at most.
 3. Templates are deleted from each page, then elements that are furniture by their tag, role, class
    or id. What is left of the article (or main element, or body) is the text.
 """
@@ -196,32 +197,37 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """Per row: page_id, url, text and n_chars.
 
     Null and empty html give an empty text; pages without a host share the empty one. Rows with one
-    page_id and host share the subtrees to delete, which all stand in their host's template anyway.
+    page_id, host and section share the subtrees to delete, which all stand in a template of theirs anyway.
     Ids may be null. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), _section(F.col(url_col).cast("string")).alias("section"))
     kind = own.schema["page_id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole.select([0, 2, 1]), 2_000_000):
+            for batch in _slices(whole.select([0, 2, 1, 3]), 2_000_000):
                 hosts, lists = [], []
                 for page, url in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     root = parse(page)
                     hosts.append(split_url(url)[0])
                     lists.append(list({h for h, _ in hashed_subtrees(root, article(root))}))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(lists, pa.list_(pa.int64()))], ["page_id", "host", "hashes"])
-
-    seen = own.mapInArrow(hashed, f"page_id {kind}, host string, hashes array<bigint>")
-    sizes = own.select(_host(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    sizes = sizes.where(F.col("pages") >= min_pages)
-    each = seen.select("page_id", "host", F.explode("hashes").alias("hash"))
-    counted = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    templates = counted.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
-    lists = each.join(templates, ["host", "hash"]).groupBy("page_id", "host").agg(F.collect_set("hash").alias("_gone"))
-    lists = lists.select(F.col("page_id").alias("_id"), F.col("host").alias("_host"), "_gone")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), batch.column(3), pa.array(lists, pa.list_(pa.int64()))], ["page_id", "host", "section", "hashes"])
+
+    seen = own.mapInArrow(hashed, f"page_id {kind}, host string, section string, hashes array<bigint>")
+    parts = own.select(_host(F.col("url")).alias("host"), "section").groupBy("host", "section").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = parts.groupBy("host").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
+    each = seen.select("page_id", "host", "section", F.explode("hashes").alias("hash"))
+    counted = each.groupBy("host", "section", "hash").agg(F.count(F.lit(1)).alias("n"))
+    common = F.col("n") >= F.col("pages") * min_share
+    wide = counted.groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
+    wide = wide.join(sizes, "host").where(common).select("host", "hash")
+    wide = counted.join(wide, ["host", "hash"], "left_semi").select("host", "section", "hash")
+    local = counted.where(F.col("n") >= min_pages).join(parts, ["host", "section"]).where(common).select("host", "section", "hash")
+    templates = wide.unionByName(local).distinct()
+    lists = each.join(templates, ["host", "section", "hash"]).groupBy("page_id", "host", "section").agg(F.collect_set("hash").alias("_gone"))
+    lists = lists.select(F.col("page_id").alias("_id"), F.col("host").alias("_host"), F.col("section").alias("_section"), "_gone")
     rows = own.withColumn("host", _host(F.col("url")))
-    rows = rows.join(lists, rows["page_id"].eqNullSafe(lists["_id"]) & (rows["host"] == lists["_host"]), "left").select("page_id", "html", "url", "_gone")
+    rows = rows.join(lists, rows["page_id"].eqNullSafe(lists["_id"]) & (rows["host"] == lists["_host"]) & (rows["section"] == lists["_section"]), "left").select("page_id", "html", "url", "_gone")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -238,5 +244,11 @@ def _host(url):
     return F.coalesce(F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
+def _section(url):
+    """The first segment of the path, if another one follows it; else the empty one."""
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
+    return F.coalesce(F.regexp_extract(rest, r"^[^/?#]*/([^/?#]+)/", 1), F.lit(""))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))

@@ -130,6 +130,16 @@ def test_html_templates_go_and_articles_stay(spark):
     assert extract_pages(df.limit(0)).collect() == []
 
 
+def test_html_templates_of_a_section_go_on_its_pages(spark):
+    box = "<div class=x><p>Lisez notre lettre</p></div>"
+    rows = [(k, f"http://h.com/fr/{k}", f"<body>{box}<div><p>Corps {k}</p></div></body>") for k in range(8)]
+    rows += [(20 + k, f"http://h.com/en/{k}", f"<body><div><p>Body {k}</p></div></body>") for k in range(12)]
+    rows += [(40, "http://h.com/en/40", f"<body>{box}</body>"), (41, "http://h.com/41", f"<body>{box}</body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract_pages(df).collect()}
+    assert got == {k: f"Corps {k}" for k in range(8)} | {20 + k: f"Body {k}" for k in range(12)} | {40: "Lisez notre lettre", 41: "Lisez notre lettre"}
+
+
 def corpus(n=600):
     rnd = random.Random(4)
     rows, labels = [], []
