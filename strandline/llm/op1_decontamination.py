@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, small, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The characters that are not in [\x00-\x2F\x3A-\x60\x7B-\x7F], named one by one: Java takes sixteen
+#: times as long for the negated class.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 K = 5
 POS_BITS = 30
@@ -40,24 +42,35 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _packed(ws: Column, n: Column, length: int) -> Column:
-    """For each k-gram of the words: its hash above its position."""
+def _packed(hashes: Column, length: int) -> Column:
+    """For each k-gram of the words, from the hashes of these: its own hash above its position."""
     k = min(K, length)
 
     def one(i: Column) -> Column:
-        h = F.xxhash64(F.lit(length), F.slice(ws, i + 1, k)).bitwiseAND(F.lit(HASH_MASK))
+        h = F.xxhash64(F.lit(k), *(F.get(hashes, i + j) for j in range(k))).bitwiseAND(F.lit(HASH_MASK))
         return F.shiftleft(h, POS_BITS).bitwiseOR(i.cast("long"))
 
+    n = F.size(hashes)
     return F.when(n >= length, F.transform(F.sequence(F.lit(0), n - k), one)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _selected(grams: Column, length: int) -> Column:
-    """The least k-gram of every stretch of `length` words, each once."""
-    width = length - min(K, length) + 1
-    least = lambda i: F.array_min(F.slice(grams, i, width))
-    return F.when(
-        F.size(grams) >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(grams) - width + 1), least))
-    ).otherwise(F.array().cast("array<bigint>"))
+def _winnowed(rows: DataFrame, length: int) -> DataFrame:
+    """rows (doc_id, _key, _hs) -> doc_id, _key and _p: the least k-gram of every stretch of `length` words, each once.
+
+    The least of a stretch is that of two shorter ones that cover it, so widths double. Every step is
+    a projection of its own that reads the one before more than once: inside a lambda it would be
+    computed again for each element.
+    """
+    keys = ["doc_id", "_key"]
+    rows = rows.select(*keys, _packed(F.col("_hs"), length).alias("_p"))
+    width, have = length - min(K, length) + 1, 1
+    while have < width:
+        step = min(have, width - have)
+        least = F.transform(F.slice("_p", 1, F.greatest(F.lit(0), F.size("_p") - step)), lambda x, i: F.least(x, F.get("_p", i + step)))  # noqa: B023
+        rows = rows.select(*keys, least.alias("_p"))
+        have += step
+    # a k-gram is the least of neighbouring stretches only
+    return rows.select(*keys, F.filter("_p", lambda x, i: (i == 0) | (x != F.get("_p", i - 1))).alias("_p"))
 
 
 def benchmark_windows(items: DataFrame, ngram: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -69,11 +82,12 @@ def benchmark_windows(items: DataFrame, ngram: int, id_col: str = "item_id", tex
 
 
 def _fingerprinted(windows: DataFrame, lengths: list[int]) -> DataFrame:
+    rows = windows.select("_win", "_len", "_items", F.transform("_win", lambda w: F.xxhash64(w)).alias("_hs"))
     mark = F.lit(None).cast("long")
     for length in lengths:
-        least = F.array_min(_packed(F.col("_win"), F.col("_len"), length))
+        least = F.array_min(_packed(F.col("_hs"), length))
         mark = F.when(F.col("_len") == length, F.shiftrightunsigned(least, POS_BITS)).otherwise(mark)
-    return windows.select(F.array_join("_win", " ").alias("_window"), "_len", "_items", mark.alias("_fp"))
+    return rows.select(F.array_join("_win", " ").alias("_window"), "_len", "_items", mark.alias("_fp"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, ngram: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,19 +106,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, ngram: int = 10, id_col: st
     if not lengths:
         return _finished(base, None)
     windows = checkpointed(_fingerprinted(raw, lengths))
-    marks = small(windows.select("_fp").distinct(), BROADCAST_ROWS)
+    marks = small(windows.select("_len", "_fp").distinct(), BROADCAST_ROWS)
 
     # 1. winnow the documents; ids and positions only leave this stage. explode_outer, because for
     # explode() the optimizer infers a filter that would repeat the array expressions inside lambdas.
-    ws = own.select("doc_id", "_key", words(F.col("_text")).alias("_ws"))
-    grams = ws.select("doc_id", "_key", *(_packed(F.col("_ws"), F.size("_ws"), n).alias(f"_g{n}") for n in lengths))
-    picked = grams.select("doc_id", "_key", *(_selected(F.col(f"_g{n}"), n).alias(f"_p{n}") for n in lengths))
+    hashes = own.select("doc_id", "_key", F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)).alias("_hs"))
     marked = None
     for n in lengths:
-        one = picked.select("doc_id", "_key", F.explode_outer(f"_p{n}").alias("_at")).withColumn("_len", F.lit(n))
+        one = _winnowed(hashes, n).select("doc_id", "_key", F.explode_outer("_p").alias("_at")).withColumn("_len", F.lit(n))
         marked = one if marked is None else marked.unionByName(one)
     marked = marked.withColumn("_fp", F.shiftrightunsigned("_at", POS_BITS))
-    hits = marked.join(marks, "_fp").groupBy("doc_id", "_key").agg(
+    hits = marked.join(marks, ["_len", "_fp"]).groupBy("doc_id", "_key").agg(
         F.collect_set(F.struct("_len", F.col("_at").bitwiseAND(F.lit(POS_MASK)).cast("int").alias("pos"))).alias("_hits")
     )
     hits = checkpointed(hits.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_hits"))
