@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, relational
+from . import analytics, relational, state
 
-QUERIES: dict = {**relational.QUERIES, **analytics.QUERIES}
-SQL: dict[str, str] = {**relational.SQL, **analytics.SQL}
+QUERIES: dict = {**relational.QUERIES, **analytics.QUERIES, **state.QUERIES}
+SQL: dict[str, str] = {**relational.SQL, **analytics.SQL, **state.SQL}
