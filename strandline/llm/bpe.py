@@ -92,28 +92,33 @@ class Vocabulary:
         keys = (left.astype(np.int64) << 32) | right
         return self.pairs.get(np.where((left < 0) | (right < 0), -1, keys), (NONE, -1))
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each pre-token, by the merges in their order of rank, the leftmost first."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of pre-tokens, one after the other: by the merges in their order of rank, the leftmost first."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]  # places, sizes, ids
         low = 0
         for high in (4, 8, 12, 16, 24, 32, 64):
             own = np.flatnonzero((lengths > low) & (lengths <= high))
             for k in range(0, len(own), 65536):
-                self._merge_block(words, own[k : k + 65536], high, out)
+                self._merge_block(words, own[k : k + 65536], high, done)
             low = high
         for i in np.flatnonzero(lengths > low):
-            out[i] = self._merge_long(words[i])
-        return out
-
-    def _merge_block(self, words: list[bytes], rows: np.ndarray, width: int, out: list[np.ndarray]) -> None:
+            ids = self._merge_long(words[i])
+            done.append((np.array([i]), np.array([len(ids)]), ids))
+        places, own_sizes, flat = (np.concatenate(x) for x in zip(*done))
+        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        sizes[places], starts[places] = own_sizes, np.cumsum(own_sizes) - own_sizes
+        return gathered(np.arange(len(words)), starts, sizes, flat)
+
+    def _merge_block(self, words: list[bytes], rows: np.ndarray, width: int, done: list) -> None:
         if not len(rows):
             return
         own = [words[i] for i in rows]
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in own), np.uint8).reshape(len(own), width)
         size = np.fromiter(map(len, own), np.int64, len(own))
         column = np.arange(width)
-        ids = np.where(column < size[:, None], self.first[raw], -1).astype(np.int32)
+        inside = column < size[:, None]
+        ids = np.full((len(own), width), -1, np.int32)
+        ids[inside] = self.first[np.frombuffer(b"".join(own), np.uint8)]
         found = self._rank(ids[:, :-1], ids[:, 1:]) if width > 1 else np.empty((len(own), 0, 2), np.int32)
         rank, new = found[..., 0].copy(), found[..., 1].copy()
         while True:
@@ -121,8 +126,8 @@ class Vocabulary:
             each = np.arange(len(rows))
             live = rank[each, at] != NONE
             if not live.all():
-                for i in np.flatnonzero(~live):
-                    out[rows[i]] = ids[i, : size[i]].copy()
+                ended = ids[~live]
+                done.append((rows[~live], size[~live], ended[ended >= 0]))
                 rows, ids, rank, new, size, at = rows[live], ids[live], rank[live], new[live], size[live], at[live]
                 if not len(rows):
                     return
@@ -222,24 +227,29 @@ class Lexicon:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The number of each word, -1 where the lexicon has no such word."""
-        n = len(words)
-        size = np.fromiter(map(len, words), np.int64, n)
-        inside = np.flatnonzero((size > 0) & (size <= self.longest))
-        out = np.full(n, -1, np.int64)
-        if not len(inside):
-            return out
-        inside = inside[np.argsort(-size[inside], kind="stable")]
-        size, width = size[inside], int(size[inside[0]])
-        raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in inside), np.uint8).reshape(-1, width)
-        state, number = np.full(len(inside), self.root, np.int64), np.zeros(len(inside), np.int64)
-        for j in range(width):
-            live = int(np.searchsorted(-size, -j, side="left"))  # words longer than j come first
-            s = state[:live]
-            got = self.arcs.get(np.where(s >= 0, s << 8 | raw[:live, j], -1), (-1, 0))
-            state[:live] = got[:, 0]
-            number[:live] += got[:, 1]
-        ok = (state >= 0) & (self.final[np.maximum(state, 0)] == 1)
-        out[inside[ok]] = number[ok]
+        ends = np.cumsum([0, *map(len, words)])
+        return self.numbers_at(np.frombuffer(b"".join(words), np.uint8), ends[:-1], np.diff(ends))
+
+    def numbers_at(self, data: np.ndarray, at: np.ndarray, size: np.ndarray, lead: bytes = b"") -> np.ndarray:
+        """The numbers of the words lead + data[at : at + size]. All words take a byte together; one
+        leaves at its end, or where the automaton has no arc for it."""
+        out = np.full(len(at), -1, np.int64)
+        first, count = self.root, 0
+        for byte in lead:
+            first, more = self.arcs.get(np.array([first << 8 | byte if first >= 0 else -1]), (-1, 0))[0].tolist()
+            count += more
+        live = np.flatnonzero((size <= self.longest) & (size + len(lead) > 0)) if first >= 0 else np.empty(0, np.int64)
+        state, number, j = np.full(len(live), first, np.int64), np.full(len(live), count, np.int64), 0
+        while len(live):
+            done = size[live] == j
+            if done.any():
+                ok = done & (self.final[state] == 1)
+                out[live[ok]] = number[ok]
+                live, state, number = live[~done], state[~done], number[~done]
+            got = self.arcs.get(state << 8 | data[at[live] + j], (-1, 0))
+            on = got[:, 0] >= 0
+            live, state, number = live[on], got[on, 0].astype(np.int64), number[on] + got[on, 1]
+            j += 1
         return out
 
     def of(self, number: int) -> np.ndarray:
@@ -284,51 +294,18 @@ def vocabulary_at(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Remembered:
-    """Ids of words: those seen before from flat arrays, new ones from `learn`, up to `most` of them."""
-
-    def __init__(self, learn, most: int):
-        self.learn, self.most = learn, most
-        self.forget()
-
-    def forget(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.starts, self.sizes, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32), 0
-
-    def slots_of(self, names: list[str]) -> np.ndarray:
-        found = list(map(self.slots.get, names))
-        new = list(dict.fromkeys(n for n, k in zip(names, found) if k is None))
-        if new:
-            if len(self.slots) + len(new) > self.most and self.slots:
-                self.forget()
-                return self.slots_of(names)
-            self._add(new)
-            found = list(map(self.slots.__getitem__, names))
-        return np.array(found, np.int64)
-
-    def _add(self, new: list[str]) -> None:
-        sizes, flat = self.learn(new)
-        n, m = len(self.slots), int(sizes.sum())
-        while n + len(new) > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        while self.used + m > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.starts[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(new)] = sizes
-        self.flat[self.used : self.used + m] = flat
-        self.used += m
-        self.slots.update(zip(new, range(n, n + len(new))))
-
-    def ids_of(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids, one after the other."""
-        return gathered(self.slots_of(names), self.starts, self.sizes, self.flat)
-
-
-def gathered(slots: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gathered(slots: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """The stretches flat[starts : starts + sizes] of the slots, one after the other, and their sizes."""
-    own = sizes[slots].astype(np.int64)
-    ends = np.cumsum(own)
-    return own, flat[np.repeat(starts[slots] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+    own = sizes[slots].astype(np.int32)
+    out, at = np.empty(int(own.sum(dtype=np.int64)), flat.dtype), 0
+    for k in range(0, len(slots), block):  # what is needed besides the result stays small
+        n = own[k : k + block].astype(np.int64)
+        ends = np.cumsum(n)
+        here = np.repeat(starts[slots[k : k + block]] - (ends - n), n)
+        here += np.arange(len(here))
+        out[at : at + len(here)] = flat[here]
+        at += len(here)
+    return own, out
 
 
 class TextCutter:
@@ -336,22 +313,25 @@ class TextCutter:
 
     A pre-token holds a space only at its start, so a text can be cut before every space that stands
     between two other characters; encoding the chunks one by one then encodes the text. Arrow cuts a
-    batch of texts there and finds the distinct chunks. Chunks are remembered, and so are the words of
-    those that are new. Texts with longer runs of white space are cut into pre-tokens as a whole.
+    slice of texts there and finds the distinct chunks. These are looked up in the lexicon, if there is
+    one; those that it lacks are learned, each once a slice. Nothing is kept from slice to slice. Texts
+    with longer runs of white space are cut into pre-tokens as a whole.
     """
 
     #: SPACE in the syntax of Arrow's regular expressions.
     _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
-    def __init__(self, words: Remembered, most: int):
-        self.words, self.chunks = words, Remembered(self._cut, most)
+    def __init__(self, learn, lexicon: Lexicon | None = None):
+        """learn: (an array of distinct chunks less the space in front of each, a list of other strings) ->
+        sizes and ids of them all, one after the other."""
+        self.learn, self.lexicon = learn, lexicon
 
-    def _cut(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids of chunks, one after the other."""
-        parts = [[c] if c.isalpha() or c[:1] == " " and c[1:].isalpha() else PRE_TOKEN.findall(c) for c in chunks]
-        sizes, ids = self.words.ids_of([w for p in parts for w in p])
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(count)])]), ids
+    def _known(self, words: pa.StringArray) -> np.ndarray:
+        """The lexicon's numbers of the words with a space before them."""
+        if self.lexicon is None or not len(words):
+            return np.full(len(words), -1, np.int64)
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        return self.lexicon.numbers_at(np.frombuffer(words.buffers()[2] or b"", np.uint8), ends[:-1], np.diff(ends), b" ")
 
     def encode(self, texts: pa.StringArray, odd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text begins and the end of all). Texts marked odd are left
@@ -364,44 +344,63 @@ class TextCutter:
         first = np.zeros(len(pieces), bool)
         first[ends[:-1]] = True
         coded = pieces.filter(pa.array(~first)).dictionary_encode()
-        names = [" " + x for x in coded.dictionary.to_pylist()]
         heads = pieces.filter(pa.array(first)).to_pylist()
         others = [PRE_TOKEN.findall(t) for t in texts.take(pa.array(slow)).to_pylist()]
-        slots = self.chunks.slots_of([*names, *heads, *(c for o in others for c in o)])
-        here = np.empty(len(pieces), np.int64)
-        here[~first] = slots[: len(names)][coded.indices.to_numpy()]
-        here[first] = slots[len(names) : len(names) + len(heads)]
+        known = self._known(coded.dictionary)
+        new = np.flatnonzero(known < 0)
+        words = coded.dictionary if len(new) == len(known) else coded.dictionary.take(pa.array(new))
+        apart = dict.fromkeys(c for o in others for c in o)
+        apart = {c: k for k, c in enumerate(apart, len(new) + len(heads))}
+        sizes, flat = self.learn(words, [*heads, *apart])
+        starts, n = np.cumsum(sizes) - sizes, len(sizes)
+        if self.lexicon is not None:  # one table of what was learned and what the lexicon holds
+            starts, sizes = np.concatenate([starts, self.lexicon.starts[:-1] + len(flat)]), np.concatenate([sizes, np.diff(self.lexicon.starts)])
+            flat = np.concatenate([flat, self.lexicon.ids])
+        at = known + n
+        at[new] = np.arange(len(new))
+        here = np.empty(len(pieces), np.int32)
+        here[~first] = at[coded.indices.to_numpy()]
+        here[first] = np.arange(len(new), len(new) + len(heads))
         # the chunks of all texts, in the order of the texts
         counts = np.zeros(len(texts), np.int64)
         counts[plain], counts[slow] = np.diff(ends), [len(o) for o in others]
         bounds = np.concatenate([[0], np.cumsum(counts)])
         order = here
         if len(slow):
-            order = np.empty(bounds[-1], np.int64)
-            for group, own in ((plain, here), (slow, slots[len(names) + len(heads) :])):
+            order = np.empty(bounds[-1], np.int32)
+            for group, own in ((plain, here), (slow, np.fromiter((apart[c] for o in others for c in o), np.int32))):
                 n = counts[group]
                 order[np.repeat(bounds[group] - (np.cumsum(n) - n), n) + np.arange(len(own))] = own
-        own, ids = gathered(order, self.chunks.starts, self.chunks.sizes, self.chunks.flat)
-        return ids, np.concatenate([[0], np.cumsum(own)])[bounds]
+        own, ids = gathered(order, starts, sizes, flat)
+        reached = np.cumsum(own, dtype=np.int64)
+        return ids, np.where(bounds > 0, reached[np.maximum(bounds - 1, 0)], 0) if len(reached) else np.zeros(len(bounds), np.int64)
 
 
 class Encoder:
-    """Texts to ids: remembered words, then the lexicon, then exact merges."""
-
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most: int = 150_000):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.cutter = TextCutter(Remembered(self._merged, most), most)
-
-    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        numbers = self.lexicon.numbers(raw) if self.lexicon else np.full(len(raw), -1)
-        ids: list[np.ndarray] = [np.empty(0, np.int32)] * len(raw)
-        unseen = np.flatnonzero(numbers < 0).tolist()
-        for i, x in zip(unseen, self.vocabulary.merge([raw[i] for i in unseen])):
-            ids[i] = x
-        for i in np.flatnonzero(numbers >= 0).tolist():
-            ids[i] = self.lexicon.of(numbers[i])
-        return np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate([np.empty(0, np.int32), *ids])
+    """Texts to ids: chunks through the lexicon, the words of all others by exact merges."""
+
+    #: Chunks that are cut into words and merged together.
+    RUN = 100_000
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
+        self.vocabulary = vocabulary
+        self.cutter = TextCutter(self._merged, lexicon)
+
+    def _merged(self, words: pa.StringArray, others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of chunks, one after the other."""
+        got = [self._cut([" " + w for w in words.slice(k, self.RUN).to_pylist()]) for k in range(0, len(words), self.RUN)]
+        got.append(self._cut(others))
+        return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+    def _cut(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [[c] if c.isalpha() or c[:1] == " " and c[1:].isalpha() else PRE_TOKEN.findall(c) for c in chunks]
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        words = [w for p in parts for w in p]
+        distinct = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        slots = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
+        sizes, flat = self.vocabulary.merge([w.encode("utf-8", "surrogatepass") for w in distinct])
+        sizes, flat = gathered(slots, np.cumsum(sizes) - sizes, sizes, flat)
+        return np.diff(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.concatenate([[0], np.cumsum(count)])]), flat
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text begins and the end of all."""

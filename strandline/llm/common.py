@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,19 @@ def rows_within(df: DataFrame, limit: int) -> bool:
 def small(df: DataFrame, limit: int) -> DataFrame:
     """df with a broadcast hint if its checked row count is within limit, else df itself."""
     return F.broadcast(df) if rows_within(df, limit) else df
+
+
+def freeing(run):
+    """A function for mapInArrow that, at the end of its task, gives the memory it no longer needs back to
+    the system. Workers wait for their next task beside the JVM, and would hold it all that time."""
+
+    @functools.wraps(run)
+    def freed(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return freed

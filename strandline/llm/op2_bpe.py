@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, Lexicon, Vocabulary, vocabulary_at
-from .common import table
+from .common import freeing, table
 
 #: Of a corpus's characters, a word of the lexicon opens one in so many: with its space it takes two
 #: of them at least, so there are at most half as many words; its file takes about 40 bytes a word.
-ONE_IN = 200_000
+ONE_IN = 1_000_000
+#: Bytes of text that are encoded together, about; the distinct chunks among them are encoded once.
+SLICE = 12_000_000
 
 
 def vocabulary_path() -> str:
@@ -44,7 +46,8 @@ def frequent_words(docs: DataFrame, one_in: int = ONE_IN, text_col: str = "text"
 def lexicon_file(spark: SparkSession, words: list[str], vocabulary: Vocabulary) -> str:
     """Compile the words, with and without a space before them, and send the file to the executors."""
     forms = [x.encode() for w in words for x in (w, " " + w)]
-    ids = dict(zip(forms, vocabulary.merge(forms)))
+    sizes, flat = vocabulary.merge(forms)
+    ids = dict(zip(forms, np.split(flat, np.cumsum(sizes)[:-1])))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="strandline-"), name)
     Lexicon.write(ids, path)
@@ -66,10 +69,21 @@ def _encoder(path: str, lexicon: str) -> Encoder:
 def _encoded(path: str, lexicon: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(path, lexicon)
     for batch in batches:
-        for part in _slices(batch):
+        for part in _slices(batch, SLICE):
             flat, ends = encoder.encode(part.column(1))
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+            whole = pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+            for a, b in _runs(ends):
+                yield whole.slice(a, b - a)
+
+
+def _runs(ends: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """(from, to) of rows with about so many elements together at most, so that batches to the JVM are small."""
+    at = 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield at, to
+        at = to
 
 
 def _decoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +106,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(lambda batches: _encoded(path, name, batches), f"doc_id {kind}, ids array<int>")
+    return own.mapInArrow(freeing(lambda batches: _encoded(path, name, batches)), f"doc_id {kind}, ids array<int>")
 
 
 def _slices(batch: pa.RecordBatch, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
@@ -115,7 +129,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = lexicon_file(spark, frequent_words(docs, one_in, text_col), vocabulary_at(path))
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(lambda batches: _decoded(path, _encoded(path, name, batches)), f"doc_id {kind}, ids array<int>, text string")
+    return own.mapInArrow(freeing(lambda batches: _decoded(path, _encoded(path, name, batches))), f"doc_id {kind}, ids array<int>, text string")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -127,11 +141,11 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
 
     own = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(lambda batches: _decoded(path, batches), f"doc_id {kind}, ids array<int>, text string")
+    return own.mapInArrow(freeing(lambda batches: _decoded(path, batches)), f"doc_id {kind}, ids array<int>, text string")
 
 
 def _lists(column: pa.ListArray) -> Iterator[list[int]]:
-    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)  # offsets of a slice are its own
     for a, b in zip(ends[:-1], ends[1:]):
         yield flat[a:b].tolist()
 

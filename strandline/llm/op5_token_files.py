@@ -1,8 +1,8 @@
 """Token-id output: documents in ascending id order, as blocks of a static rANS.
 
 1. Texts are dealt to ranges of doc_id, sorted, encoded with the tokenizers library and written as
-   plain ids, each with its place in its range. The library sees every distinct word
-   (bpe.Remembered) once while a worker remembers it; ids are those of the whole text.
+   plain ids, each with its place in its range. The library sees every distinct chunk
+   (bpe.TextCutter) of a slice of texts once; ids are those of the whole text.
 2. All ids are counted; the counts, one for each id of the vocabulary, make the shared table.
 3. Runs of whole documents of about BLOCK ids become independent blocks (rans.py): a row of a
    Parquet folder with the payload, the documents' ids and sizes, and CRCs of payload and ids.
@@ -16,7 +16,6 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +24,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .bpe import Remembered, TextCutter, with_odd
-from .common import shared_dir, staged, table
-from .op2_bpe import _slices, vocabulary_path
+from .bpe import TextCutter, with_odd
+from .common import freeing, shared_dir, staged, table
+from .op2_bpe import _runs, _slices, vocabulary_path
 
 END = 0
 BLOCK = 131_072
+#: Bytes of text that are encoded together, about; the library sees the distinct chunks among them once.
+SLICE = 20_000_000
 BLOCKS = (
     "part int, first long, offset long, n_ids long, doc_ids array<bigint>, sizes array<int>, payload binary, payload_crc32 long, ids_crc32 long"
 )
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library; each distinct word goes to it once while it is remembered."""
+    """Ids by the tokenizers library; each distinct chunk of a slice of texts goes to it once."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    #: Characters that go to the library as one text, about.
+    RUN = 4_096
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -48,12 +52,41 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cutter = TextCutter(Remembered(self._learned, most), most)
-
-    def _learned(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return sizes, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        self.bytes = np.zeros(self.size, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.bytes[i] = len(token)  # byte-level: a letter for each byte
+        self.cutter = TextCutter(self._learned)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = [np.empty(0, np.int32)]
+        for k in range(0, len(texts), 100):  # the library's results are some hundred bytes a token
+            out += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts[k : k + 100], add_special_tokens=False)]
+        return np.fromiter(map(len, out[1:]), np.int64, len(texts)), np.concatenate(out)
+
+    def _learned(self, words: pa.StringArray, others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words with a space in front and of other strings, one after the other.
+
+        Words without white space at an end go to the library side by side: it parts them before their
+        spaces. Their ends are found by the bytes that ids stand for, so that each need not be encoded,
+        or become a Python string, by itself.
+        """
+        apart = pc.match_substring_regex(words, f"^$|^[{TextCutter._SPACE}]|[{TextCutter._SPACE}]$").to_numpy(zero_copy_only=False).astype(bool)
+        joined = words.filter(pa.array(~apart))
+        length = pc.binary_length(joined).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        cuts = np.unique(np.append(np.searchsorted(np.cumsum(length), np.arange(0, length.sum(), self.RUN)), len(joined))).astype(np.int32)
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), joined), " ").to_pylist() if len(joined) else []
+        _, ids = self._encoded([" " + r for r in runs])
+        reached, ends = np.cumsum(self.bytes[ids]), np.cumsum(length)
+        at = np.searchsorted(reached, ends)
+        if len(ends) and (at[-1] >= len(ids) or (reached[at] != ends).any()):
+            raise ValueError("the library did not part words before their spaces")
+        own_sizes, own = self._encoded([" " + w for w in words.filter(pa.array(apart)).to_pylist()] + others)
+        alone = np.concatenate([apart, np.ones(len(others), bool)])
+        sizes = np.empty(len(alone), np.int64)
+        sizes[alone], sizes[~alone] = own_sizes, np.diff(np.concatenate([[0], at + 1]))
+        out, of_alone = np.empty(int(sizes.sum()), np.int32), np.repeat(alone, sizes)
+        out[of_alone], out[~of_alone] = own, ids
+        return sizes, out
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text begins and the end of all.
@@ -64,7 +97,7 @@ class LibraryEncoder:
         for word in self.added:
             odd |= pc.match_substring(texts, word).to_numpy(zero_copy_only=False).astype(bool)
         ids, bounds = self.cutter.encode(texts, odd)
-        return with_odd(ids, bounds, {int(i): self._learned([texts[int(i)].as_py()])[1] for i in np.flatnonzero(odd)})
+        return with_odd(ids, bounds, {int(i): self._encoded([texts[int(i)].as_py()])[1] for i in np.flatnonzero(odd)})
 
 
 _held: dict[str, LibraryEncoder] = {}
@@ -88,20 +121,21 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         encoder, row, offset = _encoder(path), 0, 0
         kind = np.uint16 if encoder.size <= 1 << 16 else np.uint32
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, SLICE):
                 flat, ends = encoder.encode(part.column(1))
                 n = part.num_rows
                 flat, ends = np.insert(flat.astype(kind), ends[1:], end), ends + np.arange(n + 1)  # the end id after each
                 raw = flat.tobytes()
-                cuts = (ends * flat.itemsize).tolist()
-                ids = pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * flat.itemsize).astype(np.int32)), pa.py_buffer(raw)])
                 columns = [pa.array(np.arange(row, row + n)), pa.array(offset + ends[:-1]), part.column(0), ids]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "offset", "doc_id", "ids"])
+                whole = pa.RecordBatch.from_arrays(columns, ["row", "offset", "doc_id", "ids"])
+                for a, b in _runs(ends):
+                    yield whole.slice(a, b - a)
                 row, offset = row + n, offset + int(ends[-1])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = dealt.mapInArrow(run, "row long, offset long, doc_id long, ids binary")
+    rows = dealt.mapInArrow(freeing(run), "row long, offset long, doc_id long, ids binary")
     return staged(rows.select(F.spark_partition_id().alias("part"), "*"), "ids")
 
 
@@ -120,7 +154,7 @@ def _counted(kind: str, size: int):
 def write_blocks(rows: DataFrame, path: str, size: int, block: int = BLOCK) -> None:
     """Write tokenized rows as blocks under path/blocks, and their table under path/table."""
     spark, kind = rows.sparkSession, np.dtype("<u2" if size <= 1 << 16 else "<u4").str
-    found = rows.select("ids").mapInArrow(_counted(kind, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most size rows
+    found = rows.select("ids").mapInArrow(freeing(_counted(kind, size)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most size rows
     counts = np.zeros(size, np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
@@ -151,7 +185,7 @@ def write_blocks(rows: DataFrame, path: str, size: int, block: int = BLOCK) -> N
         if held:
             yield closed()
 
-    rows.select("part", "row", "offset", "doc_id", "ids").mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    rows.select("part", "row", "offset", "doc_id", "ids").mapInArrow(freeing(run), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 _BLOCK_SCHEMA = pa.schema(
@@ -189,13 +223,41 @@ def read_blocks(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kinds = "part int, offset long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * with_ids
-    docs = blocks.select("part", "first", "offset", "n_ids", "doc_ids", "sizes", "payload", "payload_crc32", "ids_crc32").mapInArrow(run, kinds)
-    sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each range
-    bases = sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    out = docs.join(bases, "part")
+    docs = blocks.select("part", "first", "offset", "n_ids", "doc_ids", "sizes", "payload", "payload_crc32", "ids_crc32").mapInArrow(freeing(run), kinds)
+    out = docs.join(_bases(blocks), "part")
     return out.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
+def read_stretch(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """Rows (at, ids) with the ids at places [start, end) of the whole stream, one row for each block that has some.
+
+    Only blocks that hold a part of it are read, and of each only what follows the checkpoint before its
+    part is decoded; the CRC of the payload is checked, that of all ids cannot be.
+    """
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    counts = np.frombuffer(spark.read.parquet(f"{path}/table").first()["counts"], np.int64)
+    shared = spark.sparkContext.broadcast(counts)
+    own = blocks.join(_bases(blocks), "part").select((F.col("base") + F.col("offset")).alias("at"), "n_ids", "payload", "payload_crc32").where((F.col("at") < end) & (F.col("at") + F.col("n_ids") > start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = rans.Table(shared.value)
+        for batch in batches:
+            for b in batch.to_pylist():
+                if zlib.crc32(b["payload"]) != b["payload_crc32"]:
+                    raise ValueError(f"a damaged payload at {b['at']}")
+                a = max(0, start - b["at"])
+                ids = rans.decode(b["payload"], coder, a, min(b["n_ids"], end - b["at"])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([b["at"] + a]), pa.array([ids], pa.list_(pa.int64()))], ["at", "ids"])
+
+    return own.mapInArrow(freeing(run), "at long, ids array<bigint>")
+
+
+def _bases(blocks: DataFrame) -> DataFrame:
+    """part and base: the ids of all ranges before it."""
+    sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each range
+    return sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = END, block: int = BLOCK) -> None:
     """Encode whole texts and write them under path, in ascending id order.
 

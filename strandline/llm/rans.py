@@ -13,8 +13,8 @@ import struct
 import numpy as np
 
 SCALE = 20
-SPAN = 256
-LANES = 512
+SPAN = 64
+LANES = 1024
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 _HEAD = struct.Struct("<4sIIII")  # magic, ids, lanes, span, words
 

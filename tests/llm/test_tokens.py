@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from strandline.llm import bpe, rans
 from strandline.llm.op2_bpe import decode, encode, round_trip, vocabulary_path
 from strandline.llm.op3_chat_format import escape, escape_role, format_chats, read_chats, unescape, unescape_role
-from strandline.llm.op5_token_files import LibraryEncoder, read_blocks, write_tokens
+from strandline.llm.op5_token_files import LibraryEncoder, read_blocks, read_stretch, write_tokens
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LETTERS = " \n\t\r\x0b\x1c\x85  　aabbtheing'sS'tredé世界🙂½²Ⅷ٣_-.!?0123​́﻿"
@@ -34,12 +34,11 @@ def texts():
 def test_words_are_merged_as_the_library_merges_them(library):
     own = texts()
     want = [e.ids for e in library.encode_batch(own, add_special_tokens=False)]
-    for most in (100, 10**6):  # with and without forgetting
-        for encoder in (bpe.Encoder(bpe.vocabulary_at(vocabulary_path()), most=most), LibraryEncoder(vocabulary_path(), most)):
-            for _ in range(2):
-                ids, ends = encoder.encode(pa.array(own, pa.string()))
-                assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
-            assert len(encoder.encode(pa.array([], pa.string()))[0]) == 0
+    for encoder in (bpe.Encoder(bpe.vocabulary_at(vocabulary_path())), LibraryEncoder(vocabulary_path())):
+        for _ in range(2):
+            ids, ends = encoder.encode(pa.array(own, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+        assert len(encoder.encode(pa.array([], pa.string()))[0]) == 0
 
 
 def test_lexicon_is_minimal_and_exact(tmp_path):
@@ -94,6 +93,10 @@ def test_token_files(spark, library, tmp_path):
         at += len(ids)
     assert got == want
     assert spark.read.parquet(f"{path}/blocks").count() > 5
+    stream = [x for i, t in sorted(rows, key=lambda r: (r[0], r[1] or "")) for x in [*library.encode(t or "", add_special_tokens=False).ids, 0]]
+    for a, b in ((0, at), (0, 1), (700, 2300), (at - 3, at + 9), (5, 5)):
+        parts = sorted((r["at"], r["ids"]) for r in read_stretch(spark, path, a, b).collect())
+        assert [x for _, ids in parts for x in ids] == stream[a:b] and all(p == a or k for k, (p, _) in enumerate(parts))
 
 
 def test_token_files_of_nothing_and_damage(spark, tmp_path):
