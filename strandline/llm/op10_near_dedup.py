@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small, staged, table
+from .common import checkpointed, freeing, small, staged, table
 from .components import components
 from .shingles import mix, shingle_sets, superminhash
 
@@ -191,7 +191,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     other = turned.join(texts, turned["b"] == texts["v"]).select("a", "b", "text")
     first = texts.join(turned.select(F.col("a").alias("v")).distinct(), "v").select(F.col("v").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = first.unionByName(other).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    return checkpointed(rows.mapInArrow(_verified, "a long, b long"))
+    return checkpointed(rows.mapInArrow(freeing(_verified), "a long, b long"))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,7 +205,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only if that is null. Other columns are ignored; an empty table gives no rows.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = staged(own.mapInArrow(_signed, "id long, n long, digest binary, bands array<bigint>, marks binary"), "signatures")
+    signed = staged(own.mapInArrow(freeing(_signed), "id long, n long, digest binary, bands array<bigint>, marks binary"), "signatures")
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("v"))
     classes = checkpointed(classes)
 
@@ -228,7 +228,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1) if whole else F.array("block")))
         rows = rows.join(marks, "v").select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "v", "n", "label", "block", "band", "marks", "bands")
         dealt = rows.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
-        return dealt.mapInArrow(_put_forward(whole), "a long, b long")
+        return dealt.mapInArrow(freeing(_put_forward(whole)), "a long, b long")
 
     links = _links(pairs(crowded.withColumn("label", F.col("v")), False), texts)
     labels = checkpointed(components(links))

@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import freeing, staged, table
 from .shingles import _BYTE, _FOLD, _power, mix
 
 SAMPLE = 30_000
@@ -304,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
     pos, neg = size["p"] or 0, (size["n"] or 0) - (size["p"] or 0)
     entries = []
     if pos and neg:
-        counted = early.mapInArrow(_grams, "gram long, toxic long").groupBy("gram").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n"))
+        counted = early.mapInArrow(freeing(_grams), "gram long, toxic long").groupBy("gram").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n"))
         weight = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("p") + 0.5) / (neg + 1))
         counted = counted.where(F.col("p") >= max(3, pos // 70)).withColumn("w", weight).where("w >= 2")
         entries = counted.orderBy(F.desc(F.col("p") * F.col("w")), "gram").limit(lexicon).collect()
@@ -319,7 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
                 columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "part", "x"])
 
-    got = rows.select("toxic", F.col("part").cast("long").alias("part"), "text").mapInArrow(featured, "toxic long, part long, x array<double>")
+    got = rows.select("toxic", F.col("part").cast("long").alias("part"), "text").mapInArrow(freeing(featured), "toxic long, part long, x array<double>")
     got = got.orderBy("x", "toxic").collect()  # in an order of its own, so that every run fits the same trees
     x = np.array([r["x"] for r in got]).reshape(-1, len(NAMES))
     return model.fit(x, np.array([r["toxic"] for r in got], float), np.array([r["part"] for r in got]))
@@ -329,24 +330,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """The rows with score, of their whole texts, and predicted (1 from 0.5 up).
 
     Null and empty texts get the score of a text without words. Columns named score or predicted are
-    replaced (and _scored left out), all others pass through; repeated rows each get a score.
+    replaced, all others pass through; repeated rows each get a score.
     """
-    names = [c for c in docs.columns if c not in ("score", "predicted", "_scored")]
-    own = docs.select(*(F.col(f"`{c}`") for c in names), F.coalesce("text", F.lit("")).alias("_scored"))
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    own = docs.select(*(F.col(f"`{c}`") for c in names))
+    place = names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: lexicon and tree sizes are parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            got = [np.empty(0)] + [fitted.score(data, starts) for _, _, data, starts in _slices(texts)]
-            columns = [*batch.columns[:-1], pa.array(np.concatenate(got))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "score"])
+            for a, b, data, starts in _slices(pc.fill_null(batch.column(place), "")):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fitted.score(data, starts))], [*names, "score"])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([f for f in own.schema.fields[:-1]]).add("score", DoubleType())
-    return own.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    schema = StructType(list(own.schema.fields)).add("score", DoubleType())
+    return own.mapInArrow(freeing(run), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
