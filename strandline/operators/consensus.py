@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import strength
 
+#: All families of evidence, in the order in which missing ones are named.
+FAMILIES = ("identity", "instruction", "cfg", "callgraph", "data-reference", "semantic", "historical-lineage")
 RANKS = {"EXACT": 5, "STRONG": 4, "PROBABLE": 3, "AMBIGUOUS": 2, "CONFLICT": 1}
 
 
@@ -49,6 +51,35 @@ def consensus(functions: DataFrame, proposals: DataFrame, unmatched: DataFrame)
     )
 
 
+def candidates(offers: DataFrame, side: str, most: int = 3) -> DataFrame:
+    """Per (component, side): the best distinct (other, score) that any engine offered, as an array of structs.
+
+    offers: component, engine, side, other, score; a null score is no offer. Ties go to the lower address.
+    """
+    own = offers.where("score IS NOT NULL").select("component", side, "other", "score").distinct()
+    w = Window.partitionBy("component", side).orderBy(F.desc("score"), "other")
+    best = own.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    ranked = F.array_sort(F.collect_list(F.struct("_n", F.struct("other", "score").alias("c"))))
+    return best.groupBy("component", side).agg(ranked.alias("_c")).select("component", side, F.transform("_c", lambda x: x["c"]).alias("candidates"))
+
+
+def unresolved_left(matches: DataFrame, offers: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """Left functions that no engine matched: component, left, candidates and the engines that claim no counterpart."""
+    silent = unmatched.groupBy("component", "left").agg(F.array_sort(F.collect_list("engine")).alias("no_counterpart"))
+    out = matches.where("right IS NULL").join(candidates(offers, "left"), ["component", "left"], "left").join(silent, ["component", "left"], "left")
+    return out.select("component", "left", F.coalesce("candidates", F.array().cast("array<struct<other:bigint,score:double>>")).alias("candidates"), F.coalesce("no_counterpart", F.array().cast("array<string>")).alias("no_counterpart"))
+
+
+def missing(proposals: DataFrame, expected: list[str]) -> DataFrame:
+    """Per component: expected engines that gave nothing and families that nobody measured.
+
+    proposals: component, engine, families_used.
+    """
+    own = proposals.groupBy("component").agg(F.collect_set("engine").alias("_e"), F.array_distinct(F.flatten(F.collect_list("families_used"))).alias("_f"))
+    lit = lambda xs: F.array(*(F.lit(x) for x in xs))
+    return own.select("component", F.array_sort(F.array_except(lit(sorted(expected)), "_e")).alias("missing_engines"), F.array_except(lit(FAMILIES), "_f").alias("missing_families"))
+
+
 def unmatched_right(functions: DataFrame, matches: DataFrame) -> DataFrame:
     """Right functions that no match took: UNRESOLVED, not new."""
     taken = matches.where("right IS NOT NULL").select("component", "right")

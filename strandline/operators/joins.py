@@ -26,13 +26,14 @@ def set_difference(pairs: DataFrame, items: DataFrame, version: str, key: str, v
 def pair_components(pairs: DataFrame, components: DataFrame, version: str, role: str, label: str, artifact: str) -> DataFrame:
     """Pair the components of neighbouring versions: by role and label, then by position in a role.
 
-    Components of a role and label are numbered by artifact, as are a role's leftovers. What finds no
-    partner stays, with rule UNKNOWN and the other side null: it is not called new or gone.
+    Components of a role and label are numbered by artifact, a role's leftovers by label and artifact; a
+    null label is an empty one. What finds no partner stays, with rule UNKNOWN and the other side null: it
+    is not called new or gone.
     """
-    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("artifact", "label"))
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("label", "artifact"))
 
     def side(of: str) -> DataFrame:
-        rows = pairs.join(components, pairs[of] == components[version]).select("left", "right", F.col(role).alias("role"), F.lower(label).alias("label"), F.col(artifact).alias("artifact"))
+        rows = pairs.join(components, pairs[of] == components[version]).select("left", "right", F.col(role).alias("role"), F.coalesce(F.lower(label), F.lit("")).alias("label"), F.col(artifact).alias("artifact"))
         return rows.withColumn("n", nth("left", "right", "role", "label"))
 
     key = ["left", "right", "role", "label", "n"]

@@ -84,6 +84,12 @@ def family_scores(l: Column, r: Column) -> dict[str, Column]:  # noqa: E741
     }
 
 
+def evidence(families: dict[str, Column]) -> Column:
+    """The measured families as structs (family, score, supports), in the order of their names; a score of a half supports."""
+    rows = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("family"), v.alias("score"), (v >= 0.5).alias("supports"))) for k, v in sorted(families.items())]
+    return F.array_compact(F.array(*rows))
+
+
 def scored(pairs: DataFrame) -> DataFrame:
     """component, left, right, score and the family scores of candidate pairs."""
     fam = family_scores(F.col("l"), F.col("r"))

@@ -19,12 +19,13 @@ def contains_text(column: Column, needle: str) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
+    """The words of a text in lower case: runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def has_tokens(text: Column, query: str) -> Column:
-    """All of at most eight words of the query stand in the text."""
-    wanted = list(dict.fromkeys(w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()))[:8]
+    """All of at most eight words of the query stand in the text; a query without words finds nothing."""
+    wanted = list(dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split()[:8]))
     own = tokens(text)
     return reduce(lambda a, b: a & b, (F.array_contains(own, w) for w in wanted), F.lit(bool(wanted)))
 

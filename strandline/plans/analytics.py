@@ -207,10 +207,12 @@ def _points(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {POINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY score, ok) AS i FROM pt),
  s AS (SELECT *, sum(ok::INT) OVER (PARTITION BY engine ORDER BY i) AS c FROM r),
  m AS (SELECT a.engine, a.i, j.i AS j, min((k.c - j.c + j.ok::INT) / (k.i - j.i + 1)) AS low FROM s a JOIN s j ON a.engine = j.engine AND j.i <= a.i JOIN s k ON a.engine = k.engine AND k.i >= a.i GROUP BY ALL),
- f AS (SELECT engine, i, max(low) AS fit FROM m GROUP BY ALL)
- SELECT engine, max(score) AS upper, CAST(floor(fit * 1000000 + 0.0001) AS BIGINT) AS precision_ppm, count(*) AS n FROM f JOIN r USING (engine, i) GROUP BY engine, fit""")
+ f AS (SELECT engine, i, max(low) AS fit FROM m GROUP BY ALL),
+ x AS (SELECT *, abs(sum(ok::INT - fit) OVER (PARTITION BY engine, fit ORDER BY i)) < 0.000001 AS ends FROM f JOIN r USING (engine, i)),
+ b AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY engine, fit ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM x)
+ SELECT engine, max(score) AS upper, CAST(floor(fit * 1000000 + 0.0001) AS BIGINT) AS precision_ppm, count(*) AS n FROM b GROUP BY engine, fit, block""")
 def calibration_pav(spark, sf_dir):
-    out = quality.pooled(_points(spark, sf_dir), ["engine"])
+    out = quality.pooled(_points(spark, sf_dir), ["engine"], digits=None)
     return out.select("engine", "upper", F.floor(F.col("precision") * 1000000 + 0.0001).cast("long").alias("precision_ppm"), "n")
 
 
@@ -219,14 +221,16 @@ def reliability_diagram(spark, sf_dir):
     return quality.reliability(_points(spark, sf_dir))
 
 
-@query(f"""WITH {POINTS} SELECT engine, context, score, CASE WHEN engine = 'en' AND context = 'A' THEN 'CALIBRATED' WHEN engine = 'en' THEN 'OUT_OF_DISTRIBUTION' ELSE 'UNCALIBRATED' END AS state,
- CASE WHEN engine = 'en' AND context = 'A' THEN CAST(CASE WHEN score <= 0.1 THEN 0.25 WHEN score <= 0.5 THEN 0.5 ELSE 0.75 END AS DOUBLE) END AS probability
- FROM (SELECT engine, score, CASE WHEN ok THEN 'A' ELSE 'B' END AS context FROM pt)""")
+@query(f"""WITH {POINTS}, p AS (SELECT engine, CASE WHEN ok THEN 'A' ELSE 'B' END AS context, nullif(score, 0.05) AS score FROM pt),
+ d AS (SELECT *, CASE WHEN engine = 'en' AND context = 'A' AND score IS NOT NULL THEN 'CALIBRATED' WHEN engine = 'en' THEN 'OUT_OF_DISTRIBUTION' ELSE 'UNCALIBRATED' END AS state FROM p)
+ SELECT *, CASE WHEN state = 'CALIBRATED' THEN CAST(CASE WHEN score <= 0.1 THEN 0.25 WHEN score <= 0.5 THEN 0.5 ELSE 0.75 END AS DOUBLE) END AS probability, state = 'OUT_OF_DISTRIBUTION' AS abstain FROM d""")
 def calibration_display(spark, sf_dir):
-    scores = _points(spark, sf_dir).select("engine", "score", F.when(F.col("ok"), "A").otherwise("B").alias("context"))
-    steps = [(0.1, 0.25, 10), (0.5, 0.5, 10), (0.9, 0.75, 10)]
-    profiles = spark.createDataFrame([("en", "A", True, steps), ("en", "B", False, steps)], "engine string, context string, validated boolean, mapping array<struct<upper: double, precision: double, n: int>>")
-    return quality.displayed(scores, profiles)
+    """Raw scores as probabilities where the newest validated profile of their context covers them."""
+    scores = _points(spark, sf_dir).select("engine", F.nullif("score", F.lit(0.05)).alias("score"), F.when(F.col("ok"), "A").otherwise("B").alias("context"))
+    steps, old = [(0.1, 0.25, 10), (0.5, 0.5, 10), (0.9, 0.75, 10)], [(0.9, 0.1, 10)]
+    kind = "engine string, context string, validated boolean, created int, mapping array<struct<upper: double, precision: double, n: int>>"
+    profiles = spark.createDataFrame([("en", "A", True, 2, steps), ("en", "A", True, 1, old), ("en", "A", False, 3, old), ("en", "B", False, 1, steps)], kind)
+    return quality.displayed(scores, profiles, abstain=True)
 
 
 @query(f"""WITH {POINTS}, c AS (SELECT engine, count(*) FILTER (WHERE score >= 0.1 AND ok) AS tp, count(*) FILTER (WHERE score >= 0.1 AND NOT ok) AS fp, count(*) FILTER (WHERE score < 0.1 AND ok) AS fn FROM pt GROUP BY ALL)
@@ -268,7 +272,7 @@ def run_comparability(spark, sf_dir):
     return quality.comparability(runs, pairs).select("a", "b", "comparability")
 
 
-@query("""SELECT c_nationkey AS workspace, CASE WHEN count(DISTINCT c_custkey) <= 25 AND count(o_orderkey) <= 50000 THEN 'S' WHEN count(DISTINCT c_custkey) <= 250 AND count(o_orderkey) <= 1000000 THEN 'M' WHEN count(DISTINCT c_custkey) <= 2500 AND count(o_orderkey) <= 10000000 THEN 'L' ELSE 'BEYOND' END AS class
+@query("""SELECT c_nationkey AS workspace, CASE WHEN count(DISTINCT c_custkey) <= 25 AND count(o_orderkey) <= 50000 THEN 'S' WHEN count(DISTINCT c_custkey) <= 250 AND count(o_orderkey) <= 1000000 THEN 'M' WHEN count(DISTINCT c_custkey) <= 2500 AND count(o_orderkey) <= 10000000 THEN 'L' ELSE 'XL' END AS class
  FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL""")
 def capacity_class(spark, sf_dir):
     n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
@@ -308,10 +312,13 @@ def change_dimensions_long(spark, sf_dir):
     return changes.dimensions(t, [F.col("o_custkey").alias("product"), F.col("o_orderkey").alias("version")], metrics)
 
 
-@query("""SELECT o_custkey AS product, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) < 0.25 THEN 'LOW' WHEN count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) < 0.5 THEN 'MEDIUM' ELSE 'HIGH' END AS level, count(*) AS applicable, count(*) FILTER (WHERE o_orderstatus = 'F') AS ok FROM orders GROUP BY ALL""")
+@query("""WITH c AS (SELECT o_custkey AS product, count(*) AS applicable, count(*) FILTER (WHERE o_orderstatus = 'F') AS ok FROM orders GROUP BY ALL)
+ SELECT *, CASE WHEN ok / applicable < 0.6 THEN 'LOW' WHEN ok < applicable THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM c""")
 def reliability_level(spark, sf_dir):
+    """How far the comparisons of each product can be relied on, by what was measured."""
     own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("product")).agg(F.count(F.lit(1)).alias("applicable"), F.count_if(F.col("o_orderstatus") == "F").alias("ok"))
-    return own.withColumn("level", changes.reliability_level(F.try_divide("ok", "applicable")))
+    none = F.lit(None).cast("double")
+    return own.withColumn("level", changes.reliability_level(F.try_divide("ok", "applicable"), F.col("applicable") - F.col("ok"), none, F.lit(0)))
 
 
 @query("""SELECT conv_id AS lineage, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS relations, arg_min(role, turn) AS first_relation, min(turn) AS first_turn FROM conversations GROUP BY ALL""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, relational, state
+from . import analytics, relational, reporting, state
 
-QUERIES: dict = {**relational.QUERIES, **analytics.QUERIES, **state.QUERIES}
-SQL: dict[str, str] = {**relational.SQL, **analytics.SQL, **state.SQL}
+QUERIES: dict = {**relational.QUERIES, **analytics.QUERIES, **state.QUERIES, **reporting.QUERIES}
+SQL: dict[str, str] = {**relational.SQL, **analytics.SQL, **state.SQL, **reporting.SQL}

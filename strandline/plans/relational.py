@@ -140,8 +140,8 @@ c AS (SELECT l_orderkey, l_returnflag || l_linestatus AS role, lower(l_shipdate:
 a AS (SELECT "left", "right", role, label, artifact AS a, row_number() OVER (PARTITION BY "left", "right", role, label ORDER BY artifact) AS n FROM t JOIN c ON "left" = l_orderkey),
 b AS (SELECT "left", "right", role, label, artifact AS b, row_number() OVER (PARTITION BY "left", "right", role, label ORDER BY artifact) AS n FROM t JOIN c ON "right" = l_orderkey),
 named AS (SELECT "left", "right", role, a, b, 'LABEL' AS rule FROM a JOIN b USING ("left", "right", role, label, n)),
-ra AS (SELECT "left", "right", role, a, row_number() OVER (PARTITION BY "left", "right", role ORDER BY a, label) AS n FROM a ANTI JOIN b USING ("left", "right", role, label, n)),
-rb AS (SELECT "left", "right", role, b, row_number() OVER (PARTITION BY "left", "right", role ORDER BY b, label) AS n FROM b ANTI JOIN a USING ("left", "right", role, label, n))
+ra AS (SELECT "left", "right", role, a, row_number() OVER (PARTITION BY "left", "right", role ORDER BY label, a) AS n FROM a ANTI JOIN b USING ("left", "right", role, label, n)),
+rb AS (SELECT "left", "right", role, b, row_number() OVER (PARTITION BY "left", "right", role ORDER BY label, b) AS n FROM b ANTI JOIN a USING ("left", "right", role, label, n))
 SELECT * FROM named UNION ALL SELECT "left", "right", role, a, b, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'POSITION' ELSE 'UNKNOWN' END FROM ra FULL JOIN rb USING ("left", "right", role, n)
 """.replace("lower(l_shipdate::DATE::VARCHAR[1:7])", "l_shipdate"))
 def component_pairing(spark, sf_dir):
@@ -248,8 +248,8 @@ def global_search(spark, sf_dir):
     return search.merged([part("pages", "page", "page_id", "url", "THE"), part("part", "part", "p_partkey", "p_name", "The"), part("customer", "product", "c_custkey", "c_name", "00")], 50)
 
 
-@query("""
-SELECT doc_id, source FROM documents WHERE list_contains(string_split_regex(lower(text), '[^a-z0-9]+'), 'the') AND list_contains(string_split_regex(lower(text), '[^a-z0-9]+'), 'for')
+@query(r"""
+SELECT doc_id, source FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'the') AND list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'for')
 """)
 def token_search(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(search.has_tokens(F.col("text"), "The FOR")).select("doc_id", "source")
