@@ -3,7 +3,7 @@
 1. Texts are dealt to ranges of doc_id, sorted, encoded with the tokenizers library and written as
    plain ids, each with its place in its range. The library sees every distinct chunk
    (bpe.TextCutter) of a slice of texts once; ids are those of the whole text.
-2. All ids are counted; the counts, one for each id of the vocabulary, make the shared table.
+2. All ids are counted on the way; the counts, one for each id of the vocabulary, make the shared table.
 3. Runs of whole documents of about BLOCK ids become independent blocks (rans.py): a row of a
    Parquet folder with the payload, the documents' ids and sizes, and CRCs of payload and ids.
 4. A reader decodes any block on its own, checks both CRCs, and finds the place of a block in the
@@ -100,6 +100,7 @@ class LibraryEncoder:
         return with_odd(ids, bounds, {int(i): self._encoded([texts[int(i)].as_py()])[1] for i in np.flatnonzero(odd)})
 
 
+_COUNTS = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
 _held: dict[str, LibraryEncoder] = {}
 
 
@@ -110,51 +111,48 @@ def _encoder(path: str) -> LibraryEncoder:
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = END) -> DataFrame:
-    """Rows (part, row, offset, doc_id, ids) in id order within each part; parts ascend too.
+    """Rows (part, row, offset, doc_id, ids, counts) in id order within each part; parts ascend too.
 
     row counts a part's rows, offset its ids before the row. ids: little-endian uint16 where the
-    vocabulary fits, else uint32, the end id last.
+    vocabulary fits, else uint32, the end id last. A part ends with a row -1 that holds nothing but
+    how often it has each id.
     """
     path = vocabulary or vocabulary_path()
+    names = ["row", "offset", "doc_id", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row, offset = _encoder(path), 0, 0
         kind = np.uint16 if encoder.size <= 1 << 16 else np.uint32
+        total = np.zeros(encoder.size, np.int64)
         for batch in batches:
             for part in _slices(batch, SLICE):
                 flat, ends = encoder.encode(part.column(1))
                 n = part.num_rows
                 flat, ends = np.insert(flat.astype(kind), ends[1:], end), ends + np.arange(n + 1)  # the end id after each
+                total += np.bincount(flat, minlength=encoder.size)
                 raw = flat.tobytes()
                 ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * flat.itemsize).astype(np.int32)), pa.py_buffer(raw)])
-                columns = [pa.array(np.arange(row, row + n)), pa.array(offset + ends[:-1]), part.column(0), ids]
-                whole = pa.RecordBatch.from_arrays(columns, ["row", "offset", "doc_id", "ids"])
+                columns = [pa.array(np.arange(row, row + n)), pa.array(offset + ends[:-1]), part.column(0), ids, pa.nulls(n, _COUNTS)]
+                whole = pa.RecordBatch.from_arrays(columns, names)
                 for a, b in _runs(ends):
                     yield whole.slice(a, b - a)
                 row, offset = row + n, offset + int(ends[-1])
+        seen = np.flatnonzero(total)
+        counts = pa.StructArray.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+        columns = [pa.array([-1]), pa.array([offset]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), counts)]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = dealt.mapInArrow(freeing(run), "row long, offset long, doc_id long, ids binary")
+    rows = dealt.mapInArrow(freeing(run), "row long, offset long, doc_id long, ids binary, counts array<struct<id: bigint, n: bigint>>")
     return staged(rows.select(F.spark_partition_id().alias("part"), "*"), "ids")
 
 
-def _counted(kind: str, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), kind)
-            total += np.bincount(ids, minlength=size)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
-
-    return run
-
-
 def write_blocks(rows: DataFrame, path: str, size: int, block: int = BLOCK) -> None:
     """Write tokenized rows as blocks under path/blocks, and their table under path/table."""
     spark, kind = rows.sparkSession, np.dtype("<u2" if size <= 1 << 16 else "<u4").str
-    found = rows.select("ids").mapInArrow(freeing(_counted(kind, size)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most size rows
+    pairs = rows.where("counts IS NOT NULL").select(F.explode("counts").alias("c")).select("c.id", "c.n")
+    found = pairs.groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most size rows
     counts = np.zeros(size, np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
@@ -185,7 +183,7 @@ def write_blocks(rows: DataFrame, path: str, size: int, block: int = BLOCK) -> N
         if held:
             yield closed()
 
-    rows.select("part", "row", "offset", "doc_id", "ids").mapInArrow(freeing(run), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    rows.where("row >= 0").select("part", "row", "offset", "doc_id", "ids").mapInArrow(freeing(run), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 _BLOCK_SCHEMA = pa.schema(
