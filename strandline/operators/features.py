@@ -36,10 +36,19 @@ def graph_hash(blocks: pd.Series) -> pd.Series:
     return blocks.map(one)
 
 
+def _with(value: Column, f) -> Column:
+    """f(value), where value is computed once, however often f refers to it inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def histogram(values: Column) -> Column:
-    """A map from each value of an array to its count."""
-    kinds = F.array_sort(F.array_distinct(values))
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(values, lambda v: v == k)).cast("long")))
+    """A map from each value of an array to its count: the lengths of the runs of the sorted array."""
+
+    def counted(ordered: Column) -> Column:
+        first = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
+        return _with(first, lambda at: F.map_from_arrays(F.transform(at, lambda i: F.get(ordered, i)), F.transform(at, lambda i, k: (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).cast("long"))))
+
+    return F.when(values.isNotNull(), _with(F.sort_array(values), counted))
 
 
 def from_export(functions: DataFrame) -> DataFrame:

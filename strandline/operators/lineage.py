@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import size_ratio
 from ..functions.stats import jaccard, weighted_mean
 from .graph import _kept
 from .match import MARGIN, STRONG, WEIGHTS, family_scores, greedy
@@ -28,6 +29,9 @@ JOIN = ("EXACT", "STRONG", "PROBABLE")
 SPLIT_MIN, MERGE_MIN, RETURN_MIN = 0.40, 0.60, 0.75
 TRIVIAL, DATA_ITEMS, DATA_SUPPORT, DATA_CONTRADICT = 8, 2, 0.8, 0.3
 
+#: Instruction counts further apart than this factor leave the weighted mean below RETURN_MIN: all else at 1,
+#: (0.35 sqrt(ratio) + 0.65) must reach 0.75, so the ratio 0.0816.
+NEAR = 12.3
 #: Rows a side, about, that one task pairs with as many of the other side.
 PAIR_BLOCK = 1024
 
@@ -90,19 +94,67 @@ def resolve(graded: DataFrame) -> DataFrame:
     return out.select("product", "fn", "lineage", "score", status.alias("status"))
 
 
-def paired(old: DataFrame, new: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
-    """Every row of old (product, lineage, ...) beside every row of new (product, fn, ...) of its product.
+def paired(old: DataFrame, new: DataFrame, block: int = PAIR_BLOCK, by: tuple[str, ...] = ("product",)) -> DataFrame:
+    """Every row of old (product, lineage, ...) beside every row of new (product, fn, ...) of its product, or of
+    other common keys.
 
-    Each side of a product is dealt to blocks of about so many rows and each pair of blocks is a join
-    key of its own, so that no task pairs a whole product.
+    Each side of a key is dealt to blocks of about so many rows and each pair of blocks is a join key of
+    its own, so that no task pairs a whole product.
     """
-    blocks = lambda side, n: side.groupBy("product").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
-    sizes = _kept(blocks(old, "_m").join(blocks(new, "_n"), "product"))
-    dealt = lambda by, n: F.pmod(F.xxhash64(by), F.col(n)).cast("int")
+    by = list(by)
+    blocks = lambda side, n: side.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    sizes = _kept(blocks(old, "_m").join(blocks(new, "_n"), by))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = old.join(sizes, "product").withColumn("_i", dealt("lineage", "_m")).withColumn("_j", every("_n")).drop("_m", "_n")
-    b = new.join(sizes, "product").withColumn("_j", dealt("fn", "_n")).withColumn("_i", every("_m")).drop("_m", "_n")
-    return a.join(b, ["product", "_i", "_j"]).drop("_i", "_j")
+    a = old.join(sizes, by).withColumn("_i", dealt("lineage", "_m")).withColumn("_j", every("_n")).drop("_m", "_n")
+    b = new.join(sizes, by).withColumn("_j", dealt("fn", "_n")).withColumn("_i", every("_m")).drop("_m", "_n")
+    return a.join(b, [*by, "_i", "_j"]).drop("_i", "_j")
+
+
+def _numbers(f: Column, callers: str) -> Column:
+    """What can be told of a function without its sets and maps: enough for an upper bound of its scores."""
+    items = F.size(F.array_distinct(F.concat(f["strings"], F.transform(f["constants"], lambda c: c.cast("string")))))
+    own = {c: f[c] for c in ("normalized_hash", "insn_count", "cfg_blocks", "cfg_edges", "cyclomatic", "cfg_hash", "name")}
+    return F.struct(*(v.alias(k) for k, v in own.items()), F.size(f["callees"]).alias("callees"), F.size(f["callers"]).alias("callers"), items.alias("items"), F.col(callers).alias("context"))
+
+
+def _possible(o: Column, n: Column) -> Column:
+    """False only where assess() must reject: from sizes alone, no score can be enough.
+
+    A cosine is at most 1, a Jaccard similarity at most the quotient of the sizes; the other families are
+    exact. A slack covers the rounding of the families.
+    """
+    same = lambda f: F.coalesce(o[f] == n[f], F.lit(False))
+    instruction = F.when(same("normalized_hash"), 1.0).otherwise(F.sqrt(size_ratio(o["insn_count"], n["insn_count"])))
+    cfg = F.when(same("cfg_hash"), 1.0).otherwise(sum((size_ratio(o[f], n[f]) for f in ("cfg_blocks", "cfg_edges", "cyclomatic")), F.lit(0.0)) / 3 * 0.9)
+    degree = (size_ratio(o["callees"], n["callees"]) + size_ratio(o["callers"], n["callers"])) / 2
+    data = F.try_divide(F.least(o["items"], n["items"]), F.greatest(o["items"], n["items"]))
+    named = F.when(o["name"].isNotNull() & n["name"].isNotNull(), (o["name"] == n["name"]).cast("double"))
+    best = weighted_mean({"instruction": instruction, "cfg": cfg, "callgraph": (1 + degree) / 2, "data-reference": data, "identity": named}, WEIGHTS)
+    similar = (0.35 * instruction + 0.25 * cfg) / 0.60
+    context = F.arrays_overlap(o["context"], n["context"]) & (data >= DATA_SUPPORT)
+    slack = 0.0005
+    return F.coalesce(same("normalized_hash") | (similar >= STRONG - slack) | (best >= RETURN_MIN - slack) | context, F.lit(True))
+
+
+def claimable(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Pairs (product, lineage, fn) that assess() may not reject.
+
+    old: product, lineage, old, old_callers; new: product, fn, new, new_callers. An enough score needs
+    instruction counts within a factor of NEAR: classes of that factor and their neighbours are joined, in
+    blocks; equal code and common callers, whatever the size, are joined by themselves. Sets and maps stay
+    behind until a pair is possible.
+    """
+    a = _kept(old.select("product", "lineage", _numbers(F.col("old"), "old_callers").alias("o")))
+    b = _kept(new.select("product", "fn", _numbers(F.col("new"), "new_callers").alias("n")))
+    size_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / F.log(F.lit(NEAR)) + 1e-9).cast("int")
+    own = size_class(F.col("o.insn_count"))
+    near = paired(a.withColumn("class", F.explode(F.sequence(own - 1, own + 1))), b.withColumn("class", size_class(F.col("n.insn_count"))), by=("product", "class"))
+    near = near.where(_possible(F.col("o"), F.col("n"))).select("product", "lineage", "fn")
+    key = lambda f, c: f.where(F.col(c).isNotNull()).withColumn("_k", F.col(c))
+    equal = key(a, "o.normalized_hash").join(key(b, "n.normalized_hash"), ["product", "_k"]).select("product", "lineage", "fn")
+    met = a.withColumn("_k", F.explode("o.context")).join(b.withColumn("_k", F.explode("n.context")), ["product", "_k"]).where(_possible(F.col("o"), F.col("n"))).select("product", "lineage", "fn")
+    return near.unionByName(equal).unionByName(met).distinct()
 
 
 def _structs(functions: DataFrame, name: str) -> DataFrame:
@@ -172,7 +224,8 @@ def _step(k, rows, functions, current, disappeared, history, rollbacks):
     none = F.array().cast("array<string>")
     a = disappeared.join(old_callers, ["product", "lineage"], "left").join(_structs(functions, "old").withColumnRenamed("old_fn", "fn"), ["product", "fn"]).select("product", "lineage", "old", F.coalesce("old_callers", none).alias("old_callers"))
     b = free.join(new_callers, ["product", "right"], "left").join(_structs(functions, "new").withColumnRenamed("new_fn", "right"), ["product", "right"]).select("product", "right_build", F.col("right").alias("fn"), "new", F.coalesce("new_callers", none).alias("new_callers"))
-    pairs = a.join(b, "product")
+    ids = _kept(claimable(a, b))
+    pairs = ids.join(a, ["product", "lineage"]).join(b, ["product", "fn"])
     if rollbacks is None:
         pairs = pairs.withColumn("rollback", F.lit(False))
     else:

@@ -379,7 +379,8 @@ def _lineage_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query()
 def lineage_fold(spark, sf_dir):
     """Lineages of documents over four builds of each source: relations by build."""
-    out = lineage.fold(*_lineage_inputs(spark, sf_dir))
+    builds, functions, matches = _lineage_inputs(spark, sf_dir)
+    out = lineage.fold(builds, graph._kept(functions), matches)  # features are made from texts here: once, not in every step
     return out.groupBy("product", "build", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
