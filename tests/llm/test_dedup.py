@@ -57,9 +57,10 @@ def lines_brute(rows):
         own = [(k, x.strip(" ")) for k, x in enumerate(lines) if x.strip(" ")]
         gone = set()
         for k in range(len(own) - 2):
-            win = tuple(x for _, x in own[k : k + 3])
-            if seen.setdefault(win, (i, own[k][0])) != (i, own[k][0]):
-                gone |= set(range(own[k][0], own[k + 2][0] + 1))
+            win, here = tuple(x for _, x in own[k : k + 3]), range(own[k][0], own[k + 2][0] + 1)
+            first = seen.setdefault(win, (i, here))
+            if first != (i, here):  # the first occurrence stays whole, if this one overlaps it
+                gone |= set(here) - (set(first[1]) if first[0] == i else set())
         out[i] = (t if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines) if t is not None else 0, len(gone))
     return out
 
@@ -78,6 +79,23 @@ def test_line_dedup_keeps_columns_and_takes_null_ids(spark):
     assert out.columns[:8] == [c.split()[0] for c in SCHEMA.split(", ")]
     assert sorted((r["doc_id"] or 0, r["text"], r["v"]) for r in out.collect()) == [(0, "", "y"), (1, "a\nb\nc", "y"), (1, "a\nb\nc", "y")]
     assert dedup_lines(frame(spark, [])).collect() == []
+    # of two rows without an id, or with one id and two texts, one keeps the passage
+    for i in (None, 7):
+        out = dedup_lines(frame(spark, [(i, "a\nb\nc\nd1"), (i, "a\nb\nc\nd2")])).collect()
+        assert sorted(r["n_removed"] for r in out) == [0, 3] and sorted(len(r["text"]) for r in out) == [2, 8]
+    out = dedup_lines(frame(spark, [(1, "z\nz\nz\nz\nend")])).first()
+    assert out["text"] == "z\nz\nz\nend"
+    named = spark.createDataFrame([("b", "a\nb\nc"), ("a", "a\nb\nc\nd"), (None, "b\nc\nd")], "doc_id string, text string")
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(named).collect()} == {"a": "a\nb\nc\nd", "b": "", None: ""}
+
+
+def test_line_dedup_of_long_texts_is_not_quadratic(spark):
+    import time
+
+    text = "p1\np2\np3\n" + "\n".join(f"own {k}" for k in range(40_000))
+    began = time.time()
+    out = dedup_lines(frame(spark, [(1, text), (2, text.replace("own", "other"))])).collect()
+    assert sorted(r["n_removed"] for r in out) == [0, 3] and time.time() - began < 30
 
 
 def shingles(text):
