@@ -6,8 +6,8 @@ punctuation, and words with digits or signs inside letters (obfuscation). Texts
 numpy over their UTF-8 bytes, many at a time.
 
 Labels are used only from rows whose crc32(doc_id as text) mod 5 is not 0, at most `sample` of them
-in the order of a hash of doc_id: remainders 1 and 2 give the lexicon, 2 and 3 the trees, 4 the
-calibration. Spark counts the lexicon's evidence; what comes to the driver is the lexicon (LEXICON
+in the order of a hash of doc_id: remainders 1 and 2 give the lexicon, 3 the trees, 4 the calibration,
+so that no label is used twice. Spark counts the lexicon's evidence; what comes to the driver is the lexicon (LEXICON
 entries) and the sample's features (about 150 bytes a row).
 """
 
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import freeing, staged, table
 from .shingles import _BYTE, _FOLD, _power, mix
 
+#: Labelled rows that train() learns from at most, a parameter of it.
 SAMPLE = 30_000
+#: Entries of the lexicon at most, a parameter of train(): the ones with the most evidence.
 LEXICON = 4_000
 PREFIXES = (4, 5, 6, 8)
 SEEDS = "idiot moron stupid loser clown scum trash worthless pathetic disgusting dumb fool hate ugly shut jerk kill crap damn hell".split()
@@ -253,7 +255,7 @@ class Model:
 
     def fit(self, x: np.ndarray, y: np.ndarray, part: np.ndarray) -> Model:
         self.share = float(y.mean()) if len(y) else 0.0
-        fit, check = np.isin(part, (2, 3)), part == 4
+        fit, check = part == 3, part == 4
         if not 0 < y[fit].sum() < fit.sum():
             fit = np.ones(len(y), bool)  # too few rows to set some apart
         if 0 < y[fit].sum() < fit.sum():
@@ -293,12 +295,18 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON) -> Model:
-    """Fit on at most `sample` labelled rows that are not held out."""
+    """Fit on at most `sample` labelled rows that are not held out.
+
+    Rows without an id or a label teach nothing. An id with several labels is toxic if one says so, one
+    with several texts has the least of them; other columns are ignored. Without documents, labels or
+    both kinds of them the model scores the share of toxic ones.
+    """
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
-    known = labels.select("doc_id", F.col("toxic").cast("long").alias("toxic"), rest.alias("part")).where("part <> 0 AND toxic IS NOT NULL").dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col("toxic").cast("long").alias("toxic"), rest.alias("part")).where("part <> 0 AND toxic IS NOT NULL").groupBy("doc_id", "part").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = staged(texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]), "labelled")  # known is bounded by sample
+    rows = texts.join(F.broadcast(known), "doc_id")  # known is bounded by sample
+    rows = staged(rows.groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text")), "labelled")
 
     early = rows.where("part IN (1, 2)").select("toxic", "text").dropDuplicates()  # copies are one piece of evidence
     size = early.agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
@@ -321,9 +329,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "part", "x"])
 
     got = rows.select("toxic", F.col("part").cast("long").alias("part"), "text").mapInArrow(freeing(featured), "toxic long, part long, x array<double>")
-    got = got.orderBy("x", "toxic").collect()  # in an order of its own, so that every run fits the same trees
+    got = got.collect()  # at most `sample` rows
     x = np.array([r["x"] for r in got]).reshape(-1, len(NAMES))
-    return model.fit(x, np.array([r["toxic"] for r in got], float), np.array([r["part"] for r in got]))
+    toxic, part = np.array([r["toxic"] for r in got], float), np.array([r["part"] for r in got], np.int64)
+    order = np.lexsort([part, toxic, *x.T])  # an order of their own, so that every run fits the same trees
+    return model.fit(x[order], toxic[order], part[order])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
