@@ -40,7 +40,9 @@ SLACK = 0.10
 BLOCK = 1024
 #: Members of a bucket up to which one pivot does.
 FEW = 8
-#: Ids broadcast at most, 8 bytes each.
+#: Tasks that share a hot bucket's rows while these are counted.
+SALTS = 16
+#: Ids broadcast at most, 16 bytes each.
 BROADCAST_ROWS = 500_000
 
 
@@ -79,8 +81,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k += len(s) > 0
             ids = batch.column(0).slice(at, len(sets))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())],
-                ["id", "n", "digest", "bands", "marks"],
+                [ids, batch.column(2).slice(at, len(sets)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())],
+                ["id", "key", "n", "digest", "bands", "marks"],
             )
 
 
@@ -200,27 +202,32 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words stand between ASCII white space, A-Z count as a-z; a set holds the distinct runs of five
     words, or the whole of a shorter text. Documents are linked when 100 * intersection is at least
     85 * union; component_id is the least id that links reach. Null, empty and white texts have no
-    shingles and are linked with nothing. Rows that repeat an id name one vertex, whatever their
-    texts. A row without an id takes its component from rows with the same set, or null, and is kept
-    only if that is null. Other columns are ignored; an empty table gives no rows.
+    shingles and are linked with nothing. Rows that repeat an id name one vertex; if their texts
+    differ, the one with the least digest of its set is compared with others. A row without an id takes
+    its component from rows with the same set, or null, and is kept only if that is null. Ids are whole
+    numbers; one that is none raises an error. Other columns are ignored; an empty table gives no rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = staged(own.mapInArrow(freeing(_signed), "id long, n long, digest binary, bands array<bigint>, marks binary"), "signatures")
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("v"))
-    classes = checkpointed(classes)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    signed = staged(own.mapInArrow(freeing(_signed), "id long, key long, n long, digest binary, bands array<bigint>, marks binary"), "signatures")
+    classes = checkpointed(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("v")))
 
     named = classes.where("v IS NOT NULL")
-    members = signed.select(F.col("id").alias("v"), "digest", "n", "bands", "marks").join(named, ["digest", "v"], "left_semi").dropDuplicates(["v", "digest"])
+    chosen = signed.select(F.col("id").alias("v"), "digest", "key").join(named, ["v", "digest"], "left_semi").groupBy("v").agg(F.min(F.struct("digest", "key")).alias("_c")).select("v", "_c.digest", "_c.key")
+    members = signed.select(F.col("id").alias("v"), "digest", "key", "n", "bands", "marks").join(chosen, ["v", "digest", "key"], "left_semi").dropDuplicates(["v"])
     members = staged(members.drop("digest"), "members")
-    spread = members.select("v", F.posexplode("bands").alias("band", "h")).repartition("h")
-    counted = spread.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("v").alias("d")).where("d > 1")
-    crowded = checkpointed(spread.join(counted, "h").select("h", "band", "v", "c"))
+    # a bucket's rows are dealt to salts, and its size goes to those of them that it has: no task gets all rows of a hot one
+    spread = members.select("v", F.posexplode("bands").alias("band", "h")).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))
+    counted = spread.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("_x"), F.max("v").alias("_y"), F.bit_or(bit).alias("_bits")).where("_x < _y")
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.call_function("getbit", F.col("_bits"), k) == 1)
+    counted = counted.select("h", "c", F.explode(salts).alias("salt"))
+    crowded = checkpointed(spread.join(counted, ["h", "salt"]).select("h", "band", "v", "c"))
 
     ids = crowded.select("v").distinct()
-    few = small(ids.withColumnRenamed("v", "id"), BROADCAST_ROWS)
-    texts = own.join(few, "id", "left_semi").select(F.col("id").alias("v"), "text").dropDuplicates(["v"])
+    few = small(members.join(ids, "v", "left_semi").select(F.col("v").alias("id"), "key"), BROADCAST_ROWS)
+    texts = own.join(few, ["id", "key"], "left_semi").select(F.col("id").alias("v"), "text").dropDuplicates(["v"])
     texts = staged(texts, "candidates")
-    marks = members.join(ids, "v", "left_semi").select("v", "n", "marks", "bands").dropDuplicates(["v"])
+    marks = members.join(ids, "v", "left_semi").select("v", "n", "marks", "bands")
 
     def pairs(rows: DataFrame, whole: bool) -> DataFrame:
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")

@@ -135,6 +135,16 @@ def test_near_dedup_finds_all_components(spark):
     assert got == near_brute(rows)
 
 
+def test_near_dedup_of_repeated_ids_with_other_texts(spark):
+    rnd = random.Random(8)
+    a, b = words(rnd, 60), words(rnd, 60, 10_000)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(a)), (2, " ".join(a)), (3, " ".join(b)), (None, " ".join(b)), (None, "alone with no id"), (4, " ".join(words(rnd, 60, 10_000)))]
+    first = sorted(map(str, near_components(frame(spark, rows)).collect()))
+    assert first == sorted(map(str, near_components(frame(spark, rows[::-1]).repartition(3)).collect()))
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_components(frame(spark, rows)).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, None, True), (4, 4, True)}
+
+
 def test_near_dedup_of_a_hot_group_over_several_blocks(spark, monkeypatch):
     from strandline.llm import op10_near_dedup as op
 
