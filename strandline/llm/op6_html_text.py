@@ -4,10 +4,11 @@
    page's article is hashed: tags, classes and text, without links' targets.
 2. Spark counts, for each host and each section of it (the first segment of the path), the pages that
    have a subtree. One that stands on MIN_PAGES pages and MIN_SHARE of the pages at least, of the host
-   or of the section, belongs to the template of these pages. Each has 1 / MIN_SHARE times as many of
-   them as an average page has subtrees, at most.
-3. Templates are deleted from each page, then elements that are furniture by their tag, role, class
-   or id. What is left of the article (or main element, or body) is the text.
+   or of the section, or on MANY pages whatever their share, belongs to the template of these pages.
+3. Templates are deleted from each page, then elements that are furniture by their tag or role, outside
+   the article by class or id too; inside it only what is named exactly as an advert, share box or reader
+   comments, and never a paragraph or heading. What is left of the article (or main element, or body) is
+   the text.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import freeing, staged, table
 from .op2_bpe import _slices
 from .op4_url_filter import split_url
 
-MIN_PAGES, MIN_SHARE = 5, 0.5
+MIN_PAGES, MIN_SHARE, MANY = 5, 0.5, 1000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -34,6 +35,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+NOT_P = BLOCK - {"p"}
 #: What a start tag closes first, up to one of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
@@ -45,6 +47,8 @@ FURNITURE_NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?"
     r"|comments?|commentlist|disqus|replies|reply|respond|footer|masthead|share|sharing|social|related|recommended|newsletter|subscribe|subscription|popup|modal|overlay|widgets?|toolbar|pagination|pager|login|signup|search)(?:$|[-_\s])"
 )
+#: Classes and ids that are no part of an article even inside one.
+FOREIGN = set("ad ads advert adverts advertisement advertisements adsense sponsored share sharing share-buttons social social-share comments comment-list commentlist disqus disqus_thread cookie-notice newsletter newsletter-signup".split())
 PROSE = set("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 
 
@@ -62,6 +66,15 @@ def parse(page: str) -> Node:
     """A tree of the page, in the manner of browsers for what they forgive: open tags are closed where
     the next one asks for it, stray end tags are passed over."""
     root = here = Node("#root", "", None)
+    open_: dict[str, int] = {}  # how many elements of a name are open: what is not open is not looked for
+
+    def leave(target: Node) -> Node:
+        node = here
+        while node is not target:
+            open_[node.tag] -= 1
+            node = node.up
+        return target
+
     at = 0
     while True:
         m = TOKEN.search(page, at)
@@ -75,18 +88,16 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node.up is not None and node.tag != tag:
-                node = node.up
-            if node.up is not None:
-                here = node.up
+            if open_.get(tag):
+                node = here
+                while node.tag != tag:
+                    node = node.up
+                here = leave(node.up)
             elif tag == "p":
                 here.children.append(Node("p", "", here))
             continue
-        if tag in BLOCK:
-            here = _closed(here, {"p"}, BLOCK - {"p"})
-        if tag in CLOSES:
-            here = _closed(here, *CLOSES[tag])
+        for tags, fence in ([({"p"}, NOT_P)] if tag in BLOCK else []) + ([CLOSES[tag]] if tag in CLOSES else []):
+            here = leave(_closed(here, tags, fence, sum(open_.get(t, 0) for t in tags)))
         node = Node(tag, m[3] or "", here)
         here.children.append(node)
         if tag in RAW:
@@ -94,13 +105,15 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             here = node
+            open_[tag] = open_.get(tag, 0) + 1
 
 
-def _closed(here: Node, tags: set[str], fence: set[str]) -> Node:
+def _closed(here: Node, tags: set[str], fence: set[str], n: int) -> Node:
+    """Where a start tag goes that closes the tags open up to the fence; n: how many of them are open at all."""
     node, top = here, here
-    while node.up is not None and node.tag not in fence:
+    while n and node.up is not None and node.tag not in fence:
         if node.tag in tags:
-            top = node.up
+            top, n = node.up, n - 1
         node = node.up
     return top
 
@@ -114,7 +127,7 @@ def elements(root: Node) -> Iterator[Node]:
 
 
 def furniture(node: Node, inside: bool) -> bool:
-    """True for menus, adverts, notices and the like. inside: below the article."""
+    """True for menus, adverts, notices and the like. inside: below the article, where a name says less."""
     if node.tag in FURNITURE_TAGS or node.tag == "header" and not inside:
         return True
     if not node.attrs.strip() or node.tag in ("html", "body", "article", "main"):
@@ -122,7 +135,12 @@ def furniture(node: Node, inside: bool) -> bool:
     a = node.named()
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    return a.get("role", "").lower() in FURNITURE_ROLES or bool(FURNITURE_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}".lower()))
+    if a.get("role", "").lower() in FURNITURE_ROLES:
+        return True
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower()
+    if inside:
+        return node.tag not in PROSE and not FOREIGN.isdisjoint(names.split())
+    return bool(FURNITURE_NAMES.search(names))
 
 
 def _length(node: Node) -> int:
@@ -193,7 +211,7 @@ def extract(page: str, templates: set[int]) -> str:
     return "\n\n".join(blocks)
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY) -> DataFrame:
     """Per row: page_id, url, text and n_chars.
 
     Null and empty html give an empty text; pages without a host share the empty one. Rows with one
@@ -213,12 +231,12 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                     lists.append(list({h for h, _ in hashed_subtrees(root, article(root))}))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), batch.column(3), pa.array(lists, pa.list_(pa.int64()))], ["page_id", "host", "section", "hashes"])
 
-    seen = own.mapInArrow(hashed, f"page_id {kind}, host string, section string, hashes array<bigint>")
+    seen = staged(own.mapInArrow(freeing(hashed), f"page_id {kind}, host string, section string, hashes array<bigint>"), "subtrees")
     parts = own.select(_host(F.col("url")).alias("host"), "section").groupBy("host", "section").agg(F.count(F.lit(1)).alias("pages"))
     sizes = parts.groupBy("host").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
     each = seen.select("page_id", "host", "section", F.explode("hashes").alias("hash"))
     counted = each.groupBy("host", "section", "hash").agg(F.count(F.lit(1)).alias("n"))
-    common = F.col("n") >= F.col("pages") * min_share
+    common = F.col("n") >= F.least(F.col("pages") * min_share, F.lit(many))
     wide = counted.groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
     wide = wide.join(sizes, "host").where(common).select("host", "hash")
     wide = counted.join(wide, ["host", "hash"], "left_semi").select("host", "section", "hash")
@@ -235,7 +253,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 texts = [extract(page, set(gone or ())) for page, gone in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(extracted, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.mapInArrow(freeing(extracted), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def _host(url):

@@ -118,6 +118,42 @@ def test_html_cases():
     assert extract('<main><p class="a>b">x</main>y', set()) == "x"
 
 
+def test_html_names_do_not_cut_an_article():
+    page = """<article><h1>T</h1><div class="related-work"><p>kept prose</p></div><p class="notice">kept too</p><section id="search"><p>on search</p></section><ul class="menu"><li>soup</ul>
+    <div class="ad">Buy</div><p class="ad">a word on ads</p><div id="comments"><p>reader</p></div></article><div class="related">out</div>"""
+    assert extract(page, set()).split("\n\n") == ["T", "kept prose", "kept too", "on search", "soup", "a word on ads"]
+
+
+def test_html_of_crafted_pages_takes_linear_time():
+    import time
+
+    for page in ("<div>" * 20_000 + "</x>" * 20_000 + "end", "<b>" * 20_000 + "<p>" * 20_000 + "end", "<ul>" + "<li><b>" * 20_000 + "</i>" * 20_000 + "end"):
+        began = time.time()
+        assert extract(page, set()).endswith("end") and time.time() - began < 5
+
+
+def test_html_against_counts(spark):
+    """Pages of random pieces, of which those on enough pages of a host or section must go, and only those."""
+    rnd = random.Random(9)
+    pieces = [(f"piece {k}", rnd.choice([0.02, 0.1, 0.4, 0.45, 0.55, 0.6, 0.9])) for k in range(40)]
+    pages = []
+    for k in range(300):
+        host, section = rnd.choice(["a.org", "a.org", "b.org"]), rnd.choice(["x", "y", "z"])
+        own = [t for t, share in pieces if rnd.random() < share] + [f"own {k}"]
+        rnd.shuffle(own)
+        pages.append((k, host, section, own))
+    want = {}
+    for k, host, section, own in pages:
+        near = [p for p in pages if p[1:3] == (host, section)]
+        far = [p for p in pages if p[1] == host]
+        on = lambda group, t: sum(t in p[3] for p in group)
+        gone = {t for t in own if any(on(g, t) >= max(5, min(len(g) / 2, 70)) for g in (near, far))}
+        want[k] = "\n\n".join(t for t in own if t not in gone)
+    rows = [(k, f"http://{h}/{s}/{k}", "<body>" + "".join(f"<div><span>{t}</span></div>" for t in own) + "</body>") for k, h, s, own in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract_pages(df, many=70).collect()} == want
+
+
 def test_html_templates_go_and_articles_stay(spark):
     box = "<div class=x><p>Subscribe to our daily letter</p></div>"
     rows = [(k, f"http://h.com/{k}", f"<body>{box}<div><p>Body number {k}</p></div></body>") for k in range(8)]
