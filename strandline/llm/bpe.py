@@ -186,6 +186,11 @@ class Lexicon:
 
     @staticmethod
     def write(words: dict[bytes, np.ndarray], path: str) -> None:
+        with open(path, "wb") as file:
+            file.write(Lexicon.packed(words))
+
+    @staticmethod
+    def packed(words: dict[bytes, np.ndarray]) -> bytes:
         names = sorted(w for w in words if w)
         root, states = _minimal(names)
         count = [0] * len(states)
@@ -210,12 +215,14 @@ class Lexicon:
         for k in Lexicon.FIELDS:
             head["fields"][k] = [str(data[k].dtype), list(data[k].shape), at]
             at += -(-data[k].nbytes // 64) * 64
-        with open(path, "wb") as file:
-            file.write(json.dumps(head).encode().ljust(4096))
-            for k in Lexicon.FIELDS:
-                file.seek(head["fields"][k][2])
-                file.write(data[k].tobytes())
-            file.truncate(at)
+        out = bytearray(at)
+        first = json.dumps(head).encode()
+        out[: len(first)] = first
+        out[len(first) : 4096] = b" " * (4096 - len(first))
+        for k in Lexicon.FIELDS:
+            place = head["fields"][k][2]
+            out[place : place + data[k].nbytes] = data[k].tobytes()
+        return bytes(out)
 
     def __init__(self, path: str):
         with open(path, "rb") as file:

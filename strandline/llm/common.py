@@ -42,6 +42,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a small file into the shared folder, through its own file system, and give its full path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/files/{name}")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(path)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return system.makeQualified(path).toString()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the shared folder; Spark deletes the files with the last reference."""
     shared_dir(df.sparkSession)

@@ -8,8 +8,6 @@ work: ids are the same with any lexicon, and with none.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, Lexicon, Vocabulary, vocabulary_at
-from .common import freeing, table
+from .common import freeing, shared_file, table
 
 #: Of a corpus's characters, a word of the lexicon opens one in so many: with its space it takes two
 #: of them at least, so there are at most half as many words; its file takes about 40 bytes a word.
@@ -44,14 +42,12 @@ def frequent_words(docs: DataFrame, one_in: int = ONE_IN, text_col: str = "text"
 
 
 def lexicon_file(spark: SparkSession, words: list[str], vocabulary: Vocabulary) -> str:
-    """Compile the words, with and without a space before them, and send the file to the executors."""
+    """Compile the words, with and without a space before them, into a file of the shared folder that executors fetch."""
     forms = [x.encode() for w in words for x in (w, " " + w)]
     sizes, flat = vocabulary.merge(forms)
     ids = dict(zip(forms, np.split(flat, np.cumsum(sizes)[:-1])))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="strandline-"), name)
-    Lexicon.write(ids, path)
-    spark.sparkContext.addFile(path)
+    spark.sparkContext.addFile(shared_file(spark, name, Lexicon.packed(ids)))
     return name
 
 
