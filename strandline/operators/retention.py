@@ -43,3 +43,28 @@ def next_jobs(jobs: DataFrame, queue: str, priority: str, created: str, seq: str
     aged = jobs.withColumn("effective", F.col(priority) + age)
     best = F.row_number().over(Window.partitionBy(queue).orderBy(F.desc("effective"), seq))
     return aged.withColumn("_n", best).where("_n = 1").drop("_n")
+
+
+def cleanup_plan(files: DataFrame, active: DataFrame, now, temp_days: int = 1, quarantine_days: int = 30, log_budget: float = 1e9) -> DataFrame:
+    """What may be removed: path, category, bytes, reason. files: root, category, name, at, bytes, state.
+
+    Temporary files older than some days (unless a run is at work on them, active: name; names in .tmp at
+    once), logs beyond the budget, backups outside the schedule, old quarantine, results that failed.
+    Sources and current results are in no category, so never in the plan.
+    """
+    age = (F.unix_timestamp(now) - F.unix_timestamp("at")) / 86400
+    of = lambda c: files.where(F.col("category") == c)
+    temp = of("temp").join(active.select("name").distinct(), "name", "left_anti").where(F.col("name").endswith(".tmp") | (age >= temp_days))
+    logs = over_budget(of("logs"), "root", "at", "bytes", log_budget, "name").where("expired").drop("running", "expired")
+    backups = backups_to_keep(of("backups"), "root", "at", "name").where("NOT kept").drop("week", "kept")
+    parts = {"temporary": temp, "beyond the log budget": logs, "outside the schedule": backups, "old quarantine": of("quarantine").where(age >= quarantine_days), "failed result": of("cache").where(F.col("state").isin("FAILED", "CORRUPTED"))}
+    out = None
+    for reason, rows in parts.items():
+        one = rows.select("root", "category", "name", "bytes", F.lit(reason).alias("reason"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def quarantined(reconciled_: DataFrame) -> DataFrame:
+    """State rows for what is stored and not known: QUARANTINED; nothing is deleted."""
+    return reconciled_.where("state = 'ORPHAN'").withColumn("state", F.lit("QUARANTINED"))

@@ -35,3 +35,8 @@ def merged(parts: list[DataFrame], limit: int) -> DataFrame:
     ranked = reduce(DataFrame.unionByName, (p.select("kind", "id", "label", F.lit(k).alias("rank")) for k, p in enumerate(parts)))
     first = F.row_number().over(Window.partitionBy("kind", "id").orderBy("rank", "label"))
     return ranked.withColumn("_n", first).where("_n = 1").orderBy("rank", "kind", "id").limit(limit).drop("_n")
+
+
+def index(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """The token table of a text column, made anew: key, token, how often."""
+    return rows.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))

@@ -134,3 +134,37 @@ def purge(plan: DataFrame, busy: DataFrame, artifact: str) -> DataFrame:
     """A purge plan (plan: EXCLUSIVE or SHARED) with what jobs are at work on kept: IN_USE."""
     held = busy.select(artifact).distinct().withColumn("_busy", F.lit(True))
     return plan.join(held, artifact, "left").withColumn("plan", F.when(F.col("_busy"), "IN_USE").otherwise(F.col("plan"))).drop("_busy")
+
+
+def with_ids(pairs: DataFrame, functions: DataFrame, scope: str = "artifact") -> DataFrame:
+    """Matcher pairs (left_artifact, left, right_artifact, right) with the ids of their functions, null where there is none.
+
+    functions: scope, address, id, created; of several rows for an address the last one counts.
+    """
+    last = latest(functions, [scope, "address"], F.desc("created"), F.desc("id"))
+    side = lambda n: last.select(F.col(scope).alias(f"{n}_artifact"), F.col("address").alias(n), F.col("id").alias(f"{n}_id"))
+    return pairs.join(side("left"), ["left_artifact", "left"], "left").join(side("right"), ["right_artifact", "right"], "left")
+
+
+def reproducible(runs: DataFrame, packs: DataFrame, installed: DataFrame) -> DataFrame:
+    """Each run with a pack (run, pack): whether the very pack that it used is installed (pack, manifest)."""
+    used = runs.join(packs.select("pack", F.col("manifest").alias("_used")), "pack")
+    there = used.join(installed.select("pack", F.col("manifest").alias("_there")), "pack", "left")
+    return there.select("run", "pack", F.coalesce(F.col("_used") == F.col("_there"), F.lit(False)).alias("reproducible"))
+
+
+def members_checked(members: DataFrame, archive: str, most: int, most_bytes: int, most_total: int, most_ratio: int) -> DataFrame:
+    """Members of archives (archive, place, name, bytes, packed, encrypted, link) with `problem`: null for a safe one.
+
+    Names must stay inside the archive and differ in more than case; sizes are bounded one by one, by
+    what they unpack to, and in all, in the order of the members.
+    """
+    so_far = Window.partitionBy(archive).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    again = F.row_number().over(Window.partitionBy(archive, F.lower("name")).orderBy("place")) > 1
+    out = members.withColumn("_again", again).withColumn("_total", F.sum("bytes").over(so_far)).withColumn("_n", F.row_number().over(Window.partitionBy(archive).orderBy("place")))
+    outside = F.col("name").startswith("/") | F.col("name").contains("\\") | F.col("name").rlike("^[A-Za-z]:") | F.array_contains(F.split("name", "/"), "..") | (F.col("name") == "")
+    problem = (
+        F.when(outside, "path").when(F.col("encrypted"), "encrypted").when(F.col("link"), "link").when(F.col("_again"), "duplicate").when(F.col("bytes") > most_bytes, "size")
+        .when(F.col("bytes") > F.greatest(F.col("packed"), F.lit(1)) * most_ratio, "ratio").when(F.col("_total") > most_total, "total").when(F.col("_n") > most, "count")
+    )
+    return out.withColumn("problem", problem).drop("_again", "_total", "_n")

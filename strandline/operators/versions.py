@@ -54,3 +54,21 @@ def fingerprint(entries: DataFrame, version: str, fields: list[str]) -> DataFram
     """A digest of a version's entries that does not depend on their order."""
     line = F.concat_ws("\t", *(F.col(f).cast("string") for f in fields))
     return entries.groupBy(version).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_entries"))
+
+
+def last_two(rows: DataFrame, source: str, version: str, *order: Column | str) -> DataFrame:
+    """The last version of each source beside the one before; sources with fewer than two have no row."""
+    w = Window.partitionBy(source).orderBy(*order)
+    out = rows.select(source, F.col(version).alias("right"), F.lag(version).over(w).alias("left"), F.lead(version).over(w).alias("_next"))
+    return out.where("_next IS NULL AND left IS NOT NULL").select(source, "left", "right")
+
+
+def stable(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
+    """Copies (key, sha256) whose digest was the same in two reads; all others are not taken yet."""
+    return first.join(second.select(*key, "sha256"), [*key, "sha256"], "left_semi")
+
+
+def folder_fingerprint(entries: DataFrame, folder: str, name: str = "name", sha: str = "sha256") -> DataFrame:
+    """A digest of a watched folder: its names in lower case with their digests, in the order of the names."""
+    own = entries.groupBy(folder).agg(F.array_sort(F.collect_list(F.struct(F.lower(name).alias("n"), F.col(sha).alias("s")))).alias("_e"))
+    return own.select(folder, F.sha2(F.array_join(F.transform("_e", lambda e: F.concat_ws("\t", e["n"], e["s"])), "\n"), 256).alias("fingerprint"))
