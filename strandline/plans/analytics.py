@@ -93,7 +93,14 @@ def topk_candidates(spark, sf_dir):
     return match.top_candidates(pairs, "left").withColumn("ambiguous", F.coalesce((F.col("margin") < 500) & (F.col("rank") == 1), F.lit(False)))
 
 
-@query()
+GREEDY = f"""{FUNCTIONS}, p AS (SELECT l.component, l.entry AS l, r.entry AS r, 1 - abs(l.n - r.n) / greatest(l.n, r.n, 1) AS score FROM l JOIN r ON l.component = r.component WHERE least(l.n, r.n) * 3 >= greatest(l.n, r.n) OR abs(l.n - r.n) <= 4),
+ k AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY score DESC, l, r) AS n FROM p),
+ g AS (SELECT component, {{'n': 0::BIGINT, 'l': NULL::BIGINT, 'r': NULL::BIGINT, 'score': NULL::DOUBLE}} AS x, []::BIGINT[] AS ul, []::BIGINT[] AS ur FROM (SELECT DISTINCT component FROM p)
+  UNION ALL SELECT component, x, list_append(ul, x.l), list_append(ur, x.r) FROM (
+   SELECT g.component, any_value(g.ul) AS ul, any_value(g.ur) AS ur, arg_min({{'n': k.n, 'l': k.l, 'r': k.r, 'score': k.score}}, k.n) AS x FROM g JOIN k ON k.component = g.component AND k.n > g.x.n AND NOT list_contains(g.ul, k.l) AND NOT list_contains(g.ur, k.r) GROUP BY g.component))"""
+
+
+@query(f"""WITH RECURSIVE {GREEDY} SELECT component, x.l AS "left", x.r AS "right", x.score AS score FROM g WHERE x.n > 0""")
 def greedy_assignment(spark, sf_dir):
     """One-to-one assignment of documents by size."""
     left, right = _sides(spark, sf_dir)
@@ -387,10 +394,24 @@ def lineage_fold(spark, sf_dir):
     return out.groupBy("product", "build", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+GRADED = """
+ fn AS (SELECT source AS product, CAST(doc_id AS VARCHAR) AS fn, doc_id, (doc_id // 20) % 4 AS v, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '') AS w, string_split(text, chr(10)) AS ls FROM documents),
+ f AS (SELECT *, len(w) AS n, md5(array_to_string(w, '')) AS h, CASE WHEN length(w[1]) >= 4 THEN w[1] END AS name, list_distinct(ls) AS items, len(ls) AS b, len(list_distinct(w)) AS e, list_distinct(list_filter(w, lambda x: length(x) >= 12)) AS imports FROM fn WHERE (doc_id // 20) % 4 IN (0, 3)),
+ cnt AS (SELECT product, fn, v, word, count(*) AS k FROM (SELECT product, fn, v, unnest(w) AS word FROM f) GROUP BY ALL), nrm AS (SELECT fn, sqrt(sum(k * k)::DOUBLE) AS norm FROM cnt GROUP BY ALL),
+ dot AS (SELECT a.fn AS o, b.fn AS n, sum(a.k * b.k)::DOUBLE AS d FROM cnt a JOIN cnt b ON a.product = b.product AND a.word = b.word AND a.v = 0 AND b.v = 3 GROUP BY ALL),
+ x AS (SELECT o.product, o.fn AS lineage, n.fn, o.n AS so, n.n AS sn, o.h = n.h AND o.n > 0 AND n.n > 0 AS same, coalesce(d.d / nullif(no.norm * nn.norm, 0), 0) AS cos, 1 - abs(o.n - n.n) / greatest(o.n, n.n, 1) AS ratio,
+   0.3 * ((1 - abs(o.b - n.b) / greatest(o.b, n.b, 1)) + (1 - abs(o.e - n.e) / greatest(o.e, n.e, 1)) + (1 - abs(greatest(1, o.e - o.b + 2) - greatest(1, n.e - n.b + 2)) / greatest(1, o.e - o.b + 2, n.e - n.b + 2))) AS cfg,
+   len(list_intersect(o.imports, n.imports)) AS ii, len(o.imports) + len(n.imports) AS it, len(list_intersect(o.items, n.items)) AS di, len(o.items) AS do_, len(n.items) AS dn, o.name AS a, n.name AS z
+   FROM f o JOIN f n ON o.product = n.product AND o.v = 0 AND n.v = 3 LEFT JOIN dot d ON d.o = o.fn AND d.n = n.fn LEFT JOIN nrm no ON no.fn = o.fn LEFT JOIN nrm nn ON nn.fn = n.fn),
+ y AS (SELECT *, round(CASE WHEN same THEN 1.0 ELSE cos * sqrt(ratio) END, 4) AS i, round(cfg, 4) AS c, round(coalesce((ii / nullif(it - ii, 0) + 1) / 2, 1), 4) AS g, round(di / (do_ + dn - di), 4) AS d4, CASE WHEN do_ >= 2 AND dn >= 2 THEN di / (do_ + dn - di) END AS data, CASE WHEN a IS NOT NULL AND z IS NOT NULL THEN a = z END AS named FROM x),
+ s AS (SELECT *, round((0.35 * i + 0.25 * c + 0.15 * g + 0.15 * d4 + coalesce(0.1 * named::INT, 0)) / (0.9 + CASE WHEN named IS NULL THEN 0 ELSE 0.1 END), 4) AS score, coalesce(data < 0.3, FALSE) OR coalesce(NOT named, FALSE) AS contradicted FROM y)"""
+
+
+@query(f"""WITH {GRADED} SELECT product, lineage, fn, CASE WHEN NOT contradicted AND (least(so, sn) >= 8 AND (same OR (0.35 * i + 0.25 * c) / 0.6 >= 0.85) OR score >= 0.75) THEN 'CANDIDATE' ELSE 'REJECTED' END AS status, contradicted FROM s""")
 def resurrection_assess(spark, sf_dir):
     """Every graded pairing of a function of the first build with one of the last, by source."""
     _, functions, _ = _lineage_inputs(spark, sf_dir)
+    functions = graph._kept(functions.where("build IN ('b0', 'b3')"))
     old = lineage._structs(functions.where("build = 'b0'"), "old").withColumnRenamed("old_fn", "lineage")
     new = lineage._structs(functions.where("build = 'b3'"), "new").withColumnRenamed("new_fn", "fn")
     none = F.array().cast("array<string>")
