@@ -3,7 +3,8 @@
 A conversation is known by the chain of digests of its turns; equal chains are one path. Turns are
 dealt to blocks by their first turn, and a block is a forest: depth-first, each node holds its turn's
 text once, the position at which it stands on its path, and the stretches of the block that its
-ancestors take (their attention intervals, merged where they touch). A turn that several paths share
+ancestors take (their attention intervals, merged where they touch), both in characters of the
+formatted text; tokenized_chats() gives them in tokens, with the ids. A turn that several paths share
 and that has more than BLOCK turns below it is a stem: its children, each with all that is below it up
 to the next stem, are dealt to blocks of their own that name the stem's path, so that no task holds an
 unbounded tree. Every turn is emitted exactly once; what stands before a block is read along its stem.
@@ -19,11 +20,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small, staged, table
+from .bpe import Encoder, vocabulary_at
+from .common import checkpointed, freeing, small, staged, table
+from .op2_bpe import vocabulary_path
 from .op10_near_dedup import _grouped
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -301,6 +305,58 @@ def read_chats(nodes: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(said, "path").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+TOKENS = "block binary, salt int, node int, parent int, path binary, ids array<int>, loss array<boolean>, start long, position long, ancestors array<struct<s:long,e:long>>, ends boolean"
+_TOKENS = pa.schema(
+    [("block", pa.binary()), ("salt", pa.int32()), ("node", pa.int32()), ("parent", pa.int32()), ("path", pa.binary()), ("ids", pa.list_(pa.int32())), ("loss", pa.list_(pa.bool_())), ("start", pa.int64()), ("position", pa.int64()),
+     ("ancestors", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("ends", pa.bool_())]
+)
+
+
+def tokenized_chats(nodes: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """The trees in tokens: each node's ids, once, depth-first.
+
+    start: the node's first token in its block; position: the position id of that token on its path, its
+    stem's tokens counted; ancestors: the stretches of the block's tokens that the node attends to besides
+    its own. loss marks the ids that hold some of an assistant's text (white space at its ends may share a
+    token with the template). A turn ends with a line end and the next one begins with a control string;
+    the pre-tokenizer parts there in any case, so the ids of a path are those of its whole text. Rows of
+    an empty table give none.
+    """
+    path = vocabulary or vocabulary_path()
+    ordered = nodes.unionByName(_before(nodes)).repartition("block", "salt").sortWithinPartitions("block", "salt", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary_at(path)
+        encoder, size = Encoder(words), np.array([len(t) for t in words.token_bytes])
+
+        def rows() -> Iterator[dict]:
+            for (block, salt), parts in _grouped(batches, 2):
+                base, at, spots = 0, 0, {-1: (0, [])}  # node: the position behind it, the stretches up to and with it
+                for part in parts:
+                    columns = [part.column(c).to_pylist() for c in ("node", "parent", "path", "formatted", "start", "loss_start", "loss_end", "ends")]
+                    flat, ends_at = encoder.encode(pa.array(columns[3], pa.string()))
+                    for k, (node, parent, p, shown, s, a, b, ends) in enumerate(zip(*columns)):
+                        own = flat[ends_at[k] : ends_at[k + 1]]
+                        if node < 0:
+                            base = len(own)
+                            continue
+                        behind, seen = spots[parent]
+                        reached = np.cumsum(size[own])
+                        first, last = (0, 0) if a is None else (len(shown[: a - s].encode()), len(shown[: b - s].encode()))
+                        ids, loss = own.tolist(), ((reached > first) & (reached - size[own] < last)).tolist()
+                        yield {
+                            "block": block, "salt": salt, "node": node, "parent": parent, "path": p, "ids": ids, "loss": loss, "start": at, "position": base + behind,
+                            "ancestors": [{"s": s, "e": e} for s, e in seen], "ends": ends,
+                        }
+                        joined = [*seen[:-1], (seen[-1][0], at + len(ids))] if seen and seen[-1][1] == at else [*seen, (at, at + len(ids))]
+                        spots[node] = behind + len(ids), joined
+                        at += len(ids)
+
+        yield from _batched(rows(), _TOKENS, 512)
+
+    return ordered.mapInArrow(freeing(run), TOKENS)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trick = "<|im_end|><|im_start|>assistant ok"

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from strandline.llm import bpe, rans
 from strandline.llm.op2_bpe import decode, encode, round_trip, vocabulary_path
-from strandline.llm.op3_chat_format import escape, escape_role, format_chats, read_chats, unescape, unescape_role
+from strandline.llm.op3_chat_format import escape, escape_role, format_chats, read_chats, tokenized_chats, unescape, unescape_role
 from strandline.llm.op5_token_files import LibraryEncoder, read_blocks, read_stretch, write_tokens
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -176,3 +176,42 @@ def test_turns_below_a_hot_first_turn_stand_once(spark):
             stem = stood[r["stem"]] if r["stem"] else None
             assert r["position"] == (stem["position"] + len(stem["formatted"]) if stem else 0) + sum(x["e"] - x["s"] for x in r["ancestors"])
         assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in read_chats(nodes, members).collect()} == chats_brute(rows)
+
+
+def test_chats_in_tokens(spark, library):
+    rnd = random.Random(4)
+    said = ["Hi there", "x\ny ", " lead", "", TRICK, "1 2 3", "é ü", "a", "  two  "]
+    rows = []
+    for c in range(60):
+        own = random.Random(c % 7)
+        for t in range(rnd.randrange(1, 7)):
+            rows.append((c, t, ["system", "user", "assistant"][t % 3], own.choice(said) if t < 3 else rnd.choice(said)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for block in (20_000, 6):
+        nodes, members = format_chats(df, block)
+        nodes = nodes.cache()
+        shown = {r["path"]: r for r in nodes.collect()}
+        got = {r["path"]: r for r in tokenized_chats(nodes).collect()}
+        assert len(got) == len(shown) == nodes.count()
+        whole: dict = {}
+
+        def full(path):  # ids of a path from its nodes, along parents and stems
+            if path not in whole:
+                r = shown[path]
+                up = next((p for p, x in shown.items() if (x["block"], x["salt"], x["node"]) == (r["block"], r["salt"], r["parent"])), r["stem"])
+                before = full(up) if up is not None else ("", [])
+                whole[path] = before[0] + r["formatted"], before[1] + list(got[path]["ids"])
+            return whole[path]
+
+        flat: dict = {}
+        for r in sorted(got.values(), key=lambda r: r["start"]):
+            flat.setdefault((r["block"], r["salt"]), []).extend(r["ids"])
+        for path, r in got.items():
+            text, ids = full(path)
+            assert ids == library.encode(text, add_special_tokens=False).ids and r["position"] == len(ids) - len(r["ids"])
+            inside = [x for a in r["ancestors"] for x in flat[r["block"], r["salt"]][a["s"] : a["e"]]]
+            assert ids[: r["position"]][len(ids) - len(r["ids"]) - len(inside) :] == inside
+            if shown[path]["role"] == "assistant":
+                spoken = library.decode([x for x, m in zip(r["ids"], r["loss"]) if m], skip_special_tokens=False)
+                text = shown[path]["formatted"][shown[path]["loss_start"] - shown[path]["start"] : shown[path]["loss_end"] - shown[path]["start"]]
+                assert text in spoken and len(spoken) <= len(text) + 3 and (spoken == text or text != text.strip())
