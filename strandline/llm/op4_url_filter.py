@@ -2,7 +2,8 @@
 
 A rule is a host and a path. Its labels go down the trie from the top-level domain, its whole path
 segments further down; what follows its last slash (a beginning of a segment) waits at the node it
-hangs from. The trie is broadcast after its number of rules is checked; a url walks it once.
+hangs from, under its text: however many rules end there, a segment is looked up once for each length
+that they have. The trie is broadcast after its number of rules is checked; a url walks it once.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 class Node:
     labels: dict[str, Node] = field(default_factory=dict)
     segments: dict[str, Node] = field(default_factory=dict)
-    #: (beginning of the next segment, verdict, rule); the beginning may be empty
-    ends: list[tuple[str, str, str]] = field(default_factory=list)
+    #: beginning of the next segment (it may be empty) -> verdict and rule, and the lengths that beginnings have
+    ends: dict[str, tuple[str, str]] = field(default_factory=dict)
+    lengths: set[int] = field(default_factory=set)
 
 
 class Trie:
@@ -43,11 +45,12 @@ class Trie:
             *whole, rest = path.split("/")
             for segment in whole:
                 node = node.segments.setdefault(segment, Node())
-            node.ends.append((rest, verdict, host + path))
+            node.ends[rest] = max(node.ends.get(rest, ("", "")), (verdict, host + path))  # block before allow
+            node.lengths.add(len(rest))
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """(verdict, rule) of the longest rule that fits."""
-        best: tuple[int, str, str, str] | None = None
+        best: tuple[int, str, str] | None = None
         node: Node | None = self.root
         parts = path.split("/")
         for label in reversed(host.split(".")):
@@ -56,9 +59,10 @@ class Trie:
                 break
             below: Node | None = node
             for part in parts:
-                for rest, verdict, rule in below.ends:
-                    if part.startswith(rest):
-                        best = max(best or (-1, "", "", ""), (len(rule), verdict, rule, ""))
+                for n in below.lengths:
+                    found = below.ends.get(part[:n]) if n <= len(part) else None
+                    if found:
+                        best = max(best or (-1, "", ""), (len(found[1]), *found))
                 below = below.segments.get(part)
                 if below is None:
                     break

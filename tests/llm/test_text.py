@@ -106,6 +106,19 @@ def test_urls(spark, monkeypatch):
     assert {r["verdict"] for r in filter_urls(df, [], default="block").collect()} == {"block"}
 
 
+def test_urls_against_many_rules_of_one_folder():
+    import time
+
+    from strandline.llm.op4_url_filter import Trie
+
+    rules = [("block" if k % 2 else "allow", "h.org", f"/a/{k}") for k in range(100_000)] + [("allow", "h.org", "/a/77777"), ("block", "org", "/")]
+    trie = Trie(rules)
+    began = time.time()
+    for _ in range(1000):
+        assert trie.find("h.org", "/a/77777x") == ("block", "h.org/a/77777") and trie.find("x.org", "/") == ("block", "org/") and trie.find("h.com", "/a/1") is None
+    assert time.time() - began < 1
+
+
 def test_html_cases():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li>a<li>b</ul></nav>
     <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; more</h1><p>One  <b>two</b>&nbsp;three<br>four<p>Five<ul><li>x<li>y</ul><div class="share">Share</div><form><p>Mail</p></form><!-- <p>no</p> --><table><tr><td>c1<td>c2</table>
