@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _sides(pairs: DataFrame, items: DataFrame, version: str) -> DataFrame:
+    """The items of both versions of each pair: left, right, side ('a' or 'b') and the items' columns; items are read once."""
+    both = F.array(F.struct(F.col("left").alias("_v"), F.lit("a").alias("side")), F.struct(F.col("right").alias("_v"), F.lit("b").alias("side")))
+    ends = pairs.select("left", "right", F.explode(both).alias("_s")).select("left", "right", "_s._v", "_s.side")
+    return ends.join(items, ends["_v"] == items[version]).drop("_v")
+
+
 def set_difference(pairs: DataFrame, items: DataFrame, version: str, key: str, value: str) -> DataFrame:
     """Per (left, right): keys added, removed, changed in value and kept.
 
-    pairs: product, left, right. items: version, key, value with unique (version, key). A full outer
-    join over (pair, key), so that neither side has to be collected.
+    pairs: product, left, right. items: version, key, value with unique (version, key). Both sides meet in
+    one grouping by pair and key, so that neither has to be collected, and what follows needs no other shuffle.
     """
-    a = pairs.join(items, pairs["left"] == items[version]).select("left", "right", F.col(key).alias("k"), F.col(value).alias("a"))
-    b = pairs.join(items, pairs["right"] == items[version]).select("left", "right", F.col(key).alias("k"), F.col(value).alias("b"))
-    both = a.withColumn("in_a", F.lit(True)).join(b.withColumn("in_b", F.lit(True)), ["left", "right", "k"], "full_outer")
-    flag = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    in_a, in_b = F.coalesce("in_a", F.lit(False)), F.coalesce("in_b", F.lit(False))
+    rows = _sides(pairs, items, version).select("left", "right", "side", F.col(key).alias("k"), F.col(value).alias("v")).repartition("left", "right")
+    one = lambda s: F.max(F.when(F.col("side") == s, F.col("v"))).alias(s)
+    both = rows.groupBy("left", "right", "k").agg(one("a"), one("b"), F.max(F.col("side") == "a").alias("in_a"), F.max(F.col("side") == "b").alias("in_b"))
+    in_a, in_b, same = F.col("in_a"), F.col("in_b"), F.col("a").eqNullSafe(F.col("b"))
     return both.groupBy("left", "right").agg(
-        flag(~in_a & in_b).alias("added"), flag(in_a & ~in_b).alias("removed"), flag(in_a & in_b & ~F.col("a").eqNullSafe(F.col("b"))).alias("changed"),
-        flag(in_a & in_b & F.col("a").eqNullSafe(F.col("b"))).alias("same"), flag(in_a != in_b).alias("symmetric_difference"),
+        F.count_if(~in_a & in_b).alias("added"), F.count_if(in_a & ~in_b).alias("removed"), F.count_if(in_a & in_b & ~same).alias("changed"), F.count_if(in_a & in_b & same).alias("same"), F.count_if(in_a != in_b).alias("symmetric_difference"),
     )
 
 
@@ -28,22 +33,20 @@ def pair_components(pairs: DataFrame, components: DataFrame, version: str, role:
 
     Components of a role and label are numbered by artifact, a role's leftovers by label and artifact; a
     null label is an empty one. What finds no partner stays, with rule UNKNOWN and the other side null: it
-    is not called new or gone.
+    is not called new or gone. All steps work on the rows of a pair and role where they are: one shuffle.
     """
-    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("label", "artifact"))
-
-    def side(of: str) -> DataFrame:
-        rows = pairs.join(components, pairs[of] == components[version]).select("left", "right", F.col(role).alias("role"), F.coalesce(F.lower(label), F.lit("")).alias("label"), F.col(artifact).alias("artifact"))
-        return rows.withColumn("n", nth("left", "right", "role", "label"))
-
-    key = ["left", "right", "role", "label", "n"]
-    a, b = side("left").withColumnRenamed("artifact", "a"), side("right").withColumnRenamed("artifact", "b")
-    named = a.join(b, key).select("left", "right", "role", "a", "b", F.lit("LABEL").alias("rule"))
-    rest = lambda x, y, name: x.join(y, key, "left_anti").withColumnRenamed(name, "artifact").withColumn("n", nth("left", "right", "role")).withColumnRenamed("artifact", name)
-    ra, rb = rest(a, b, "a").drop("label"), rest(b, a, "b").drop("label")
-    placed = ra.join(rb, ["left", "right", "role", "n"], "full_outer")
-    rule = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), "POSITION").otherwise("UNKNOWN")
-    return named.unionByName(placed.select("left", "right", "role", "a", "b", rule.alias("rule")))
+    rows = _sides(pairs, components, version).select("left", "right", "side", F.col(role).alias("role"), F.coalesce(F.lower(label), F.lit("")).alias("label"), F.col(artifact).alias("artifact"))
+    key = ["left", "right", "role"]
+    rows = rows.repartition(*key)
+    one = lambda s: F.max(F.when(F.col("side") == s, F.col("artifact"))).alias(s)
+    nth = F.row_number().over(Window.partitionBy(*key, "side", "label").orderBy("artifact"))
+    met = rows.withColumn("n", nth).groupBy(*key, "label", "n").agg(one("a"), one("b"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    named = met.where(both).select(*key, "a", "b", F.lit("LABEL").alias("rule"))
+    rest = met.where(~both).select(*key, "label", F.when(F.col("a").isNotNull(), "a").otherwise("b").alias("side"), F.coalesce("a", "b").alias("artifact"))
+    place = F.row_number().over(Window.partitionBy(*key, "side").orderBy("label", "artifact"))
+    placed = rest.withColumn("n", place).groupBy(*key, "n").agg(one("a"), one("b"))
+    return named.unionByName(placed.select(*key, "a", "b", F.when(both, "POSITION").otherwise("UNKNOWN").alias("rule")))
 
 
 def near_duplicates(members: DataFrame, group: str, item: str, least: float, most_shared: int | None = None) -> DataFrame:
@@ -82,6 +85,12 @@ def first_event_between(windows: DataFrame, events: DataFrame, key: str, slot_se
 
 
 def events_near(windows: DataFrame, events: DataFrame, key: str, days: int) -> DataFrame:
-    """Events at most so many days outside a window (key, lo, hi as dates). Null dates never match."""
-    near = windows.join(events, key).where((F.datediff("lo", "day") <= days) & (F.datediff("day", "hi") <= days))
+    """Events at most so many days outside a window (key, lo, hi as dates). Null dates never match.
+
+    Days are cut into slots of the margin's length, so that a key with many events spreads over its slots.
+    """
+    length = max(1, days)
+    slot = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / length)
+    spread = windows.where("lo IS NOT NULL AND hi IS NOT NULL").withColumn("_slot", F.explode(F.sequence(slot(F.date_sub("lo", days)), F.greatest(slot(F.date_sub("lo", days)), slot(F.date_add("hi", days))))))
+    near = spread.join(events.withColumn("_slot", slot(F.col("day"))), [key, "_slot"]).drop("_slot").where((F.datediff("lo", "day") <= days) & (F.datediff("day", "hi") <= days))
     return near.withColumn("relation", F.lit("TEMPORAL_CORRELATION"))
