@@ -6,8 +6,8 @@ import struct
 import pandas as pd
 from pyspark.sql import functions as F
 
-from strandline.operators import features, versions
-from strandline.sources import documents, files, image_parts
+from strandline.operators import features, truth, versions
+from strandline.sources import documents, files, image_parts, results
 from strandline.streaming import watch
 
 
@@ -183,3 +183,59 @@ def test_streamed_windows(spark, tmp_path):
     assert {(str(r["start"])[:10], r["event_type"], r["n"]) for r in got} == {("2024-01-01", "view", 2), ("2024-01-02", "view", 1), ("2024-01-04", "buy", 1)}
     got = run_stream(spark, tmp_path, df, schema, watch.sessions, "sessions_", files=6)
     assert {(r["user_id"], r["n"]) for r in got} >= {(1, 2), (2, 1)}
+
+
+def test_matcher_databases(spark, tmp_path):
+    import sqlite3
+
+    base = sqlite3.connect(tmp_path / "a.db")
+    base.execute("CREATE TABLE functionalgorithm (id INTEGER, name TEXT)")
+    base.execute("CREATE TABLE function (address1 INTEGER, address2 INTEGER, similarity REAL, confidence REAL, algorithm INTEGER)")
+    base.executemany("INSERT INTO functionalgorithm VALUES (?, ?)", [(1, "function: hash matching"), (2, "function: name hash matching"), (3, "function: address sequence"), (4, "function: Call Reference matching")])
+    base.executemany("INSERT INTO function VALUES (?, ?, ?, ?, ?)", [(1, 11, 1.0, 1.0, 1), (2, 12, 1.0, 0.95, 2), (3, 13, 0.6, 0.7, 3), (4, 14, 0.6, 0.1, 4)])
+    base.commit()
+    base.close()
+    (tmp_path / "b.db").write_bytes(b"no database")
+    rows = results.matcher_databases(spark, str(tmp_path)).collect()
+    got = {r["left"]: (r["right"], r["family"], r["decision"]) for r in rows if r["problem"] is None}
+    assert got == {1: (11, "instruction", "EXACT"), 2: (12, "identity", "STRONG"), 3: (13, None, "PROBABLE"), 4: (14, "callgraph", "UNRESOLVED")}
+    assert [r["decision"] for r in rows if r["problem"]] == [None]
+
+
+def test_ground_truths_and_logical_functions(spark, tmp_path):
+    t = {
+        "versions": ["v1", "v2", "v3"], "components": ["c"], "functions": {"c": {"v1": {"f": 1, "g": 2, "h": 3}, "v2": {"f": 11, "g": 12}, "v3": {"f": 21, "g2": 22, "h": 23, "x": 24}}},
+        "transitions": [
+            {"component": "c", "from": "v1", "to": "v2", "pairs": [{"left": 1, "right": 11, "name": "f", "relation": "CONTINUATION"}], "splits": [], "merges": [{"lefts": [2], "right": 12}], "new": [], "disappeared": [{"left": 3, "name": "h"}]},
+            {"component": "c", "from": "v2", "to": "v3", "pairs": [{"left": 11, "right": 21, "name": "f", "relation": "MODIFIED"}], "splits": [{"left": 12, "rights": [22]}], "merges": [], "new": [{"right": 23, "name": "h", "resurrects": {"version": "v1", "address": 3}}, {"right": 24, "name": "x", "resurrects": None}], "disappeared": []},
+        ],
+    }
+    (tmp_path / "t.json").write_text(json.dumps(t, indent=1))
+    truths = results.ground_truth(spark, str(tmp_path))
+    fs = results.truth_functions(truths)
+    assert fs.count() == 9
+    relations = results.truth_relations(truths)
+    assert sorted((r["kind"], r["from"], r["left"], r["right"]) for r in relations.collect()) == [("merge", "v1", 2, 12), ("pair", "v1", 1, 11), ("pair", "v2", 11, 21), ("return", "v1", 3, 23), ("split", "v2", 12, 22)]
+    a, b = results.logical_edges(relations)
+    v = F.concat_ws("|", "source", "component", "version", F.col("address").cast("string"))
+    logical = truth.logical_functions(fs.select(v.alias("v")), relations.select(a.alias("a"), b.alias("b"))).collect()
+    groups = {}
+    for r in logical:
+        groups.setdefault(r["logical"], set()).add(int(r["v"].split("|")[-1]))
+    assert sorted(map(sorted, groups.values())) == [[1, 11, 21], [2, 12, 22], [3, 23], [24]]
+    one = results.dataset_digest(spark, f"file:{tmp_path}").first()
+    (tmp_path / "golden").mkdir()
+    (tmp_path / "golden" / "r.json").write_text("{}")
+    assert results.dataset_digest(spark, f"file:{tmp_path}").first() == one and one["n_files"] == 1
+
+
+def test_key_value_texts(spark):
+    rows = [('"a" { "b" "1" "c" { "d" "x \\"y\\" \\\\" } } "e" "2" "f"',), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(results.key_values(F.col("t"))).collect()]
+    assert [g and json.loads(g) for g in got] == [{"a": {"b": "1", "c": {"d": 'x "y" \\'}}, "e": "2"}, {}, None]
+
+
+def test_recorded_exports_are_never_verified(spark):
+    exports = spark.createDataFrame([("aa", "complete")], "component string, status string")
+    got = {r["sha256"]: (r["engine_version"], r["verified"], r["skip"]) for r in results.recorded(exports, spark.createDataFrame([("aa",), ("bb",)], "sha256 string")).collect()}
+    assert got == {"aa": ("replay", False, None), "bb": (None, None, "SKIPPED_INCOMPATIBLE")}
