@@ -29,12 +29,13 @@ def query(sql: str | None = None):
 
 
 SIDES = f"""
- t AS ({TRANSITIONS}),
+ t AS MATERIALIZED ({TRANSITIONS}),
  s AS (SELECT l_orderkey AS v, l_returnflag AS role, l_linenumber AS ln, min(l_partkey) AS pk FROM lineitem GROUP BY ALL),
  m AS (SELECT v, role, map_from_entries(list((ln, pk))) AS secs FROM s WHERE ln <> 3 OR role <> 'A' GROUP BY ALL),
  g AS (SELECT l_orderkey AS v, l_returnflag AS role, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS size, list(DISTINCT l_suppkey) AS imports, list(DISTINCT l_partkey) AS strings, max(l_tax) AS linker, max(l_shipdate) AS stamp, bool_or(l_linestatus = 'F') AS signed, min(l_suppkey) FILTER (WHERE l_linestatus = 'F') AS signer, min(l_discount) FILTER (WHERE l_linestatus = 'O') AS pdb FROM lineitem GROUP BY ALL),
- c AS (SELECT g.*, m.secs, g.size > 10 AS image FROM g LEFT JOIN m USING (v, role)),
- p AS (SELECT t.product, t."left", t."right", l.role, l, r FROM t JOIN c l ON l.v = t."left" JOIN c r ON r.v = t."right" AND r.role = l.role)"""
+ c AS MATERIALIZED (SELECT g.*, m.secs, g.size > 10 AS image FROM g LEFT JOIN m USING (v, role)),
+ lp AS MATERIALIZED (SELECT t.product, t."left", t."right", l.role, l FROM t JOIN c l ON l.v = t."left"),
+ p AS (SELECT lp.product, lp."left", lp."right", lp.role, lp.l, r FROM lp JOIN c r ON r.v = lp."right" AND r.role = lp.role)"""
 
 
 def _component_pairs(spark, sf_dir) -> DataFrame:
@@ -165,7 +166,7 @@ HIST = "list_transform(list_distinct({0}.w), lambda x: {0}.hist[x])"
    FROM l JOIN r ON l.component = r.component AND r.entry = l.entry + 20),
  y AS (SELECT component, "left", "right", round(CASE WHEN same THEN 1.0 ELSE coalesce(dot / nullif(sqrt(nl) * sqrt(nr), 0), 0) * sqrt(ratio) END, 4) AS i, round(0.3 * (rb + (1 - abs(el - er) / greatest(el, er, 1)) + (1 - abs(greatest(1, el - bl + 2) - greatest(1, er - br + 2)) / greatest(1, el - bl + 2, er - br + 2))), 4) AS c, round(coalesce((ii / nullif(iu, 0) + 1) / 2, 1), 4) AS g, round(si / nullif(su, 0), 4) AS d, CASE WHEN ln IS NOT NULL AND rn IS NOT NULL THEN (ln = rn)::INT::DOUBLE END AS n FROM x)
  SELECT component, "left", "right", CAST(floor(i * 1000 + 0.5) AS BIGINT) AS instruction, CAST(floor(c * 1000 + 0.5) AS BIGINT) AS cfg, CAST(floor(g * 1000 + 0.5) AS BIGINT) AS callgraph, CAST(floor(d * 1000 + 0.5) AS BIGINT) AS data, CAST(n AS BIGINT) AS identity,
-  CAST(floor((0.35 * i + 0.25 * c + 0.15 * g + coalesce(0.15 * d, 0) + coalesce(0.1 * n, 0)) / (0.75 + CASE WHEN d IS NULL THEN 0 ELSE 0.15 END + CASE WHEN n IS NULL THEN 0 ELSE 0.1 END) * 100 + 0.5) AS BIGINT) AS score FROM y""")
+  CAST(floor(round((0.35 * i + 0.25 * c + 0.15 * g + coalesce(0.15 * d, 0) + coalesce(0.1 * n, 0)) / (0.75 + CASE WHEN d IS NULL THEN 0 ELSE 0.15 END + CASE WHEN n IS NULL THEN 0 ELSE 0.1 END), 4) * 100 + 0.5) AS BIGINT) AS score FROM y""")
 def matcher_families(spark, sf_dir):
     """All five families of neighbouring functions and the mean of those that say something."""
     left, right = _sides(spark, sf_dir)

@@ -271,7 +271,7 @@ def resumed_nodes(spark, sf_dir):
 RULES = [("oom", r"purchase .*[05]$", "INVALID"), ("late", r"^error", "PARTIAL"), ("note", r"click 1", "COMPLETE")]
 
 
-@query("""WITH e AS (SELECT event_id, event_type, value, user_id, event_type || ' ' || CAST(CAST(value AS INT) AS VARCHAR) AS text FROM events),
+@query("""WITH e AS (SELECT event_id, event_type, value, user_id, event_type || ' ' || CAST(CAST(floor(value) AS INT) AS VARCHAR) AS text FROM events),
  r AS (SELECT *, list_filter([CASE WHEN event_type = 'view' AND value > 60 THEN 2 WHEN value > 90 THEN 2 END, CASE WHEN user_id % 5 = 1 THEN 2 END, CASE WHEN user_id % 7 = 2 THEN 3 END, CASE WHEN user_id % 7 = 3 THEN 2 END, CASE WHEN value < 5 THEN 3 END,
    CASE WHEN regexp_matches(text, 'purchase .*[05]$') THEN 3 END, CASE WHEN regexp_matches(text, '^error') THEN 2 END], lambda x: x IS NOT NULL) AS found FROM e),
  s AS (SELECT *, CASE WHEN event_type = 'signup' AND value > 50 THEN 3 ELSE coalesce(list_max(found), 1) END AS rank FROM r)
@@ -279,7 +279,7 @@ RULES = [("oom", r"purchase .*[05]$", "INVALID"), ("late", r"^error", "PARTIAL")
 def completion_verdict(spark, sf_dir):
     """Worker runs judged by the worst of exit, manifest, checksums and log rules."""
     v, u = F.col("value"), F.col("user_id")
-    runs = table(spark, sf_dir, "events").withColumn("text", F.concat_ws(" ", "event_type", F.round(v, 0).cast("int").cast("string")))
+    runs = table(spark, sf_dir, "events").withColumn("text", F.concat_ws(" ", "event_type", F.floor(v).cast("int").cast("string")))
     declared = F.when(u % 7 == 2, F.lit(None).cast("string")).when(u % 7 == 3, "PARTIAL").otherwise("COMPLETE")
     runs = runs.select(
         "event_id", F.when((F.col("event_type") == "view") & (v > 60), "CRASH").otherwise("NORMAL").alias("termination"), F.when(v > 90, 1).otherwise(0).alias("exit_code"), ((F.col("event_type") == "signup") & (v > 50)).alias("cancelled"),
