@@ -53,7 +53,7 @@ class PlainEncoder(LibraryEncoder):
         super().__init__(path)
         self.tokenizer.encode_special_tokens = True
         self.added = []
-        letters = {c: b for b, c in _letters().items()}
+        letters = {c: b for b, c in _byte_letters().items()}
         self.tokens = [b""] * self.size
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.tokens[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
