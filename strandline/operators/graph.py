@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a session on one machine gets a temporary one; any other has none to give.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    own = context._jsc.sc().getCheckpointDir()
+    if path is None and own.isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="strandline-")
+    if own.isEmpty():
+        context.setCheckpointDir(path)
+    return (path or own.get()).rstrip("/")
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut the plan in the session's checkpoint folder, or in memory without one."""
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if path is None:
-            return df.cache()
-        df.sparkSession.sparkContext.setCheckpointDir(path)
+    """Cut the plan in the shared folder; Spark deletes the files with the last reference."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Grown:
+    """Rows that come step by step: each step is appended to a folder, and nothing is written twice."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str | T.StructType, by: str | None = None):
+        self.spark, self.by = spark, by
+        self.schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        self.path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.write(spark.createDataFrame([], self.schema))
+
+    def write(self, df: DataFrame) -> DataFrame:
+        out = df.select(*self.schema.names).write.mode("append")
+        (out.partitionBy(self.by) if self.by else out).parquet(self.path)
+        return df
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(v, component): the least vertex that each vertex of edges (a, b) reaches.
 
@@ -37,14 +72,15 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
             return labels
 
 
-def descendants(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """Vertices that edges (parent, child) lead to from roots (v), roots too. Cycles end."""
-    seen = _kept(roots.select("v").distinct())
-    front = seen
-    for _ in range(most_rounds):
-        new = front.join(edges, front["v"] == edges["parent"]).select(F.col("child").alias("v")).distinct().join(seen, "v", "left_anti")
-        new = _kept(new)
-        if new.isEmpty():
-            return seen
-        seen, front = _kept(seen.unionByName(new)), new
-    raise RuntimeError(f"more than {most_rounds} levels")
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Vertices that edges (parent, child) lead to from roots (v), roots too. Cycles end.
+
+    A round for each level, however many there are; what a level finds is appended to what was seen.
+    """
+    front = _kept(roots.select("v").distinct())
+    seen = Grown(front.sparkSession, "seen", front.schema)
+    while not front.isEmpty():
+        seen.write(front)
+        new = front.join(edges, front["v"] == edges["parent"]).select(F.col("child").alias("v")).distinct()
+        front = _kept(new.join(seen.read(), "v", "left_anti"))
+    return seen.read()

@@ -1,9 +1,9 @@
 """N-version lineages: a fold over neighbouring builds, all products at once.
 
 Step k handles the k-th transition of every product in the same few joins, so the number of rounds
-is the longest sequence, not the number of products. State between steps is two frames, current
-(function -> lineage) and disappeared (lineage -> its last function); both are written to the
-checkpoint folder after each step.
+is the longest sequence, not the number of products. Between steps stand the current functions with
+their lineages and the lost lineages with what is needed to know them again; both are written to the
+checkpoint folder. Assignments and links are only appended to.
 
 Inputs (every row carries its product):
 builds      product, build, ord (from 1)
@@ -16,12 +16,14 @@ rollbacks   product, build (where a return has a rollback event)
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import size_ratio
 from ..functions.stats import jaccard, weighted_mean
-from .graph import _kept
+from .graph import Grown, _kept
 from .match import MARGIN, STRONG, WEIGHTS, family_scores, greedy
 
 #: Fixed values of the lineage rules.
@@ -36,6 +38,7 @@ NEAR = 12.3
 PAIR_BLOCK = 1024
 
 ROWS = "product string, build string, lineage string, fn string, relation string, step int"
+LINKS = "product string, build string, parent string, child string, relation string, step int"
 
 
 def _id(*parts: Column) -> Column:
@@ -158,35 +161,83 @@ def claimable(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _structs(functions: DataFrame, name: str) -> DataFrame:
-    fields = [F.col("hash").alias("normalized_hash"), *(c for c in functions.columns if c not in ("product", "build", "fn", "hash")), F.array().cast("array<bigint>").alias("linked")]
+    fields = [F.col("hash").alias("normalized_hash"), *(c for c in functions.columns if c not in ("product", "build", "fn", "hash", "ord")), F.array().cast("array<bigint>").alias("linked")]
     return functions.select("product", F.col("fn").alias(f"{name}_fn"), F.struct(*fields).alias(name))
 
 
+@dataclass
+class Run:
+    """A folded sequence and where it stands.
+
+    assignments: product, build, lineage, fn, relation, step. links: product, build, parent, child, relation,
+    step, where a lineage grew out of another one. current: product, fn, lineage of the newest build compared.
+    placed: the same, with lineages that were merged into a function. lost: lineages that may return, with the
+    features of their last function and the lineages of its callers.
+    """
+
+    assignments: DataFrame
+    links: DataFrame
+    current: DataFrame
+    placed: DataFrame
+    lost: DataFrame
+
+
 def fold(builds: DataFrame, functions: DataFrame, matches: DataFrame, rollbacks: DataFrame | None = None) -> DataFrame:
-    """All assignments: product, build, lineage, fn, relation, step.
+    """All assignments of run(): product, build, lineage, fn, relation, step."""
+    return run(builds, functions, matches, rollbacks).assignments
 
-    A transition without matches is a gap: nothing is assigned at it, and what stood before the gap
-    neither goes on nor disappears. A right function counts once, however many rows claim it.
+
+def run(builds: DataFrame, functions: DataFrame, matches: DataFrame, rollbacks: DataFrame | None = None, before: Run | None = None, done: DataFrame | None = None) -> Run:
+    """Fold all builds, or those after the done ones.
+
+    done: product, n: how many builds of a product a run before has folded, and before is that run, without
+    other products. A transition without matches is a gap: nothing is assigned at it, and what stood before
+    the gap neither goes on nor disappears. A right function counts once, however many rows claim it.
+    A step reads the features of its own builds only; what it finds is appended to what was found.
     """
     spark = builds.sparkSession
     ends = F.lead("build").over(Window.partitionBy("product").orderBy("ord"))
-    steps = _kept(builds.select("product", F.col("build").alias("left_build"), ends.alias("right_build"), "ord"))
-    seeds = builds.where("ord = 1").join(functions.select("product", "build", "fn"), ["product", "build"])
-    out = _kept(seeds.select("product", "build", _id("product", "build", "fn").alias("lineage"), "fn", F.lit("UNRESOLVED").alias("relation"), F.lit(0).alias("step")))
-    current = out.select("product", "fn", "lineage")
-    disappeared = spark.createDataFrame([], "product string, lineage string, fn string")
-    last = steps.where("right_build IS NOT NULL").agg(F.max("ord")).first()[0] or 0
-    for k in range(1, last + 1):
-        now = steps.where((F.col("ord") == k) & F.col("right_build").isNotNull()).drop("ord")
+    none = spark.createDataFrame([], "product string, n int")
+    steps = builds.select("product", F.col("build").alias("left_build"), ends.alias("right_build"), F.col("ord").cast("int").alias("ord"))
+    steps = steps.join(none if done is None else done.select("product", "n"), "product", "left")
+    steps = _kept(steps.where(F.col("ord") >= F.coalesce("n", F.lit(1))))
+    todo = steps.where("right_build IS NOT NULL")
+    first, last = todo.agg(F.min("ord"), F.max("ord")).first()
+    numbered = functions.join(builds.select("product", "build", F.col("ord").cast("int").alias("ord")), ["product", "build"])
+    held = Grown(spark, "features", numbered.schema, "ord")
+    held.write(numbered)
+    feats = lambda k: held.read().where(F.col("ord") == k).drop("ord")
+    out, links = Grown(spark, "assignments", ROWS), Grown(spark, "links", LINKS)
+    seeds = steps.where("ord = 1 AND n IS NULL").select("product", F.col("left_build").alias("build")).join(feats(1).select("product", "build", "fn"), ["product", "build"])
+    seeds = _kept(seeds.select("product", "build", _id("product", "build", "fn").alias("lineage"), "fn", F.lit("UNRESOLVED").alias("relation"), F.lit(0).alias("step")))
+    out.write(seeds)
+    current = placed = seeds.select("product", "fn", "lineage")
+    lost = _lost(seeds.limit(0).select("product", "fn", "lineage"), feats(1), placed)
+    if before is not None:
+        out.write(before.assignments)
+        links.write(before.links)
+        current, placed, lost = current.unionByName(before.current), placed.unionByName(before.placed), lost.unionByName(before.lost)
+    for k in range(first or 1, (last or 0) + 1):
+        now = todo.where(F.col("ord") == k).select("product", "left_build", "right_build")
         rows = _kept(matches.join(now, ["product", "left_build", "right_build"]))
-        new, current, disappeared = _step(k, rows, functions, current, disappeared, out, rollbacks)
-        out = _kept(out.unionByName(new))
-    return out
+        new, grown, current, placed, lost = _step(k, rows, feats(k), feats(k + 1), current, placed, lost, rollbacks)
+        out.write(new)
+        links.write(grown)
+    return Run(out.read(), links.read(), current, placed, lost)
+
 
+def _lost(gone: DataFrame, left: DataFrame, placed: DataFrame) -> DataFrame:
+    """gone (product, fn, lineage) with the features of the function, and the lineages of those that called it."""
+    own = gone.join(_structs(left, "old").withColumnRenamed("old_fn", "fn"), ["product", "fn"])
+    callers = own.select("product", "lineage", F.explode("old.callers").alias("c")).join(placed.select("product", F.col("fn").alias("c"), F.col("lineage").alias("cl")), ["product", "c"])
+    callers = callers.groupBy("product", "lineage").agg(F.array_sort(F.collect_set("cl")).alias("old_callers"))
+    return own.join(callers, ["product", "lineage"], "left").select("product", "lineage", "fn", "old", F.coalesce("old_callers", F.array().cast("array<string>")).alias("old_callers"))
 
-def _step(k, rows, functions, current, disappeared, history, rollbacks):
+
+def _step(k, rows, left, right, current, placed, lost, rollbacks):
     compared = rows.select("product", "right_build").distinct()
-    feats = functions.select("product", "fn", "hash", "callers", "callees", "size")
+    numbers = ("product", "fn", "hash", "callers", "callees", "size")
+    was, now = left.select(*numbers), right.select(*numbers)
     cur = current.select("product", F.col("fn").alias("left"), "lineage")
 
     # claims: who of the current functions says to go on as which right function
@@ -200,30 +251,27 @@ def _step(k, rows, functions, current, disappeared, history, rollbacks):
     merged = merging.groupBy("product", "right_build", "right").agg(F.lit("MERGE_PARENT").alias("relation")).withColumn("lineage", _id("product", "right_build", "right"))
     order = whole.orderBy(F.desc("joinable"), F.desc("diversity"), "left")
     best = claims.where("NOT (parents > 1 AND all_merge)").withColumn("_n", F.row_number().over(order)).where("_n = 1 AND joinable")
-    best = best.join(feats.select("product", F.col("fn").alias("left"), F.col("hash").alias("lh")), ["product", "left"], "left").join(feats.select("product", F.col("fn").alias("right"), F.col("hash").alias("rh")), ["product", "right"], "left")
+    best = best.join(was.select("product", F.col("fn").alias("left"), F.col("hash").alias("lh")), ["product", "left"], "left").join(now.select("product", F.col("fn").alias("right"), F.col("hash").alias("rh")), ["product", "right"], "left")
     gone_on = best.select("product", "right_build", "right", "left", "lineage", F.when(F.col("lh") == F.col("rh"), "CONTINUATION").otherwise("MODIFIED").alias("relation"))
     taken = _kept(merged.select("product", "right_build", "right", F.lit(None).cast("string").alias("left"), "lineage", "relation").unionByName(gone_on))
     parents = taken.where("left IS NOT NULL").select("product", F.col("left").alias("parent"), F.col("right").alias("heir"), F.col("lineage").alias("heir_lineage"))
 
     # right functions nobody claims: called by the heir of a function that they resemble, they split off it
     free = rows.where("right IS NOT NULL").select("product", "right_build", "right").distinct().join(taken, ["product", "right"], "left_anti").join(joined, ["product", "right"], "left_anti")
-    free = _kept(free.join(feats.select("product", F.col("fn").alias("right"), "callers"), ["product", "right"]))
+    free = _kept(free.join(now.select("product", F.col("fn").alias("right"), "callers"), ["product", "right"]))
     offers = rows.where("right IS NOT NULL").select("product", "right", F.explode("candidates").alias("c")).select("product", "right", F.col("c.other").alias("parent"), F.col("c.score").alias("score")).where(F.col("score") >= SPLIT_MIN)
     called = free.select("product", "right_build", "right", F.explode("callers").alias("heir"))
     child = called.join(parents, ["product", "heir"]).join(offers, ["product", "right", "parent"])
     child = child.withColumn("_n", F.row_number().over(Window.partitionBy("product", "right").orderBy(F.desc("score"), "parent"))).where("_n = 1")
-    split = _kept(child.select("product", "right_build", "right", _id("product", "right_build", "right").alias("lineage"), F.lit("SPLIT_PARENT").alias("relation")))
+    split = _kept(child.select("product", "right_build", "right", _id("product", "right_build", "right").alias("lineage"), F.lit("SPLIT_PARENT").alias("relation"), F.col("heir_lineage").alias("of")))
     free = free.join(split, ["product", "right"], "left_anti")
 
     # the rest may be lineages that return
     settled = taken.select("product", "right", "lineage").unionByName(split.select("product", "right", "lineage"))
     new_callers = free.select("product", "right", F.explode("callers").alias("c")).join(settled.select("product", F.col("right").alias("c"), "lineage"), ["product", "c"]).groupBy("product", "right").agg(F.collect_set("lineage").alias("new_callers"))
-    lost = disappeared.join(functions.select("product", "fn", "callers"), ["product", "fn"])
-    was = history.where("relation <> 'DISAPPEARED'").select("product", F.col("fn").alias("c"), F.col("lineage").alias("cl"))
-    old_callers = lost.select("product", "lineage", F.explode("callers").alias("c")).join(was, ["product", "c"]).groupBy("product", "lineage").agg(F.collect_set("cl").alias("old_callers"))
     none = F.array().cast("array<string>")
-    a = disappeared.join(old_callers, ["product", "lineage"], "left").join(_structs(functions, "old").withColumnRenamed("old_fn", "fn"), ["product", "fn"]).select("product", "lineage", "old", F.coalesce("old_callers", none).alias("old_callers"))
-    b = free.join(new_callers, ["product", "right"], "left").join(_structs(functions, "new").withColumnRenamed("new_fn", "right"), ["product", "right"]).select("product", "right_build", F.col("right").alias("fn"), "new", F.coalesce("new_callers", none).alias("new_callers"))
+    a = lost.join(compared.select("product"), "product", "left_semi").select("product", "lineage", "old", "old_callers")
+    b = free.join(new_callers, ["product", "right"], "left").join(_structs(right, "new").withColumnRenamed("new_fn", "right"), ["product", "right"]).select("product", "right_build", F.col("right").alias("fn"), "new", F.coalesce("new_callers", none).alias("new_callers"))
     ids = _kept(claimable(a, b))
     pairs = ids.join(a, ["product", "lineage"]).join(b, ["product", "fn"])
     if rollbacks is None:
@@ -236,20 +284,21 @@ def _step(k, rows, functions, current, disappeared, history, rollbacks):
     sure = F.col("status") == "CONFIRMED"
     returned = free.select(
         "product", "right_build", "right", F.when(sure, F.col("old_lineage")).otherwise(_id("product", "right_build", "right")).alias("lineage"),
-        F.when(sure, "RESURRECTED_CONFIRMED").when(F.col("status").isNotNull(), "RESURRECTED_CANDIDATE").otherwise("UNRESOLVED").alias("relation"),
+        F.when(sure, "RESURRECTED_CONFIRMED").when(F.col("status").isNotNull(), "RESURRECTED_CANDIDATE").otherwise("UNRESOLVED").alias("relation"), F.when(~sure, F.col("old_lineage")).alias("of"),
     )
-    fresh = _kept(taken.select("product", "right_build", "right", "lineage", "relation").unionByName(split).unionByName(returned))
+    alone = F.lit(None).cast("string").alias("of")
+    fresh = _kept(taken.select("product", "right_build", "right", "lineage", "relation", alone).unionByName(split).unionByName(returned))
 
     # a left function without a heir whose candidate grew out of its sibling was merged into it
     continued = taken.where("left IS NOT NULL").select("product", "left").unionByName(merging.select("product", "left")).distinct()
     idle = rows.where("left IS NOT NULL AND right IS NULL").join(cur, ["product", "left"]).join(continued, ["product", "left"], "left_anti")
     wants = idle.select("product", "right_build", "left", "lineage", F.posexplode("candidates").alias("place", "c")).select("product", "right_build", "left", "lineage", "place", F.col("c.other").alias("heir"), F.col("c.score").alias("score"))
     wants = wants.where(F.col("score") >= MERGE_MIN).join(parents, ["product", "heir"])
-    own = lambda prefix, key: feats.select("product", F.col("fn").alias(key), *(F.col(c).alias(f"{prefix}_{c}") for c in ("callers", "callees", "size")))
-    wants = wants.join(own("l2", "left"), ["product", "left"]).join(own("l1", "parent"), ["product", "parent"]).join(own("r", "heir"), ["product", "heir"])
+    own = lambda feats, prefix, key: feats.select("product", F.col("fn").alias(key), *(F.col(c).alias(f"{prefix}_{c}") for c in ("callers", "callees", "size")))
+    wants = wants.join(own(was, "l2", "left"), ["product", "left"]).join(own(was, "l1", "parent"), ["product", "parent"]).join(own(now, "r", "heir"), ["product", "heir"])
     kin = F.arrays_overlap("l1_callers", "l2_callers") | F.array_contains("l1_callees", F.col("left")) | F.array_contains("l2_callees", F.col("parent"))
     absorbed = wants.where(F.coalesce(kin, F.lit(False)) & (F.col("r_size") > F.col("l1_size"))).withColumn("_n", F.row_number().over(Window.partitionBy("product", "left").orderBy("place"))).where("_n = 1")
-    absorbed = _kept(absorbed.select("product", "right_build", "left", F.col("heir").alias("right"), "lineage"))
+    absorbed = _kept(absorbed.select("product", "right_build", "left", F.col("heir").alias("right"), "lineage", "heir_lineage"))
 
     kept = continued.unionByName(absorbed.select("product", "left"))
     seen = rows.where("left IS NOT NULL").select("product", "right_build", "left").distinct()
@@ -259,12 +308,19 @@ def _step(k, rows, functions, current, disappeared, history, rollbacks):
     def shaped(df: DataFrame, fn: str, relation: Column) -> DataFrame:
         return df.select("product", F.col("right_build").alias("build"), "lineage", F.col(fn).alias("fn"), relation.alias("relation"), F.lit(k).alias("step"))
 
+    def linked(df: DataFrame, parent: str, child: str | Column, relation: str | Column) -> DataFrame:
+        said = F.lit(relation) if isinstance(relation, str) else relation
+        return df.select("product", F.col("right_build").alias("build"), F.col(parent).alias("parent"), (F.col(child) if isinstance(child, str) else child).alias("child"), said.alias("relation"), F.lit(k).alias("step"))
+
     new = shaped(fresh, "right", F.col("relation")).unionByName(shaped(absorbed, "right", F.lit("MERGE_PARENT"))).unionByName(shaped(gone, "left", F.lit("DISAPPEARED")))
-    waiting = current.join(compared.select("product"), "product", "left_anti")  # a gap, or the sequence is over
-    current = _kept(fresh.select("product", F.col("right").alias("fn"), "lineage").unionByName(waiting))
+    links = linked(merging, "lineage", _id("product", "right_build", "right"), "MERGE_PARENT").unionByName(linked(fresh.where("of IS NOT NULL"), "of", "lineage", F.col("relation"))).unionByName(linked(absorbed, "lineage", "heir_lineage", "MERGE_PARENT"))
+    heirs = fresh.select("product", F.col("right").alias("fn"), "lineage")
+    waits = lambda state: state.join(compared.select("product"), "product", "left_anti")  # noqa: E731  # a gap, or the sequence is over
     used = claims_back.select("product", F.col("old_lineage").alias("lineage"))
-    disappeared = _kept(disappeared.join(used, ["product", "lineage"], "left_anti").unionByName(gone.select("product", "lineage", F.col("left").alias("fn"))))
-    return new, current, disappeared
+    dead = _lost(gone.select("product", F.col("left").alias("fn"), "lineage"), left, placed)
+    lost = _kept(lost.join(used, ["product", "lineage"], "left_anti").unionByName(dead))
+    placed = _kept(heirs.unionByName(absorbed.select("product", F.col("right").alias("fn"), "lineage")).unionByName(waits(placed)))
+    return new, links, _kept(heirs.unionByName(waits(current))), placed, lost
 
 
 def summary(assignments: DataFrame) -> DataFrame:

@@ -105,6 +105,20 @@ def top_candidates(pairs: DataFrame, side: str, n: int = 3) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def leftovers(left: DataFrame, right: DataFrame, matched: DataFrame, n: int = 3) -> DataFrame:
+    """component, side, own, other, score: the n best partners of each function that was not matched, among all
+    functions of the other side, scored with all matches."""
+    a, b = with_matched_callees(left, right, matched)
+    out = []
+    for side, other in (("left", "right"), ("right", "left")):
+        taken = matched.select("component", F.col(side).alias("entry"))
+        own = (a if side == "left" else b).join(taken, ["component", "entry"], "left_anti")
+        pairs = scored(candidates(own, b) if side == "left" else candidates(a, own))
+        best = top_candidates(pairs.select("component", "left", "right", "score"), side, n)
+        out.append(best.select("component", F.lit(side).alias("side"), F.col(side).alias("own"), F.col(other).alias("other"), "score"))
+    return out[0].unionByName(out[1])
+
+
 def greedy(pairs: DataFrame) -> DataFrame:
     """One-to-one assignment in the order (score descending, left, right), by rounds.
 

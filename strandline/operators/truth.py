@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import precision_recall
-from .graph import components
+from .graph import _kept, components
 
 JOIN = ("EXACT", "STRONG", "PROBABLE")
 
@@ -18,14 +18,15 @@ def required_pairs(truth: DataFrame) -> DataFrame:
     return truth.groupBy(*keys).agg(F.max(F.col("kind") == "pair").alias("required"))
 
 
-def transition(predicted: DataFrame, truth: DataFrame, extracted: DataFrame, right_only: DataFrame, key: str) -> DataFrame:
+def transition(predicted: DataFrame, truth: DataFrame, extracted: DataFrame, right_only: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
     """Per key: tp, fp, fn, precision, recall, f1, coverage, false_new and false_new_rate of a comparison.
 
     predicted: key, left, right, decision; only joining decisions of left functions that the truth knows
     count. truth: key, left, right, required. extracted: key, side, address. right_only: key, right that no
-    match took: one that a required pair of extracted functions leads to was falsely left as new.
+    match took: one that a required pair of extracted functions leads to was falsely left as new. known: key,
+    left of all functions that the truth names, if it names more than those of its pairs.
     """
-    known = truth.select(key, "left").distinct()
+    known = (truth if known is None else known).select(key, "left").distinct()
     own = predicted.where(F.col("decision").isin(*JOIN) & F.col("right").isNotNull()).join(known, [key, "left"], "left_semi").select(key, "left", "right").distinct()
     found = lambda side: extracted.where(F.col("side") == side).select(key, F.col("address").alias(side)).distinct()
     t = truth.join(found("left").withColumn("_l", F.lit(True)), [key, "left"], "left").join(found("right").withColumn("_r", F.lit(True)), [key, "right"], "left")
@@ -91,6 +92,39 @@ def lineage_scores(assigned: DataFrame, logical: DataFrame, links: DataFrame, n_
     })
 
 
+def scores_by_product(assigned: DataFrame, logical: DataFrame, links: DataFrame, versions: DataFrame, returns: DataFrame) -> DataFrame:
+    """Per product: lineages, purity, fragmentation, recovery, outcomes of returns, false candidates.
+
+    assigned: product, lineage, version, v (no DISAPPEARED rows); logical: v, product, version, logical; links:
+    product, parent, child, relation; versions: product, versions; returns: product, v of what truly came back.
+    A logical function whose lineages recorded links connect is fragmented, but not lost.
+    """
+    own = _kept(assigned.select("product", "lineage", "v").join(logical.select("v", "logical"), "v"))
+    both = links.select("product", F.col("parent").alias("lineage")).unionByName(links.select("product", F.col("child").alias("lineage")))
+    islands = _kept(linked(own.select("lineage").unionByName(both.select("lineage")).distinct(), links))
+    members = _kept(own.select("product", "lineage", "logical").distinct())
+    per_lineage = members.groupBy("product", "lineage").agg(F.count(F.lit(1)).alias("d")).groupBy("product").agg(F.count(F.lit(1)).alias("lineages"), F.count_if(F.col("d") > 1).alias("wrong_merge"))
+    per_logical = _kept(members.join(islands, "lineage").groupBy("product", "logical").agg(F.count(F.lit(1)).alias("d"), F.countDistinct("island").alias("islands")))
+    split = per_logical.groupBy("product").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("d") > 1).alias("wrong_split"), F.count_if(F.col("islands") > 1).alias("wrong_split_unlinked"))
+    want = logical.groupBy("product", "logical").agg(F.countDistinct("version").alias("want")).join(versions, "product").where("want = versions")
+    one = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    chains = want.join(per_logical, ["product", "logical"], "left").groupBy("product").agg(F.count(F.lit(1)).alias("_full"), one(F.col("d") == 1).alias("_got"), one(F.col("islands") == 1).alias("_linked"))
+    outcome = F.when(F.col("d") == 1, "confirmed").when(F.col("islands") == 1, "candidate_linked").otherwise("missed")
+    back = returns.join(logical.select("v", "logical"), "v", "left").join(per_logical, ["product", "logical"], "left").groupBy("product").agg(*(F.count_if(outcome == o).alias(o) for o in ("confirmed", "candidate_linked", "missed")))
+    leads = links.where("relation = 'RESURRECTED_CANDIDATE'").select("product", "parent", "child").distinct()
+    met = leads.join(members.select(F.col("lineage").alias("parent"), "logical"), "parent").join(members.select(F.col("lineage").alias("child"), "logical"), ["child", "logical"])
+    false = leads.join(met.select("parent", "child"), ["parent", "child"], "left_anti").groupBy("product").agg(F.count(F.lit(1)).alias("false_resurrection_candidates"))
+    out = versions.select("product")
+    for part in (per_lineage, split, chains, back, false):
+        out = out.join(part, "product", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    share = lambda x, y: F.try_divide(F.col(x), F.nullif(F.col(y), F.lit(0)))
+    return out.select(
+        "product", *map(zero, ("lineages", "wrong_merge", "wrong_split", "wrong_split_unlinked", "confirmed", "candidate_linked", "missed", "false_resurrection_candidates")), (1 - share("wrong_merge", "lineages")).alias("purity"),
+        share("wrong_split", "_n").alias("fragmentation"), share("wrong_split_unlinked", "_n").alias("fragmentation_unlinked"), share("_got", "_full").alias("multi_version_recovery"), share("_linked", "_full").alias("multi_version_recovery_linked"),
+    )
+
+
 def return_outcomes(returns: DataFrame, logical: DataFrame, assigned: DataFrame, links: DataFrame) -> DataFrame:
     """Each true return (v of the function that came back): confirmed, candidate_linked or missed."""
     own = assigned.join(logical.select("v", "logical"), "v")
