@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +29,17 @@ def folder(spark: SparkSession) -> str:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut the plan in the shared folder; Spark deletes the files with the last reference."""
+    """Cut the plan in the shared folder; Spark deletes the files with the last reference.
+
+    A checkpoint computes its rows twice, once to count and once to write them: they are held on the
+    executors' disks in between.
+    """
     folder(df.sparkSession)
-    return df.checkpoint()
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return held.checkpoint()
+    finally:
+        held.unpersist()
 
 
 class Grown:
