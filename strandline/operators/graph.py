@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +30,56 @@ def folder(spark: SparkSession) -> str:
     return (path or own.get()).rstrip("/")
 
 
+class Scratch:
+    """Rows that one piece of work needs and nothing after it: written once as Parquet in the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+
+    def delete(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_work: list[Scratch] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Until its end all kept rows go to a folder that is deleted then; outliving() takes frames out of it."""
+    own = Scratch(spark)
+    _work.append(own)
+    try:
+        yield own
+    finally:
+        _work.remove(own)
+        own.delete()
+
+
+def outliving(own: Scratch, *frames: DataFrame) -> list[DataFrame]:
+    """Frames of a piece of work, kept beyond it."""
+    at = _work.index(own)
+    outer, _work[at:] = _work[at:], []
+    try:
+        return [_kept(f) for f in frames]
+    finally:
+        _work.extend(outer)
+
+
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut the plan in the shared folder; Spark deletes the files with the last reference.
+    """Cut the plan in the shared folder.
 
-    A checkpoint computes its rows twice, once to count and once to write them: they are held on the
-    executors' disks in between.
+    Inside a piece of work (scratch) rows are written as Parquet. Elsewhere they are checkpointed, and Spark
+    deletes the files with the last reference; as a checkpoint computes its rows twice, once to count and
+    once to write them, they are held on the executors' disks in between.
     """
+    if _work:
+        return _work[-1].keep(df)
     folder(df.sparkSession)
     held = df.persist(StorageLevel.DISK_ONLY)
     try:

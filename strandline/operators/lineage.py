@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import size_ratio
 from ..functions.stats import jaccard, weighted_mean
-from .graph import Grown, _kept
+from .graph import Grown, _kept, outliving, scratch
 from .match import MARGIN, STRONG, WEIGHTS, family_scores, greedy
 
 #: Fixed values of the lineage rules.
@@ -219,10 +219,12 @@ def run(builds: DataFrame, functions: DataFrame, matches: DataFrame, rollbacks:
         current, placed, lost = current.unionByName(before.current), placed.unionByName(before.placed), lost.unionByName(before.lost)
     for k in range(first or 1, (last or 0) + 1):
         now = todo.where(F.col("ord") == k).select("product", "left_build", "right_build")
-        rows = _kept(matches.join(now, ["product", "left_build", "right_build"]))
-        new, grown, current, placed, lost = _step(k, rows, feats(k), feats(k + 1), current, placed, lost, rollbacks)
-        out.write(new)
-        links.write(grown)
+        with scratch(spark) as work:
+            rows = _kept(matches.join(now, ["product", "left_build", "right_build"]))
+            new, grown, *state = _step(k, rows, feats(k), feats(k + 1), current, placed, lost, rollbacks)
+            out.write(new)
+            links.write(grown)
+            current, placed, lost = outliving(work, *state)
     return Run(out.read(), links.read(), current, placed, lost)
 
 
@@ -318,9 +320,9 @@ def _step(k, rows, left, right, current, placed, lost, rollbacks):
     waits = lambda state: state.join(compared.select("product"), "product", "left_anti")  # noqa: E731  # a gap, or the sequence is over
     used = claims_back.select("product", F.col("old_lineage").alias("lineage"))
     dead = _lost(gone.select("product", F.col("left").alias("fn"), "lineage"), left, placed)
-    lost = _kept(lost.join(used, ["product", "lineage"], "left_anti").unionByName(dead))
-    placed = _kept(heirs.unionByName(absorbed.select("product", F.col("right").alias("fn"), "lineage")).unionByName(waits(placed)))
-    return new, links, _kept(heirs.unionByName(waits(current))), placed, lost
+    lost = lost.join(used, ["product", "lineage"], "left_anti").unionByName(dead)
+    placed = heirs.unionByName(absorbed.select("product", F.col("right").alias("fn"), "lineage")).unionByName(waits(placed))
+    return new, links, heirs.unionByName(waits(current)), placed, lost
 
 
 def summary(assignments: DataFrame) -> DataFrame:

@@ -18,7 +18,6 @@ RELATION_INFERENCE = {
 CSV_COLUMNS = (
     "left_artifact", "left_address", "left_name", "right_artifact", "right_address", "right_name", "decision", "inference_state", "calibration_state", "strength_class", "evidence_diversity", "engine_count", "contradicting", "side",
 )
-FAMILY_TEXT = {"context": "a caller in common", "data": "the same data", "name": "the same name", "rollback": "a rollback on record"}
 PARTIAL_TITLE = "Not all evidence is there: what was not measured is unknown"
 
 
@@ -39,29 +38,30 @@ def lineage_inference(relation: Column, decision: Column) -> Column:
     return F.when(relation.isin("CONTINUATION", "MODIFIED"), inference(decision)).otherwise(F.coalesce(_of(relation, RELATION_INFERENCE), F.lit("UNRESOLVED")))
 
 
+#: What each relation of a lineage means, and what the evidence of it is made of.
+MEANING = {
+    "CONTINUATION": "one function in both builds, code unchanged", "MODIFIED": "one function in both builds, code changed", "RESURRECTED_CONFIRMED": "returned, under its old lineage",
+    "RESURRECTED_CANDIDATE": "perhaps returned; hypothesis, two linked lineages", "SPLIT_PARENT": "perhaps part of another function before; hypothesis, two linked lineages",
+    "MERGE_PARENT": "perhaps joined with others; hypothesis, linked lineages", "DISAPPEARED": "no counterpart in this build; removal is not shown", "UNRESOLVED": "origin open",
+}
+EVIDENCE = {"context": "callers", "data": "data", "name": "name", "rollback": "rollback event"}
+
+
 def lineage_status(relation: Column, decision: Column) -> Column:
-    """What a report says of a lineage relation."""
-    said = {
-        "RESURRECTED_CONFIRMED": "RESURRECTED_CONFIRMED: back in its earlier lineage", "RESURRECTED_CANDIDATE": "RESURRECTED_CANDIDATE: may be back (a hypothesis)",
-        "SPLIT_PARENT": "SPLIT_PARENT: split off by a rule (a hypothesis); linked, kept apart", "MERGE_PARENT": "MERGE_PARENT: merged by a rule (a hypothesis); linked, kept apart",
-        "DISAPPEARED": "DISAPPEARED: not seen in this build, which does not prove that it was removed",
-    }
-    verb = F.when(relation == "CONTINUATION", ": goes on as it was (decision ").otherwise(": goes on with other code (decision ")
-    own = F.concat(relation, verb, F.coalesce(decision, F.lit("None")), F.lit(")"))
-    return F.when(relation.isin("CONTINUATION", "MODIFIED"), own).otherwise(F.coalesce(_of(relation, said), F.lit("UNRESOLVED: where it comes from is unknown; it is not called new")))
+    """Relation, meaning and, where a decision carries the lineage on, the decision; an unknown relation is UNRESOLVED."""
+    known = F.when(relation.isin(*MEANING), relation).otherwise("UNRESOLVED")
+    by = F.when(known.isin("CONTINUATION", "MODIFIED"), F.concat(F.lit(" ["), F.coalesce(decision, F.lit("no decision")), F.lit("]"))).otherwise("")
+    return F.concat(known, F.lit(" - "), _of(known, MEANING), by)
 
 
 def lineage_explanation(relation: Column, code: Column, supporting: Column, reasons: Column, rejected: Column) -> Column:
-    """Why a report says so; null where the relation needs no more words. rejected: contradicting families of a refused return."""
-    names = F.transform(supporting, lambda f: F.coalesce(_of(f, FAMILY_TEXT), f))
-    confirmed = F.concat(F.lit("The earlier identity is taken up again because the evidence agrees: "), F.array_join(F.concat(F.array(F.concat(F.lit("code "), code)), names), ", "), F.lit("; nothing speaks against it and nothing else comes close."))
-    candidate = F.concat(
-        F.lit("A hypothesis: an earlier function may have come back. Its lineage is not taken up; the two are linked."),
-        F.when(F.size(supporting) > 0, F.concat(F.lit(" For it: "), F.array_join(supporting, ", "), F.lit("."))).otherwise(""),
-        F.when(F.size(reasons) > 0, F.concat(F.lit(" Against confirming it: "), F.array_join(reasons, "; "), F.lit("."))).otherwise(""),
-    )
-    refused = F.when(rejected.isNotNull(), F.concat(F.lit("A return was weighed and refused: against it "), F.array_join(rejected, ", "), F.lit(".")))
-    return F.when(relation == "RESURRECTED_CONFIRMED", confirmed).when(relation == "RESURRECTED_CANDIDATE", candidate).when(relation == "UNRESOLVED", refused)
+    """The evidence behind a relation, as `side: items` parts; null where the relation says all. rejected: contradicting families
+    of a refused return."""
+    named = F.transform(supporting, lambda f: F.coalesce(_of(f, EVIDENCE), f))
+    part = lambda label, items: F.when(F.size(items) > 0, F.concat(F.lit(f"{label}: "), F.array_join(items, ", ")))
+    sure = F.concat_ws("; ", part("agrees", F.concat(F.array(F.concat(F.lit("code "), code)), named)), F.lit("no contradiction, no close rival"))
+    open_ = F.concat_ws("; ", F.lit("not merged"), part("for", named), part("short of confirmation", reasons))
+    return F.when(relation == "RESURRECTED_CONFIRMED", sure).when(relation == "RESURRECTED_CANDIDATE", open_).when((relation == "UNRESOLVED") & rejected.isNotNull(), F.concat_ws("; ", F.lit("return refused"), part("against", rejected)))
 
 
 def historical_lineage(relation: Column, lineage: Column, previous: Column, parent: Column) -> Column:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import changes, consensus, features, graph, lineage, match, quality
+from ..operators import changes, consensus, features, graph, lineage, match, quality, store
 from ..session import table
 
 QUERIES: dict = {}
@@ -170,25 +167,39 @@ def structural_change(spark, sf_dir):
     return changes.structural(_consensus(spark, sf_dir), docs.select(F.col("doc_id").alias("left"), F.col("n_chars").alias("l_size")), docs.select(F.col("doc_id").alias("right"), F.col("n_chars").alias("r_size")))
 
 
+def _supplied(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b"))
+
+
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_orderkey % 97 = 0),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT a AS v FROM u UNION SELECT b FROM u),
-r(v, w) AS (SELECT v, v FROM n UNION SELECT r.v, u.b FROM r JOIN u ON r.w = u.a)
-SELECT v, min(w) AS component FROM r GROUP BY v
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc(v, component) USING KEY (v) AS (SELECT DISTINCT a, a FROM u UNION
+ SELECT u.a, min(c.component) FROM cc AS c JOIN u ON u.b = c.v JOIN recurring.cc AS k ON k.v = u.a WHERE c.component < k.component GROUP BY u.a)
+SELECT v, component, count(*) OVER (PARTITION BY component) AS size FROM cc
 """)
-def modified_clusters(spark, sf_dir):
-    """Connected components of suppliers and parts over the orders of one class, as its SQL asks; modified_clusters_whole takes all orders."""
-    return graph.components(_supplied(table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 0")))
+def modified_clusters_whole(spark, sf_dir):
+    """Connected components of suppliers and parts over all orders, each with its size."""
+    out = graph.components(_supplied(table(spark, sf_dir, "lineitem")))
+    return out.join(out.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
 
 
-def _supplied(lines: DataFrame) -> DataFrame:
-    return lines.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b"))
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 10000000 + 100000 * year(o_orderdate) + 1000 * month(o_orderdate) + CAST(floor(o_totalprice / 20000) AS BIGINT) AS b FROM orders),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc(v, component) USING KEY (v) AS (SELECT DISTINCT a, a FROM u UNION
+ SELECT u.a, min(c.component) FROM cc AS c JOIN u ON u.b = c.v JOIN recurring.cc AS k ON k.v = u.a WHERE c.component < k.component GROUP BY u.a),
+g AS (SELECT component, count(*) AS size, min(v) AS first_member FROM cc GROUP BY component)
+SELECT row_number() OVER (ORDER BY size DESC, first_member) AS place, component, size FROM g
+""")
+def clusters_by_size(spark, sf_dir):
+    """Components of customers and what they bought alike in a month: the largest first, of equals that with the least member."""
+    own = table(spark, sf_dir, "orders")
+    kind = 10_000_000 + 100_000 * F.year("o_orderdate") + 1000 * F.month("o_orderdate") + F.floor(F.col("o_totalprice") / 20000)
+    out = graph.components(own.select(F.col("o_custkey").alias("a"), kind.cast("long").alias("b")))
+    sizes = out.groupBy("component").agg(F.count(F.lit(1)).alias("size"))  # a component is named by its least member
+    return store.numbered(sizes, F.desc("size"), F.asc("component"), name="place").select("place", "component", "size")
 
 
-@query()
-def modified_clusters_whole(spark, sf_dir):
-    """Connected components of suppliers and parts over all orders; recursive SQL does not get through these."""
-    return graph.components(_supplied(table(spark, sf_dir, "lineitem")))
 
 
 @query("""
@@ -419,36 +430,26 @@ def resurrection_assess(spark, sf_dir):
     return graded.select("product", "lineage", "fn", "status", "contradicted")
 
 
-CAPACITY = "c AS (SELECT i // 4000 AS build, 4096 + 16 * (i % 4000) AS address, CASE WHEN i % 50 = 0 THEN 'fn_' || i END AS name, sha256(CAST(i % 4000 AS VARCHAR)) AS hash FROM range(1000000) t(i))"
-
+CAPACITY = "c AS (SELECT l_suppkey AS build, 4096 + 16 * (l_orderkey * 8 + l_linenumber) AS address, CASE WHEN l_partkey % 50 = 0 THEN 'fn_' || l_orderkey END AS name, sha256(CAST(l_partkey AS VARCHAR)) AS hash FROM lineitem)"
 
-def _capacity(spark) -> DataFrame:
-    """250 builds of 4,000 functions: the published capacity set of class M."""
-    i = F.col("id")
-    return spark.range(1_000_000).select(F.floor(i / 4000).alias("build"), (4096 + 16 * (i % 4000)).alias("address"), F.when(i % 50 == 0, F.concat(F.lit("fn_"), i.cast("string"))).alias("name"), F.sha2((i % 4000).cast("string"), 256).alias("hash"))
 
-
-_stored: dict[str, str] = {}
-
-
-def _capacity_store(spark, fresh: bool) -> DataFrame:
-    """The set written as Parquet, with its names sorted together, and read again; written anew if asked, else once a session."""
-    key = spark.sparkContext.applicationId
-    if fresh or key not in _stored:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="capacity-")  # unset only on one machine
-        path = f"{folder}/capacity-{uuid.uuid4().hex}"
-        _capacity(spark).write.parquet(path)
-        _stored[key] = path
-    return spark.read.parquet(_stored[key])
+def _capacity(spark, sf_dir) -> DataFrame:
+    """Line items as function rows: suppliers are builds, parts are code, and one in fifty has a name."""
+    own = table(spark, sf_dir, "lineitem")
+    return own.select(
+        F.col("l_suppkey").alias("build"), (4096 + 16 * (F.col("l_orderkey") * 8 + F.col("l_linenumber"))).alias("address"), F.when(F.col("l_partkey") % 50 == 0, F.concat(F.lit("fn_"), F.col("l_orderkey").cast("string"))).alias("name"),
+        F.sha2(F.col("l_partkey").cast("string"), 256).alias("hash"),
+    )
 
 
 @query(f"WITH {CAPACITY} SELECT build, count(*) AS n, count(DISTINCT hash) AS n_hash, count(name) AS n_named FROM c GROUP BY ALL")
 def capacity_load(spark, sf_dir):
-    """A million function rows written to a store and counted by build."""
-    return _capacity_store(spark, True).groupBy("build").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("hash").alias("n_hash"), F.count("name").alias("n_named"))
+    """All function rows written to a store and counted by build as they are read back."""
+    held = graph.Scratch(spark).keep(_capacity(spark, sf_dir))
+    return held.groupBy("build").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("hash").alias("n_hash"), F.count("name").alias("n_named"))
 
 
-@query(f"WITH {CAPACITY} SELECT build, address, name FROM c WHERE contains(name, '9950') ORDER BY build, address LIMIT 50")
+@query(f"WITH {CAPACITY} SELECT build, address, name FROM c WHERE contains(name, '995')")
 def capacity_search(spark, sf_dir):
-    """The first fifty hits of a substring search over the stored million function rows."""
-    return _capacity_store(spark, False).where(F.col("name").contains("9950")).select("build", "address", "name").orderBy("build", "address").limit(50)
+    """All hits of a substring search over the names of function rows."""
+    return _capacity(spark, sf_dir).where(F.col("name").contains("995")).select("build", "address", "name")

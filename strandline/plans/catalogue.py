@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, relational, reporting, state, upkeep
+from . import analytics, benchmarks, relational, reporting, state, upkeep
 
-QUERIES: dict = {**relational.QUERIES, **analytics.QUERIES, **state.QUERIES, **reporting.QUERIES, **upkeep.QUERIES}
-SQL: dict[str, str] = {**relational.SQL, **analytics.SQL, **state.SQL, **reporting.SQL, **upkeep.SQL}
+QUERIES: dict = {**relational.QUERIES, **analytics.QUERIES, **state.QUERIES, **reporting.QUERIES, **upkeep.QUERIES, **benchmarks.QUERIES}
+SQL: dict[str, str] = {**relational.SQL, **analytics.SQL, **state.SQL, **reporting.SQL, **upkeep.SQL, **benchmarks.SQL}

@@ -255,6 +255,15 @@ def token_search(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(search.has_tokens(F.col("text"), "The FOR")).select("doc_id", "source")
 
 
+@query(r"""
+SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'data') AND list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'the')
+""")
+def indexed_search(spark, sf_dir):
+    """A conjunction of words through the token table of all texts, which is written once and read by word."""
+    docs = table(spark, sf_dir, "documents")
+    return search.find(search.stored_index(docs, "doc_id", "text"), "doc_id", "the data")
+
+
 @query("SELECT doc_id, sha256(text) AS sha FROM documents WHERE sha256(text) >= 'a' AND sha256(text) < 'ag'")
 def hash_prefix_range(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))

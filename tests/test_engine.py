@@ -269,7 +269,7 @@ def test_near_duplicates_against_all_pairs(spark):
 
 def test_modified_clusters_whole_unites_over_the_orders_of_all_classes(spark, tmp_path):
     rnd = random.Random(4)
-    rows = [(k, rnd.randrange(1, 60), rnd.randrange(1, 90)) for k in range(90)]  # only order 0 is of the class that modified_clusters takes
+    rows = [(k, rnd.randrange(1, 60), rnd.randrange(1, 90)) for k in range(90)]
     spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     parent = {}
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from strandline.operators import features, truth, versions
-from strandline.sources import documents, files, image_parts, results
+from strandline.sources import documents, files, results
 from strandline.streaming import watch
 
 
@@ -57,56 +57,6 @@ def der(tag, *parts):
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
 
 
-def test_further_parts_of_images(spark):
-    import hashlib
-
-    body = bytearray(0x800)  # at file offset 0x400, address 0x1000
-    text = lambda at, t: body.__setitem__(slice(at, at + len(t) + 1), t + b"\0")
-    pack = lambda form, at, *v: struct.pack_into("<" + form, body, at, *v)
-    pack("IIHHIIIIIII", 0, 0, 0, 0, 0, 0x1060, 5, 2, 1, 0x1030, 0x1040, 0x1050)  # exports
-    pack("II", 0x30, 0x1700, 0x1070)
-    pack("I", 0x40, 0x1064)
-    pack("H", 0x50, 0)
-    text(0x60, b"lib"), text(0x64, b"run"), text(0x70, b"other.go")
-    pack("IIHHHH", 0x100, 0x1000, 16, 0xA000, 0xA008, 0x3000, 0x0000)  # relocations
-    pack("IIIIIIII", 0x140, 1, 0x1190, 0, 0, 0x11A0, 0, 0, 0)  # delayed imports
-    text(0x190, b"late.dll"), pack("QQQ", 0x1A0, 0x11C0, (1 << 63) | 9, 0), text(0x1C2, b"Later")
-    pack("QQQQ", 0x200, 0, 0, 0, 0x140001240), pack("QQQ", 0x240, 1, 2, 0)  # thread callbacks
-    pack("I", 0x280, 0x94), pack("Q", 0x280 + 0x58, 7), pack("I", 0x280 + 0x90, 0x100)  # load configuration
-    pack("HHII", 0x400 + 12, 0, 1, 24, 0x80000018), pack("HHII", 0x418 + 12, 0, 1, 1, 0x80000030), pack("HHII", 0x430 + 12, 0, 1, 1033, 0x48), pack("II", 0x448, 0x1480, 5)
-    text(0x480, b"<xml>")
-    data = bytearray(image(body=bytes(body)))
-    struct.pack_into("<Q", data, 0x98 + 24, 0x140000000)
-    entry = lambda k, rva, size: struct.pack_into("<II", data, 0x98 + 112 + 8 * k, rva, size)
-    entry(0, 0x1000, 0x100), entry(2, 0x1400, 0x100), entry(5, 0x1100, 16), entry(9, 0x1200, 40), entry(10, 0x1280, 0x94), entry(13, 0x1140, 64)
-    unsigned = bytes(data)
-    entry(4, len(data), 0)
-    own = 0x98
-    digest = hashlib.sha256(unsigned[: own + 64] + unsigned[own + 68 : own + 144] + unsigned[own + 152 :]).digest()
-    oid = lambda h: der(6, bytes.fromhex(h))
-    name = lambda n: der(0x30, der(0x31, der(0x30, oid("550403"), der(0x0C, n))))
-    certificate = der(0x30, der(0x30, der(0xA0, der(2, b"\2")), der(2, b"\7"), der(0x30), name(b"Root"), der(0x30), name(b"Some Signer")))
-    info = der(0x30, der(0x30), der(0x30, der(0x30, oid("608648016503040201")), der(4, digest)))
-    signer = der(0x30, der(2, b"\1"), der(0x30, name(b"Root"), der(2, b"\7")), der(0x30, oid("608648016503040201")))
-    signed = der(0x30, der(2, b"\1"), der(0x31), der(0x30, oid("2b060104018237020104"), der(0xA0, info)), der(0xA0, certificate), der(0x31, signer))
-    blob = der(0x30, oid("2a864886f70d010702"), der(0xA0, signed))
-    entry(4, len(data), 8 + len(blob))
-    whole = bytes(data) + struct.pack("<IHH", 8 + len(blob), 0x200, 2) + blob
-    df = spark.createDataFrame([(0, whole), (1, whole[:-40]), (2, b"no image"), (3, unsigned), (4, whole[:0x700] + b"\xff" + whole[0x701:])], "k int, content binary")
-    rows = {r["k"]: r["p"] for r in df.select("k", image_parts.image_parts("content").alias("p")).collect()}
-    p = rows[0]
-    assert [(e["ordinal"], e["name"], e["forwarder"]) for e in p["exports"]["value"]] == [(5, "run", None), (6, None, "other.go")]
-    assert p["relocations"]["value"] == {"DIR64": 2, "HIGHLOW": 1, "ABSOLUTE": 1} and p["relocations"]["blocks"] == 1
-    assert [(d["dll"], d["symbols"]) for d in p["delay_imports"]["value"]] == [("late.dll", ["Later", "ord9"])]
-    assert p["tls"]["callbacks"] == 2 and p["load_config"]["security_cookie"] and p["load_config"]["instrumented"] and p["load_config"]["handlers"] is None
-    assert [(r["type"], r["name"], r["lang"], r["size"]) for r in p["resources"]["value"]] == [("MANIFEST", "1", "1033", 5)]
-    s = p["signature"]
-    assert (s["present"], s["algorithm"], s["digest_matches"], s["signer"], s["certificates"], s["chain"]) == (True, "sha256", True, "Some Signer", 1, "NOT_MEASURED")
-    assert rows[1]["signature"]["state"] == "PARTIAL" and rows[1]["exports"]["state"] == "MEASURED" and rows[2]["tls"]["state"] == "NOT_APPLICABLE"
-    assert rows[3]["signature"]["present"] is False and rows[4]["signature"]["digest_matches"] is False
-    assert [tuple(r[0]) for r in spark.createDataFrame([("C:\\\\Users\\\\me\\\\a.pdb",), ("a.pdb",)], "p string").select(image_parts.shown_path(F.col("p"))).collect()] == [("a.pdb", True), ("a.pdb", False)]
-
-
 def test_exports_become_features(spark, tmp_path):
     fn = lambda e, **k: {"entry": e, "name": f"FUN_{e}", "name_source": "DEFAULT", "size": 16, "thunk": False, "section": ".text", "blocks": [{"start": e, "size": 8, "succ": [e + 8]}, {"start": e + 8, "size": 8, "succ": []}], "insns": [["MOV", "REG,REG"], ["RET", ""]], "calls": [], "imports": [], "strings": [], "constants": ["18446744073709551615"]} | k
     good = {"format": "x", "status": "complete", "program": {"executable_sha256": "a" * 64, "blocks": [{"name": "t", "start": 0, "size": 64, "execute": True, "initialized": True}]}, "functions": [fn(16, calls=[32]), fn(32, name="run", name_source="USER")], "counts": {"functions": 2, "instructions": 4}}
