@@ -101,7 +101,7 @@ def invariant_problems(rows: DataFrame) -> DataFrame:
         F.when((F.col("kind") == "function") & (state != inference(F.col("decision"))), "decision shown as another level"), F.when(F.col("probability").isNotNull(), "a probability is printed"),
         F.when((F.col("kind") == "event") & ~relation.isin("CONTINUATION", "MODIFIED") & (state != allowed), "relation shown as another level"),
         F.when((relation == "RESURRECTED_CANDIDATE") & ~F.lower("status_text").contains("hypothesis"), "a candidate is not called a hypothesis"),
-        F.when((relation == "RESURRECTED_CONFIRMED") & ~F.coalesce(F.col("explanation"), F.lit("")).contains("taken up again because"), "a confirmed return does not say why"),
+        F.when((relation == "RESURRECTED_CONFIRMED") & ~F.coalesce(F.col("explanation"), F.lit("")).contains("agrees: "), "a confirmed return does not say why"),
     ))
     return rows.withColumn("problem", F.explode(problem))
 
