@@ -59,6 +59,19 @@ def turn(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{body}{END}\n", len(head), len(head) + len(body)
 
 
+def parsed(formatted: str, at: int = 0) -> tuple[str, str, int]:
+    """Role and text of the turn that begins at a place, and where the next one begins.
+
+    Neither holds a control string, so the first line end closes the role and the next `<|` the text.
+    """
+    begin = at + len(START)
+    line = formatted.find("\n", begin)
+    end = formatted.find("<|", begin)
+    if not formatted.startswith(START, at) or line < 0 or end < line or not formatted.startswith(f"{END}\n", end):
+        raise ValueError("a turn that does not follow the template")
+    return unescape_role(formatted[begin:line]), unescape(formatted[line + 1 : end]), end + len(END) + 1
+
+
 def _link(before: bytes, role: str, text: str) -> bytes:
     r, t = role.encode(), text.encode()
     return hashlib.blake2b(before + len(r).to_bytes(8, "big") + r + t, digest_size=16).digest()
@@ -236,7 +249,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tree, so shared turns are read once. A block under a stem begins with a row of the stem's text.
     """
     schema = pa.schema([("path", pa.binary()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    shape = re.compile(re.escape(START) + r"((?:(?!<\|)[^\n])*)\n((?:(?!<\|).)*)" + re.escape(END) + "\n", re.S)
 
     def rows() -> Iterator[dict]:
         for _, parts in _grouped(batches, 2):
@@ -247,10 +259,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if node < 0:
                         state[-1], base = before(shown), len(shown)
                         continue
-                    m = shape.fullmatch(shown)
-                    if m is None or e - s != len(shown) or sum(x["e"] - x["s"] for x in seen) + base != position:
-                        raise ValueError("a node that does not follow the template")
-                    role, text = unescape_role(m[1]), unescape(m[2])
+                    role, text, end = parsed(shown)
+                    if end != len(shown) or e - s != len(shown) or sum(x["e"] - x["s"] for x in seen) + base != position:
+                        raise ValueError("a node that is not the turn that its place says")
                     turns, n, loss, chars = state[parent]
                     turns, loss = turns.copy(), loss.copy()
                     turns.update(f"{role}\n{text}\n".encode())
@@ -265,10 +276,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def before(text: str) -> tuple:
         turns, n, loss, chars, at = hashlib.sha256(), 0, hashlib.sha256(), 0, 0
         while at < len(text):
-            m = shape.match(text, at)
-            if m is None:
-                raise ValueError("a stem that does not follow the template")
-            role, said, at = unescape_role(m[1]), unescape(m[2]), m.end()
+            role, said, at = parsed(text, at)
             turns.update(f"{role}\n{said}\n".encode())
             n += 1
             if role == "assistant":

@@ -215,3 +215,20 @@ def test_chats_in_tokens(spark, library):
                 spoken = library.decode([x for x, m in zip(r["ids"], r["loss"]) if m], skip_special_tokens=False)
                 text = shown[path]["formatted"][shown[path]["loss_start"] - shown[path]["start"] : shown[path]["loss_end"] - shown[path]["start"]]
                 assert text in spoken and len(spoken) <= len(text) + 3 and (spoken == text or text != text.strip())
+
+
+def test_a_very_long_turn_takes_little_besides_its_text():
+    import tracemalloc
+
+    from strandline.llm.op3_chat_format import parsed, turn
+
+    text = ("some words\n" * 90 + "<|im_end|> <| \\ <\\| ") * 20_000  # 20 MB
+    shown = turn("user", text)[0]
+    tracemalloc.start()
+    role, said, end = parsed(shown)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (role, said, end) == ("user", text, len(shown)) and most < 4 * len(shown)
+    for bad in (shown[:-1], shown[1:], shown.replace("\n", " ", 1)[:40], "<|im_start|>user", ""):
+        with pytest.raises(ValueError):
+            parsed(bad)
