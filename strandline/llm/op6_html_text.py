@@ -1,14 +1,19 @@
 """HTML extraction with site template removal.
 
-1. Each page becomes a tree. Every block-level subtree that is not a paragraph or heading of the
-   page's article is hashed: tags, classes and text, without links' targets.
+1. Each page becomes a tree, and its article is found. Outside the article every block-level subtree is
+   hashed by its skeleton: tags, classes and ids, where children that follow each other and are alike count
+   once, so that a menu is one template however many entries it has. Inside the article, and on pages that
+   have none, a subtree is hashed with its text, so that only what stands there word for word recurs;
+   paragraphs and headings of an article are never hashed.
 2. Spark counts, for each host and each section of it (the first segment of the path), the pages that
    have a subtree. One that stands on MIN_PAGES pages and MIN_SHARE of the pages at least, of the host
    or of the section, or on MANY pages whatever their share, belongs to the template of these pages.
-3. Templates are deleted from each page, then elements that are furniture by their tag or role, outside
-   the article by class or id too; inside it only what is named exactly as an advert, share box or reader
-   comments, and never a paragraph or heading. What is left of the article (or main element, or body) is
-   the text.
+3. Templates are deleted from each page; what is left is the text. Nothing but these counts takes menus,
+   headers, footers and the like off a page. Inside an article, an element goes besides that is no part of
+   one by its tag or role, or is named exactly as an advert, share box or reader comments: these differ
+   from page to page.
+4. Only where counts can say nothing, on hosts of fewer than FEW pages and on pages without an article, the
+   names of tags, roles and classes decide what is furniture.
 """
 
 from __future__ import annotations
@@ -22,11 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freeing, staged, table
+from .common import freeing, small, staged, table
 from .op2_bpe import _slices
-from .op4_url_filter import split_url
 
 MIN_PAGES, MIN_SHARE, MANY = 5, 0.5, 1000
+#: Pages from which on a host's own counts decide what is furniture.
+FEW = 5
+#: Every page with an article has this as a subtree: it is a template where its host has FEW pages.
+PAGE = 0
+#: Pages from which on a template is joined by broadcast; there are few of these, and each is on very many rows.
+HOT = 50_000
+#: Such templates are broadcast up to so many; a corpus has fewer than its subtrees by HOT.
+FREQUENT = 1_000_000
+#: Elements that show nothing, or ask instead of tell.
+MUTE = set("script style noscript template head iframe svg canvas object embed audio video map form button select textarea dialog".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -133,7 +147,7 @@ def furniture(node: Node, inside: bool) -> bool:
     if not node.attrs.strip() or node.tag in ("html", "body", "article", "main"):
         return False
     a = node.named()
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
+    if _hidden(node):
         return True
     if a.get("role", "").lower() in FURNITURE_ROLES:
         return True
@@ -167,22 +181,37 @@ def article(root: Node) -> Node | None:
 def hashed_subtrees(root: Node, region: Node | None) -> Iterator[tuple[int, Node]]:
     """(hash, node) of every block-level subtree that can be part of a template."""
     inside = {id(n) for n in elements(region)} if region is not None else set()
+    above, up = set(), region
+    while up is not None:
+        above.add(id(up))
+        up = up.up
     digests: dict[int, bytes] = {}
     for node in reversed(list(elements(root))):
         h = hashlib.blake2b(digest_size=8)
         names = ATTRIBUTE.findall(node.attrs) if "class" in node.attrs or "id" in node.attrs else ()
         h.update((node.tag + "".join(f" {k}={v}" for k, v in names if k.lower() in ("class", "id"))).encode("utf-8", "surrogatepass"))
+        outside = region is not None and id(node) not in inside
+        before = None
         for c in node.children:
-            h.update(b"<" + digests[id(c)] if isinstance(c, Node) else b">" + " ".join(c.split()).encode("utf-8", "surrogatepass"))
+            if not outside:
+                h.update(b"<" + digests[id(c)] if isinstance(c, Node) else b">" + " ".join(c.split()).encode("utf-8", "surrogatepass"))
+            elif isinstance(c, Node) and digests[id(c)] != before:
+                before = digests[id(c)]
+                h.update(b"<" + before)
         digests[id(node)] = h.digest()
-        if node.tag in BLOCK and node.tag not in ("html", "body", "article", "main") and not (id(node) in inside and node.tag in PROSE):
+        if node.tag in BLOCK and node.tag not in ("html", "body", "article", "main") and id(node) not in above and not (id(node) in inside and node.tag in PROSE):
             yield int.from_bytes(h.digest(), "big", signed=True), node
 
 
 def extract(page: str, templates: set[int]) -> str:
-    """The page's main text: blocks joined by two line ends, white space inside a block one space."""
+    """The page's main text: blocks joined by two line ends, white space inside a block one space.
+
+    templates: hashes of what to delete, and PAGE if the page's host has counts to go by.
+    """
     root = parse(page)
     region = article(root)
+    counted = region is not None and PAGE in templates
+    inside = {id(n) for n in elements(region)} if counted else set()
     gone = {id(n) for h, n in hashed_subtrees(root, region) if h in templates} if templates else set()
     blocks: list[str] = []
     held: list[str] = []
@@ -193,14 +222,21 @@ def extract(page: str, templates: set[int]) -> str:
             blocks.append(text)
         held.clear()
 
-    stack: list[tuple[Node | str | None, bool]] = [(region or root, False)]
+    def dropped(node: Node) -> bool:
+        if id(node) in gone or node.tag in RAW:
+            return True
+        if counted and id(node) not in inside:
+            return node.tag in MUTE or _hidden(node)
+        return furniture(node, region is not None)
+
+    stack: list[tuple[Node | str | None, bool]] = [(root if counted else region or root, False)]
     while stack:
         node, closing = stack.pop()
         if isinstance(node, str):
             held.append(node)
         elif closing:
             flush()
-        elif node is region or node is root or not (id(node) in gone or node.tag in RAW or furniture(node, region is not None)):
+        elif node is region or node is root or not dropped(node):
             if node.tag in BLOCK or node.tag == "#root":
                 flush()
                 stack.append((node, True))
@@ -211,41 +247,65 @@ def extract(page: str, templates: set[int]) -> str:
     return "\n\n".join(blocks)
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY) -> DataFrame:
-    """Per row: page_id, url, text and n_chars.
+def _hidden(node: Node) -> bool:
+    if not node.attrs.strip():
+        return False
+    a = node.named()
+    return "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
 
-    Null and empty html give an empty text; pages without a host share the empty one. Rows with one
-    page_id, host and section share the subtrees to delete, which all stand in a template of theirs anyway.
-    Ids may be null. Other columns are ignored, whatever their names; an empty table gives no rows.
-    """
-    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), _section(F.col(url_col).cast("string")).alias("section"))
+
+def page_subtrees(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, host, section and the distinct hashes of each page; PAGE is one of them if the page has an article."""
+    own = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), _host(F.col(url_col).cast("string")).alias("host"), _section(F.col(url_col).cast("string")).alias("section"))
     kind = own.schema["page_id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole.select([0, 2, 1, 3]), 2_000_000):
-                hosts, lists = [], []
-                for page, url in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for batch in _slices(whole, 2_000_000):
+                lists = []
+                for page in batch.column(1).to_pylist():
                     root = parse(page)
-                    hosts.append(split_url(url)[0])
-                    lists.append(list({h for h, _ in hashed_subtrees(root, article(root))}))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), batch.column(3), pa.array(lists, pa.list_(pa.int64()))], ["page_id", "host", "section", "hashes"])
-
-    seen = staged(own.mapInArrow(freeing(hashed), f"page_id {kind}, host string, section string, hashes array<bigint>"), "subtrees")
-    parts = own.select(_host(F.col("url")).alias("host"), "section").groupBy("host", "section").agg(F.count(F.lit(1)).alias("pages"))
-    sizes = parts.groupBy("host").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
-    each = seen.select("page_id", "host", "section", F.explode("hashes").alias("hash"))
-    counted = each.groupBy("host", "section", "hash").agg(F.count(F.lit(1)).alias("n"))
-    common = F.col("n") >= F.least(F.col("pages") * min_share, F.lit(many))
-    wide = counted.groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
-    wide = wide.join(sizes, "host").where(common).select("host", "hash")
-    wide = counted.join(wide, ["host", "hash"], "left_semi").select("host", "section", "hash")
-    local = counted.where(F.col("n") >= min_pages).join(parts, ["host", "section"]).where(common).select("host", "section", "hash")
-    templates = wide.unionByName(local).distinct()
-    lists = each.join(templates, ["host", "section", "hash"]).groupBy("page_id", "host", "section").agg(F.collect_set("hash").alias("_gone"))
+                    region = article(root)
+                    lists.append([*{h for h, _ in hashed_subtrees(root, region)}, *([PAGE] if region is not None else [])])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(lists, pa.list_(pa.int64()))], ["page_id", "host", "section", "hashes"])
+
+    return own.mapInArrow(freeing(hashed), f"page_id {kind}, host string, section string, hashes array<bigint>")
+
+
+def templates_of(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY, few: int = FEW) -> DataFrame:
+    """host, section, hash of the templates, and n: the pages of the section that have one."""
+    parts = subtrees.groupBy("host", "section").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = parts.groupBy("host").agg(F.sum("pages").alias("pages"))
+    counted = subtrees.select("host", "section", F.explode("hashes").alias("hash")).groupBy("host", "section", "hash").agg(F.count(F.lit(1)).alias("n"))
+    common = (F.col("hash") != PAGE) & (F.col("of") >= min_pages) & (F.col("of") >= F.least(F.col("pages") * min_share, F.lit(many)))
+    wide = counted.groupBy("host", "hash").agg(F.sum("n").alias("of")).join(sizes, "host")
+    wide = wide.where(common | ((F.col("hash") == PAGE) & (F.col("pages") >= few))).select("host", "hash")
+    wide = counted.join(wide, ["host", "hash"], "left_semi")
+    local = counted.withColumn("of", F.col("n")).join(parts, ["host", "section"]).where(common).select(*counted.columns)
+    return wide.unionByName(local).distinct()
+
+
+def extract_pages(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY, few: int = FEW, hot: int = HOT
+) -> DataFrame:
+    """Per row: page_id, url, text and n_chars.
+
+    Null and empty html give an empty text; pages without a host share the empty one. Rows with one
+    page_id, host and section share the subtrees to delete, which all stand in a template of theirs anyway.
+    Ids may be null. Other columns are ignored, whatever their names; an empty table gives no rows. A template
+    on at least hot pages of a section meets its pages by broadcast, so that no task gets them all.
+    """
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    own = own.withColumns({"host": _host(F.col("url")), "section": _section(F.col("url"))})
+    kind = own.schema["page_id"].dataType.simpleString()
+    seen = staged(page_subtrees(own, "page_id", "url", "html"), "subtrees")
+    templates = staged(templates_of(seen, min_pages, min_share, many, few), "templates")
+    each, key = seen.select("page_id", "host", "section", F.explode("hashes").alias("hash")), ["host", "section", "hash"]
+    frequent = small(templates.where(F.col("n") >= hot).select(*key), FREQUENT)
+    met = each.join(frequent, key).unionByName(each.join(frequent, key, "left_anti").join(templates.where(F.col("n") < hot).select(*key), key))
+    lists = met.groupBy("page_id", "host", "section").agg(F.collect_set("hash").alias("_gone"))
     lists = lists.select(F.col("page_id").alias("_id"), F.col("host").alias("_host"), F.col("section").alias("_section"), "_gone")
-    rows = own.withColumn("host", _host(F.col("url")))
-    rows = rows.join(lists, rows["page_id"].eqNullSafe(lists["_id"]) & (rows["host"] == lists["_host"]) & (rows["section"] == lists["_section"]), "left").select("page_id", "html", "url", "_gone")
+    rows = own.join(lists, own["page_id"].eqNullSafe(lists["_id"]) & (own["host"] == lists["_host"]) & (own["section"] == lists["_section"]), "left").select("page_id", "html", "url", "_gone")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

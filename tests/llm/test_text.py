@@ -179,6 +179,53 @@ def test_html_templates_go_and_articles_stay(spark):
     assert extract_pages(df.limit(0)).collect() == []
 
 
+def test_html_counts_take_what_names_do_not_tell(spark):
+    """Around the articles stand pieces of plain names and changing texts: what recurs by its skeleton goes, what does not stays."""
+    rnd = random.Random(2)
+    tags = [("div", f"k{k}") for k in range(12)] + [("section", f"s{k}") for k in range(6)]
+    share = {t: rnd.choice([0.05, 0.3, 0.45, 0.55, 0.7, 0.95]) for t in tags}
+    pages = []
+    for k in range(260):
+        host, section = rnd.choice(["a.org", "a.org", "b.org", "c.org"]) if k > 2 else "tiny.org", rnd.choice(["x", "y"])
+        own = [t for t in tags if rnd.random() < share[t]]
+        pages.append((k, host, section, own[: len(own) // 2], own[len(own) // 2 :]))
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    rows, want, off = [], {}, {}
+    for k, host, section, above, below in pages:
+        said = {t: [word() for _ in range(rnd.randrange(1, 5))] for t in above + below}
+        part = lambda ts, said=said: "".join(f"<{t} class={c}><ul>{''.join(f'<li><a href=/{x}>{x}</a></li>' for x in said[t, c])}</ul></{t}>" for t, c in ts)
+        rows.append((k, f"http://{host}/{section}/{k}", f"<body>{part(above)}<article><h1>Title</h1><p>Text {k}</p><div class=k1><ul><li>kept {k}</li></ul></div></article>{part(below)}</body>"))
+        near, far = [p for p in pages if p[1:3] == (host, section)], [p for p in pages if p[1] == host]
+        gone = {t for t in said if any(sum(t in p[3] + p[4] for p in g) >= max(5, min(len(g) / 2, 50)) for g in (near, far))}
+        blocks = lambda ts, gone, said=said: [x for t in ts if t not in gone for x in said[t]]
+        body = ["Title", f"Text {k}", f"kept {k}"]
+        want[k] = "\n\n".join(body if host == "tiny.org" else blocks(above, gone) + body + blocks(below, gone))
+        off[k] = "\n\n".join(body if host == "tiny.org" else blocks(above, ()) + body + blocks(below, ()))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda **options: {r["page_id"]: r["text"] for r in extract_pages(df, **options).collect()}
+    # a list's own skeleton recurs on nearly all pages, so lists go everywhere unless templates are off; a page of three on a host keeps to its article
+    assert texts(many=50, min_pages=10**9) == off
+    lists = {k: "\n\n".join(["Title", f"Text {k}", f"kept {k}"]) for k in want}
+    assert texts(many=50) == lists and texts(many=50, hot=20) == lists
+
+
+def test_html_skeletons_of_pieces(spark):
+    """The same without lists inside the pieces, so that each piece is judged by its own count."""
+    rnd = random.Random(6)
+    names = [f"k{k}" for k in range(14)]
+    share = {t: rnd.choice([0.05, 0.3, 0.45, 0.55, 0.7]) for t in names}
+    pages = [(k, rnd.choice(["a.org", "a.org", "b.org"]), rnd.choice(["x", "y"]), [t for t in names if rnd.random() < share[t]]) for k in range(200)]
+    rows, want = [], {}
+    for k, host, section, own in pages:
+        rows.append((k, f"http://{host}/{section}/{k}", f"<body><article><p>Text {k}</p></article>{''.join(f'<div class={t}>{t} on {k}</div>' for t in own)}</body>"))
+        near, far = [p for p in pages if p[1:3] == (host, section)], [p for p in pages if p[1] == host]
+        gone = {t for t in own if any(sum(t in p[3] for p in g) >= max(5, min(len(g) / 2, 60)) for g in (near, far))}
+        want[k] = "\n\n".join([f"Text {k}", *(f"{t} on {k}" for t in own if t not in gone)])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for hot in (10, 40, 10**9):
+        assert {r["page_id"]: r["text"] for r in extract_pages(df, many=60, hot=hot).collect()} == want
+
+
 def test_html_templates_of_a_section_go_on_its_pages(spark):
     box = "<div class=x><p>Lisez notre lettre</p></div>"
     rows = [(k, f"http://h.com/fr/{k}", f"<body>{box}<div><p>Corps {k}</p></div></body>") for k in range(8)]
