@@ -70,6 +70,33 @@ def small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if rows_within(df, limit) else df
 
 
+#: Rows from which on a key is frequent, and frequent keys that are broadcast at most.
+HOT, FREQUENT = 1_000, 100_000
+
+
+def meeting(rows: DataFrame, groups: DataFrame, key: list[str], spread: list[str], n: str = "_n", hot: int = HOT, most: int = FREQUENT) -> DataFrame:
+    """rows joined to the groups of their keys, rows without one too; groups: one row for each key, with n, its rows.
+
+    The groups of frequent keys come by broadcast: there are at most so many as there are rows by hot, and if
+    that could be more than most, only the most frequent ones do. Their rows take part in the other join under a
+    key of their own (a hash of spread), so that no task gets all rows of one of them. groups should be cheap to
+    read again, and have no columns of rows but the key.
+    """
+    total = groups.agg(F.sum(n).alias("rows")).first()["rows"] or 0
+    limit = max(hot, -(-total // most))
+    rest = F.struct(*(c for c in groups.columns if c not in key))
+    frequent = groups.where(F.col(n) >= limit).select(*key, rest.alias("_hot"))
+    here = rows.join(small(frequent, most), key, "left")
+    first, *others = key
+    own = F.when(F.col("_hot").isNotNull(), F.xxhash64(*spread).cast(rows.schema[first].dataType)).otherwise(F.col(first))
+    here = here.withColumn("_own", own)
+    cold = groups.where(F.col(n) < limit).select(*(F.col(k).alias(f"_c_{k}") for k in key), rest.alias("_cold"))
+    same = F.col("_hot").isNull() & (F.col("_own") == F.col(f"_c_{first}"))
+    for k in others:
+        same &= F.col(k) == F.col(f"_c_{k}")
+    return here.join(cold, same, "left").withColumn("_g", F.coalesce("_hot", "_cold")).select(*rows.columns, "_g.*")
+
+
 def freeing(run):
     """A function for mapInArrow that, at the end of its task, gives the memory it no longer needs back to
     the system. Workers wait for their next task beside the JVM, and would hold it all that time."""

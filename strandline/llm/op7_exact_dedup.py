@@ -7,8 +7,8 @@ so a digest collision never merges two texts:
 2. per (digest, text, salt): a text that a third of all rows share meets in `salts` tasks;
 3. per (digest, text): at most `salts` winners of a text meet.
 
-Winners then go back to all rows over digest and salt. That join moves ids and digests, no texts; a
-digest's winner stands once for each salt that its rows have, so that no task gets all rows of a hot one.
+Winners then go back to all rows over the digest, those of frequent texts by broadcast, as their counts are
+known by then. This moves ids and digests, no texts, and no task gets all rows of a frequent text.
 Rows that are alike in id and text are counted before and multiplied after it; one of them stays.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import HOT, meeting, staged, table
 
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -30,7 +30,7 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=None, hot: int = HOT) -> DataFrame:
     """One row per input row: its id, the id that stays for its text, group size, kept, digest.
 
     Of equal normalised texts the row with the most code points in its original text stays, then
@@ -49,18 +49,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     order = F.struct((-F.col("_points")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("_raw").alias("raw"))
     salted = rows.groupBy("_digest", "_norm", "_salt").agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("_n"))
-    winners = salted.groupBy("_digest", "_norm").agg(F.min("_best").alias("_best"), F.sum("_n").alias("_n"), F.collect_set("_salt").alias("_salts"))
+    winners = salted.groupBy("_digest", "_norm").agg(F.min("_best").alias("_best"), F.sum("_n").alias("_n"))
 
     if strong:
         key = ["_digest"]
-        found = winners.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts"), *(F.first(c).alias(c) for c in ("_best", "_n", "_salts")))
+        found = winners.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts"), *(F.first(c).alias(c) for c in ("_best", "_n")))
         found = found.withColumn("_n", F.when(F.col("_texts") == 1, F.col("_n")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long")))
     else:
         key, found = ["_digest", "_norm"], winners
-    found = found.select(*key, "_best", "_n", F.explode("_salts").alias("_salt"))
+    found = staged(found.select(*key, "_best", "_n"), "winners")
     # rows that are alike travel as one, with their number
-    alike = rows.groupBy("doc_id", "_points", "_raw", "_salt", *key).agg(F.count(F.lit(1)).alias("_rows"))
-    back = alike.join(found, [*key, "_salt"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
+    alike = rows.groupBy("doc_id", "_points", "_raw", *key).agg(F.count(F.lit(1)).alias("_rows"))
+    back = meeting(alike, found, key, ["doc_id", "_raw", "_points"], hot=hot).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
     best = F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("_points") == -F.col("_best.less")) & (F.col("_raw") == F.col("_best.raw"))
     sha = F.col("_digest") if strong else F.sha2(F.col("_norm"), 256)
     return back.select("doc_id", F.col("_best.id").alias("keep_id"), F.col("_n").alias("group_size"), (best & (F.col("_copy") == 1)).alias("kept"), sha.alias("text_sha256"))

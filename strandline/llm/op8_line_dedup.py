@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import HOT, meeting, staged, table
 
 WINDOW = 3
 
@@ -33,13 +33,14 @@ def _hashed(lines: Column) -> Column:
     return F.when(F.size(lines) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(lines) - WINDOW), one)).otherwise(empty)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Per (doc_id, _key) with lines to remove: the positions of those lines."""
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """Per (doc_id, _key) with lines to remove: the positions of those lines. Windows that occur hot times or more
+    meet their occurrences by broadcast."""
     lines = docs.select("doc_id", "_key", _windows(F.col("_text")).alias("_lines"))
     found = lines.select("doc_id", "_key", F.explode_outer(_hashed(F.col("_lines"))).alias("w")).select("doc_id", "_key", "w.*").where("h1 IS NOT NULL")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key", "s", "e")
-    again = found.groupBy("h1", "h2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    later = found.join(again.drop("_n"), ["h1", "h2"]).where(place > F.col("_first"))
+    again = staged(found.groupBy("h1", "h2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "repeated")
+    later = meeting(found, again, ["h1", "h2"], ["doc_id", "_key", "s"], hot=hot).where(place > F.col("_first"))
     own = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("_key") == F.col("_first._key"))
     later = later.withColumn("s", F.when(own, F.greatest("s", F.col("_first.e") + 1)).otherwise(F.col("s"))).where("s <= e")
     spans = later.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("s", "e")).alias("_spans"))
@@ -47,7 +48,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), covered.alias("_covered"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """The rows with their text less its repeated lines, and n_lines and n_removed.
 
     Lines end at \\n; blank lines form no window but go with the span around them. Texts of fewer
@@ -61,7 +62,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     own = docs.select(key.alias("doc_id"), F.coalesce(text, F.lit("")).alias("_text"))
     own = own.withColumn("_key", F.xxhash64("_text"))
-    spans = repeated_spans(own)
+    spans = repeated_spans(own, hot)
     rows = docs.select(F.struct(*kept).alias("_row"), text.alias("_text"), key.alias("_doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"))
     rows = rows.join(spans, rows["_doc"].eqNullSafe(spans["_id"]) & (rows["_hash"] == spans["_k"]), "left")
     # a projection of its own: inside the lambda below the text would be split again for every line

@@ -35,6 +35,7 @@ ROWS = [(1, "a b c"), (2, "abc"), (3, " a\tb\nc "), (4, None), (5, ""), (6, " \x
 
 def test_exact_dedup(spark):
     got = {r["doc_id"]: tuple(r)[1:] for r in exact_dedup(frame(spark, ROWS)).collect()}
+    assert got == {r["doc_id"]: tuple(r)[1:] for r in exact_dedup(frame(spark, ROWS), hot=2).collect()}
     assert got == exact_brute(ROWS)
 
 
@@ -73,6 +74,7 @@ def test_line_dedup(spark):
     rows = [(i, "\n".join(rnd.choice(some) for _ in range(rnd.randrange(14)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "one line"), (103, "a\nb\nc\nd"), (104, "x\na\n\n b \nc\ny"), (105, "b\nc\nd"), (106, "q\n" * 3000)]
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in dedup_lines(frame(spark, rows), hot=3).collect()}
     assert got == lines_brute(rows)
 
 
@@ -189,3 +191,19 @@ def test_components_by_stars_and_in_one_task(spark):
     assert one == stars
     assert all(one[k] == 500 for k in range(500, 541))
     assert components.components(df.limit(0)).collect() == []
+
+
+def test_frequent_keys_meet_their_groups_as_others_do(spark):
+    from strandline.llm.common import meeting
+
+    rnd = random.Random(7)
+    rows = [(k, rnd.choice("aaaabbcdefg"), rnd.randrange(2)) for k in range(200)] + [(300, "alone", 0), (301, None, 1)]
+    df = spark.createDataFrame(rows, "i long, k string, j int")
+    counts = {}
+    for _, k, j in rows[:200]:
+        counts[k, j] = counts.get((k, j), 0) + 1
+    groups = spark.createDataFrame([(k, j, n, f"{k}{j}") for (k, j), n in counts.items()], "k string, j int, _n long, g string")
+    want = sorted((i, k, j, counts.get((k, j)), f"{k}{j}" if (k, j) in counts else None) for i, k, j in rows)
+    for hot, most in ((5, 100), (1, 100), (10**6, 100), (1, 2)):
+        got = meeting(df, groups, ["k", "j"], ["i"], hot=hot, most=most).select("i", "k", "j", "_n", "g").collect()
+        assert sorted(map(tuple, got)) == want
