@@ -46,11 +46,12 @@ def _only(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.array_sort(F.array_except(a, b)))
 
 
-def binary(l: Column, r: Column) -> Column:  # noqa: E741
+def binary(l: Column, r: Column, near: Column | None = None) -> Column:  # noqa: E741
     """struct(state, size_delta_ratio, sections_added, sections_removed, sections_changed, resources_changed).
 
     Of structs with size, sections (map name -> digest) and resources (digests). Without the sections of
-    both sides the dimension is PARTIAL.
+    both sides the dimension is PARTIAL. near: the distance of the fuzzy digests of both, if they were taken;
+    it becomes a further field, fuzzy_distance.
     """
     names, other = F.map_keys(l["sections"]), F.map_keys(r["sections"])
     both = F.filter(F.array_intersect(names, other), lambda n: F.element_at(l["sections"], n) != F.element_at(r["sections"], n))
@@ -59,7 +60,7 @@ def binary(l: Column, r: Column) -> Column:  # noqa: E741
     changed = F.size(F.array_except(l["resources"], r["resources"])) + F.size(F.array_except(r["resources"], l["resources"]))
     return F.struct(
         F.when(there, "MEASURED").otherwise("PARTIAL").alias("state"), ratio.alias("size_delta_ratio"), _only(other, names).alias("sections_added"), _only(names, other).alias("sections_removed"), F.array_sort(both).alias("sections_changed"),
-        F.when(l["resources"].isNotNull() & r["resources"].isNotNull(), changed).alias("resources_changed"),
+        F.when(l["resources"].isNotNull() & r["resources"].isNotNull(), changed).alias("resources_changed"), *([] if near is None else [near.alias("fuzzy_distance")]),
     )
 
 
