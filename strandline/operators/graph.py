@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -46,29 +47,36 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_work: list[Scratch] = []
+class _Work(threading.local):
+    """The pieces of work that a thread is in, the innermost last."""
+
+    def __init__(self):
+        self.open: list[Scratch] = []
+
+
+_work = _Work()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Scratch]:
     """Until its end all kept rows go to a folder that is deleted then; outliving() takes frames out of it."""
     own = Scratch(spark)
-    _work.append(own)
+    _work.open.append(own)
     try:
         yield own
     finally:
-        _work.remove(own)
+        _work.open.remove(own)
         own.delete()
 
 
 def outliving(own: Scratch, *frames: DataFrame) -> list[DataFrame]:
     """Frames of a piece of work, kept beyond it."""
-    at = _work.index(own)
-    outer, _work[at:] = _work[at:], []
+    at = _work.open.index(own)
+    inner, _work.open[at:] = _work.open[at:], []
     try:
         return [_kept(f) for f in frames]
     finally:
-        _work.extend(outer)
+        _work.open += inner
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -78,8 +86,8 @@ def _kept(df: DataFrame) -> DataFrame:
     deletes the files with the last reference; as a checkpoint computes its rows twice, once to count and
     once to write them, they are held on the executors' disks in between.
     """
-    if _work:
-        return _work[-1].keep(df)
+    if _work.open:
+        return _work.open[-1].keep(df)
     folder(df.sparkSession)
     held = df.persist(StorageLevel.DISK_ONLY)
     try:
@@ -94,7 +102,7 @@ class Grown:
     def __init__(self, spark: SparkSession, name: str, schema: str | T.StructType, by: str | None = None):
         self.spark, self.by = spark, by
         self.schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        self.path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{_work.open[-1].path if _work.open else folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.write(spark.createDataFrame([], self.schema))
 
     def write(self, df: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 DIGESTS = """
- h AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) >= 3),
- b AS (SELECT doc_id, i, list_position(list_value('0','1','2','3','4','5','6','7','8','9','A','B','C','D','E','F'), substr(x, 2 * i + 1, 1)) * 16 + list_position(list_value('0','1','2','3','4','5','6','7','8','9','A','B','C','D','E','F'), substr(x, 2 * i + 2, 1)) - 17 AS v FROM h, unnest(range(n)) AS t(i)),
+ h AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents WHERE octet_length(encode(text)) >= 3),
+ b AS (SELECT doc_id, generate_subscripts(l, 1) AS i, CAST('0x' || unnest(l) AS INT) AS v FROM h),
  g AS (SELECT doc_id, v AS b0, lead(v) OVER w AS b1, lead(v, 2) OVER w AS b2 FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
  c AS (SELECT doc_id, (5 * b0 + 37 * b1 + 101 * b2) % 128 AS bucket, count(*) AS n FROM g WHERE b2 IS NOT NULL GROUP BY ALL),
  f AS (SELECT d.doc_id, k AS bucket, coalesce(c.n, 0) AS n FROM (SELECT doc_id FROM h) d CROSS JOIN range(128) t(k) LEFT JOIN c ON c.doc_id = d.doc_id AND c.bucket = k),
