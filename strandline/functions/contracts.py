@@ -55,11 +55,20 @@ def _json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def _same(v: Column, value) -> Column:
+def _facts(v: Column, f) -> Column:
+    """f of what is asked of a variant again and again: a struct of v, kind, text, number, map and list, made once."""
+
+    def own(x: Column) -> Column:
+        return F.struct(x.alias("v"), _kind(x).alias("kind"), F.try_variant_get(x, "$", "string").alias("text"), F.try_variant_get(x, "$", "double").alias("number"), _map(x).alias("map"), _list(x).alias("list"))
+
+    return F.get(F.transform(F.transform(F.array(v), own), f), F.lit(0))
+
+
+def _same(e: Column, value) -> Column:
     """Whether a variant is a JSON value; numbers are equal as numbers."""
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return _kind(v).isin("integer", "number") & (F.try_variant_get(v, "$", "double") == float(value))
-    return F.to_json(v) == _json(value)
+        return e["kind"].isin("integer", "number") & (e["number"] == float(value))
+    return F.to_json(e["v"]) == _json(value)
 
 
 def check_schema(schema: dict, root: dict | None = None) -> None:
@@ -90,40 +99,44 @@ def _problems(v: Column, schema: dict, root: dict, path: Column, depth: int) ->
         return _if(F.lit(True), path, "nested too deep")
     if "$ref" in schema:
         return _problems(v, root["$defs"][schema["$ref"].removeprefix("#/$defs/")], root, path, depth - 1)
-    kind = _kind(v)
+    return _facts(v, lambda e: _found(e, schema, root, path, depth))
+
+
+def _found(e: Column, schema: dict, root: dict, path: Column, depth: int) -> Column:
+    kind = e["kind"]
     found: list[Column] = []
     if "const" in schema:
-        found.append(_if(~_same(v, schema["const"]), path, f"not {_json(schema['const'])}"))
+        found.append(_if(~_same(e, schema["const"]), path, f"not {_json(schema['const'])}"))
     if "enum" in schema:
         any_of = F.lit(False)
         for value in schema["enum"]:
-            any_of = any_of | F.coalesce(_same(v, value), F.lit(False))
+            any_of = any_of | F.coalesce(_same(e, value), F.lit(False))
         found.append(_if(~any_of, path, "not in enum"))
-    text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
+    text, number, items, fields = e["text"], e["number"], e["list"], e["map"]
     is_text, is_number, is_list, is_object = kind == "string", kind.isin("integer", "number"), kind == "array", kind == "object"
     for word, is_it, wrong, said in (
         ("minLength", is_text, lambda n: F.length(text) < n, "shorter than minLength"), ("maxLength", is_text, lambda n: F.length(text) > n, "longer than maxLength"), ("pattern", is_text, lambda p: ~text.rlike(p), "does not match pattern"),
         ("minimum", is_number, lambda n: number < n, "below minimum"), ("maximum", is_number, lambda n: number > n, "above maximum"),
-        ("minItems", is_list, lambda n: F.size(_list(v)) < n, "fewer than minItems"), ("maxItems", is_list, lambda n: F.size(_list(v)) > n, "more than maxItems"),
-        ("uniqueItems", is_list, lambda on: F.lit(on) & (F.size(F.array_distinct(F.transform(_list(v), lambda x: F.to_json(x)))) < F.size(_list(v))), "items not unique"),
+        ("minItems", is_list, lambda n: F.size(items) < n, "fewer than minItems"), ("maxItems", is_list, lambda n: F.size(items) > n, "more than maxItems"),
+        ("uniqueItems", is_list, lambda on: F.lit(on) & (F.size(F.array_distinct(F.transform(items, lambda x: F.to_json(x)))) < F.size(items)), "items not unique"),
     ):
         if word in schema:
             found.append(_if(is_it & wrong(schema[word]), path, said))
     if isinstance(schema.get("items"), dict):
-        each = F.transform(_list(v), lambda x, i: _problems(x, schema["items"], root, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), depth - 1))
+        each = F.transform(items, lambda x, i: _problems(x, schema["items"], root, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), depth - 1))
         found.append(F.when(is_list, F.flatten(each)).otherwise(_none()))
-    has = lambda name: F.coalesce(F.map_contains_key(_map(v), name), F.lit(False))
+    has = lambda name: F.coalesce(F.map_contains_key(fields, name), F.lit(False))
     for name in schema.get("required", []):
         found.append(_if(is_object & ~has(name), path, f"missing {name}"))
     known = schema.get("properties", {})
     for name, part in known.items():
-        below = _problems(F.try_element_at(_map(v), F.lit(name)), part, root, F.concat(path, F.lit(f".{name}")), depth - 1)
+        below = _problems(F.try_element_at(fields, F.lit(name)), part, root, F.concat(path, F.lit(f".{name}")), depth - 1)
         found.append(F.when(is_object & has(name), below).otherwise(_none()))
     more = schema.get("additionalProperties", True)
     if more is not True:
-        other = F.filter(F.map_entries(_map(v)), lambda e: ~e["key"].isin(*known) if known else F.lit(True))
-        place = lambda e: F.concat(path, F.lit("."), e["key"])
-        below = F.transform(other, lambda e: _if(F.lit(True), path, F.concat(F.lit("unexpected "), e["key"])) if more is False else _problems(e["value"], more, root, place(e), depth - 1))
+        other = F.filter(F.map_entries(fields), lambda x: ~x["key"].isin(*known) if known else F.lit(True))
+        place = lambda x: F.concat(path, F.lit("."), x["key"])
+        below = F.transform(other, lambda x: _if(F.lit(True), path, F.concat(F.lit("unexpected "), x["key"])) if more is False else _problems(x["value"], more, root, place(x), depth - 1))
         found.append(F.when(is_object, F.flatten(below)).otherwise(_none()))
     out = F.concat(*found) if found else _none()
     if "type" in schema:
@@ -141,15 +154,16 @@ def bounds(v: Column, depth: int = 4, length: int = 1024, items: int = 256) -> C
 def _bounds(v: Column, path: Column, depth: int, length: int, items: int) -> Column:
     if depth < 0:
         return _if(F.lit(True), path, "nested too deep")
-    kind = _kind(v)
-    own = F.concat(
-        _if((kind == "string") & (F.length(F.try_variant_get(v, "$", "string")) > length), path, "string too long"), _if((kind == "array") & (F.size(_list(v)) > items), path, "too many items"),
-    )
+    return _facts(v, lambda e: _bounds_of(e, path, depth, length, items))
+
+
+def _bounds_of(e: Column, path: Column, depth: int, length: int, items: int) -> Column:
+    own = F.concat(_if((e["kind"] == "string") & (F.length(e["text"]) > length), path, "string too long"), _if((e["kind"] == "array") & (F.size(e["list"]) > items), path, "too many items"))
     place = lambda p, x: F.struct(p.alias("path"), x.alias("value"))
-    listed = F.transform(_list(v), lambda x, i: place(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x))
-    named = F.transform(F.map_entries(_map(v)), lambda e: place(F.concat(path, F.lit("."), e["key"]), e["value"]))
-    below = F.when(kind == "array", listed).when(kind == "object", named)
-    return F.concat(own, F.coalesce(F.flatten(F.transform(below, lambda e: _bounds(e["value"], e["path"], depth - 1, length, items))), _none()))
+    listed = F.transform(e["list"], lambda x, i: place(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x))
+    named = F.transform(F.map_entries(e["map"]), lambda x: place(F.concat(path, F.lit("."), x["key"]), x["value"]))
+    below = F.when(e["kind"] == "array", listed).when(e["kind"] == "object", named)
+    return F.concat(own, F.coalesce(F.flatten(F.transform(below, lambda x: _bounds(x["value"], x["path"], depth - 1, length, items))), _none()))
 
 
 #: The profile of a product: closed keys, a known version, a name that is not blank, lists of roles.

@@ -5,9 +5,10 @@ import random
 
 import pytest
 from plain import plain_fold
+from test_benchmarks import plain_compare
 from test_engine import FEATURES, LF, LM, function
 
-from strandline.operators import comparison, history, lineage
+from strandline.operators import history, lineage
 from strandline.operators.commits import Store
 from strandline.streaming.builds import follow
 
@@ -63,7 +64,7 @@ def frames(spark, builds, functions, matches, upto=99):
     return spark.createDataFrame(b, "product string, build string, ord int"), spark.createDataFrame(f, LF), spark.createDataFrame(m, LM)
 
 
-def named(product, place):
+def named_lineage(product, place):
     return hashlib.sha256(f"{product}|{place[0]}|{place[1]}".encode()).hexdigest()
 
 
@@ -71,8 +72,8 @@ def plain(builds, functions, matches, upto=99, rollbacks=()):
     rows, links = [], []
     for p, xs in builds.items():
         a, b = plain_fold(xs[:upto], functions[p], matches.get(p, {}), [r for q, r in rollbacks if q == p])
-        rows += [(p, x, named(p, line), f, rel, k) for x, line, f, rel, k in a]
-        links += [(p, x, named(p, u), named(p, v), rel) for x, u, v, rel in b]
+        rows += [(p, x, named_lineage(p, line), f, rel, k) for x, line, f, rel, k in a]
+        links += [(p, x, named_lineage(p, u), named_lineage(p, v), rel) for x, u, v, rel in b]
     return sorted(rows), sorted(links)
 
 
@@ -131,8 +132,14 @@ def test_builds_that_come_as_a_stream_late_ones_too(spark, tmp_path):
     put("c", 1)
     follow(found(), store, f"file://{tmp_path}/state").awaitTermination()
     assert store.numbers() == [0, 1] and store.read("functions").count() == 15
-    functions = spark.read.schema(kind).parquet(f"file://{tmp_path}/in/a*", f"file://{tmp_path}/in/b*").drop("at")
-    builds = spark.createDataFrame([("p", f"v{k}", k) for k in (1, 2, 3)], "product string, build string, ord int")
-    want = comparison.lineages(builds, functions, comparison.compare(functions, comparison.transitions(builds))).assignments.collect()
+    held = {}
+    for r in spark.read.schema(kind).parquet(f"file://{tmp_path}/in/a*", f"file://{tmp_path}/in/b*").collect():
+        held.setdefault(r["build"], []).append(r.asDict(recursive=True) | {"hash": r["normalized_hash"]})
+    named = lambda b, e: f"{b}|x|{e}"
+    matches = {}
+    for lb, rb in (("v1", "v2"), ("v2", "v3")):
+        own = lambda r, k, b: None if r[k] is None else named(b, r[k])
+        matches[lb, rb] = [{**r, "left": own(r, "left", lb), "right": own(r, "right", rb), "candidates": [(named(lb if r["left"] is None else rb, c), s) for c, s in r["candidates"]]} for r in plain_compare(held[lb], held[rb])]
+    rows, _ = plain_fold(["v1", "v2", "v3"], {b: {named(b, f["entry"]): f for f in fs} for b, fs in held.items()}, matches)
     got = store.read("assignments").collect()
-    assert sorted(tuple(r)[:6] for r in got) == sorted(map(tuple, want)) and {r["status"] for r in got} == {"ASSIGNED"}
+    assert sorted(tuple(r)[:6] for r in got) == sorted(("p", b, named_lineage("p", line), f, rel, k) for b, line, f, rel, k in rows) and {r["status"] for r in got} == {"ASSIGNED"}
