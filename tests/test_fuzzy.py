@@ -42,3 +42,15 @@ def test_near_bytes_have_near_digests_and_no_pair_is_lost(spark):
         want = sorted((a, b, apart(a, b)) for a in heads for b in heads if a < b and apart(a, b) <= most)
         assert sorted(map(tuple, pairs.collect())) == want and {r["key"]: r["head"] for r in classes.collect()} == head
     assert len(want) and max(apart(5 + 7 * k, 5 + 7 * k + 2) for k in range(12)) < min(apart(5, 5 + 7 * k) for k in range(1, 12))
+
+
+def test_a_part_that_all_have_in_common_pairs_few(spark):
+    """Digests that agree in one word of two and are apart in all else meet in no key."""
+    rnd = np.random.default_rng(5)
+    words = rnd.integers(-(2**63), 2**63 - 1, (600, 6))
+    words[:, 2] = 5
+    df = spark.createDataFrame([(k, list(map(int, w))) for k, w in enumerate(words)], "id int, digest array<bigint>")
+    keys = df.select("id", F.explode(fuzzy.near_keys("digest")).alias("value"))
+    assert keys.count() == 600 * 40
+    met = keys.groupBy("value").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+    assert met < 600 and fuzzy.near(df, "id")[0].count() == 0
