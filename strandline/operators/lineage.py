@@ -122,7 +122,7 @@ def _numbers(f: Column, callers: str) -> Column:
 
 
 def _possible(o: Column, n: Column) -> Column:
-    """False only where assess() must reject: from sizes alone, no score can be enough.
+    """False only where assess() must reject: names or numbers of items contradict, or from sizes alone no score can be enough.
 
     A cosine is at most 1, a Jaccard similarity at most the quotient of the sizes; the other families are
     exact. A slack covers the rounding of the families.
@@ -137,7 +137,9 @@ def _possible(o: Column, n: Column) -> Column:
     similar = (0.35 * instruction + 0.25 * cfg) / 0.60
     context = F.arrays_overlap(o["context"], n["context"]) & (data >= DATA_SUPPORT)
     slack = 0.0005
-    return F.coalesce(same("normalized_hash") | (similar >= STRONG - slack) | (best >= RETURN_MIN - slack) | context, F.lit(True))
+    against = (F.least(o["items"], n["items"]) >= DATA_ITEMS) & (data < DATA_CONTRADICT - 1e-9)
+    differ = o["name"].isNotNull() & n["name"].isNotNull() & (o["name"] != n["name"])
+    return ~F.coalesce(against | differ, F.lit(False)) & F.coalesce(same("normalized_hash") | (similar >= STRONG - slack) | (best >= RETURN_MIN - slack) | context, F.lit(True))
 
 
 def claimable(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -155,7 +157,7 @@ def claimable(old: DataFrame, new: DataFrame) -> DataFrame:
     near = paired(a.withColumn("class", F.explode(F.sequence(own - 1, own + 1))), b.withColumn("class", size_class(F.col("n.insn_count"))), by=("product", "class"))
     near = near.where(_possible(F.col("o"), F.col("n"))).select("product", "lineage", "fn")
     key = lambda f, c: f.where(F.col(c).isNotNull()).withColumn("_k", F.col(c))
-    equal = key(a, "o.normalized_hash").join(key(b, "n.normalized_hash"), ["product", "_k"]).select("product", "lineage", "fn")
+    equal = key(a, "o.normalized_hash").join(key(b, "n.normalized_hash"), ["product", "_k"]).where(_possible(F.col("o"), F.col("n"))).select("product", "lineage", "fn")
     met = a.withColumn("_k", F.explode("o.context")).join(b.withColumn("_k", F.explode("n.context")), ["product", "_k"]).where(_possible(F.col("o"), F.col("n"))).select("product", "lineage", "fn")
     return near.unionByName(equal).unionByName(met).distinct()
 
