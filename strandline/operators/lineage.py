@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import size_ratio
 from ..functions.stats import jaccard, weighted_mean
+from . import blocks
 from .graph import Grown, _kept, outliving, scratch
 from .match import MARGIN, STRONG, WEIGHTS, family_scores, greedy
 
@@ -104,13 +105,7 @@ def paired(old: DataFrame, new: DataFrame, block: int = PAIR_BLOCK, by: tuple[st
     Each side of a key is dealt to blocks of about so many rows and each pair of blocks is a join key of
     its own, so that no task pairs a whole product.
     """
-    by = list(by)
-    blocks = lambda side, n: side.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
-    sizes = _kept(blocks(old, "_m").join(blocks(new, "_n"), by))
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = old.join(sizes, by).withColumn("_i", dealt("lineage", "_m")).withColumn("_j", every("_n")).drop("_m", "_n")
-    b = new.join(sizes, by).withColumn("_j", dealt("fn", "_n")).withColumn("_i", every("_m")).drop("_m", "_n")
+    a, b = blocks.dealt(old, new, block, list(by), ("lineage", "fn"))
     return a.join(b, [*by, "_i", "_j"]).drop("_i", "_j")
 
 
