@@ -62,24 +62,25 @@ class Comparison:
     matches: DataFrame
 
 
-def compare(functions: DataFrame, steps: DataFrame, others: DataFrame | None = None) -> Comparison:
+def compare(functions: DataFrame, steps: DataFrame, others: DataFrame | None = None, offers: bool = True) -> Comparison:
     """Match both sides of all steps and reconcile what the engines say.
 
+    Every step reads functions anew, so they should be kept rows.
     others: proposals of further engines, with product, part, left_build, right_build, engine, left, right,
     decision and families. A left function without a proposal is UNRESOLVED and keeps its best candidates; so
-    is a right function that no match takes.
+    is a right function that no match takes. Without offers nobody is looked for who is only a candidate, and all
+    candidates are empty; decisions do not depend on them.
     """
     left, right, compared = sides(functions, steps)
-    left, right = _kept(left), _kept(right)
     scored = _kept(match.match(left, right))
     families = F.transform(F.filter(match.evidence({k: F.col(f"`{k}`") for k in match.WEIGHTS}), lambda e: e["supports"]), lambda e: e["family"])
     proposals = scored.select("component", F.lit(ENGINE).alias("engine"), "left", "right", "decision", families.alias("families"))
     if others is not None:
         proposals = proposals.unionByName(others.join(compared, list(KEYS)).select(*proposals.columns))
-    offers = _kept(match.leftovers(left, right, scored.select("component", "left", "right")))
+    found = _kept(match.leftovers(left, right, scored.select("component", "left", "right"))) if offers else left.sparkSession.createDataFrame([], match.OFFERS)
     silent = left.select("component", F.col("entry").alias("left")).join(scored.select("component", "left"), ["component", "left"], "left_anti")
     own = _kept(consensus.consensus(left.select("component", F.col("entry").alias("left")), proposals, silent.withColumn("engine", F.lit(ENGINE))))
-    best = lambda side: consensus.candidates(offers.where(F.col("side") == side).select("component", F.lit(ENGINE).alias("engine"), F.col("own").alias(side), "other", "score"), side)
+    best = lambda side: consensus.candidates(found.where(F.col("side") == side).select("component", F.lit(ENGINE).alias("engine"), F.col("own").alias(side), "other", "score"), side)
     none = F.array().cast("array<struct<other: bigint, score: double>>")
     rows = own.join(best("left"), ["component", "left"], "left").withColumns({"side": F.lit("left"), "candidates": F.when(F.col("right").isNull(), F.coalesce("candidates", none)).otherwise(none)})
     lone = consensus.unmatched_right(right.select("component", F.col("entry").alias("right")), own).join(best("right"), ["component", "right"], "left")

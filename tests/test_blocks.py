@@ -8,7 +8,8 @@ import pytest
 from oracle import SF
 from test_engine import FEATURES, function
 
-from strandline.operators import blocks, features, match
+from strandline.operators import blocks, comparison, features, match
+from strandline.plans import benchmarks
 from strandline.session import table
 
 CALLS = "component string, left long, right long"
@@ -73,3 +74,11 @@ def test_greedy_rounds_and_the_sequential_end_agree(spark):
     pairs = spark.createDataFrame([(c, a, b, rnd.randrange(6) / 10) for c in "xy" for a in range(20) for b in range(20)], match.PAIRS)
     whole, ended = (sorted(map(tuple, match.greedy(pairs, few).collect())) for few in (0, 30))
     assert whole == ended == sorted(map(tuple, match.greedy(pairs).collect())) and len(whole) == 40
+
+
+def test_structural_changes_need_no_offers(spark):
+    builds, functions = benchmarks.functions_of(table(spark, SF, "documents"))
+    functions, steps = functions.localCheckpoint(), comparison.transitions(builds).localCheckpoint()
+    with_offers, without = (comparison.compare(functions, steps, offers=x) for x in (True, False))
+    own = lambda c: sorted(map(tuple, c.matches.select("component", "left", "right", "decision", "side").fillna(-1).collect()))
+    assert own(with_offers) == own(without) and without.matches.where("size(candidates) > 0").isEmpty() and not with_offers.matches.where("size(candidates) > 0").isEmpty()
