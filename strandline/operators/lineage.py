@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ NEAR = 12.3
 PAIR_BLOCK = 1024
 
 ROWS = "product string, build string, lineage string, fn string, relation string, step int"
+GRADED = "product string, lineage string, fn string, status string, contradicted boolean"
 LINKS = "product string, build string, parent string, child string, relation string, step int"
 
 
@@ -75,6 +78,31 @@ def assess(pairs: DataFrame) -> DataFrame:
     return out.withColumn("status", status).drop("_exact", "_similar", "_supports", "_context", "_data")
 
 
+def _graded(old: pa.Table, new: pa.Table, every: bool) -> pa.Table:
+    """product, lineage, fn, status, contradicted of the pairs of two blocks as assess() grades them where callers have no
+    lineage in common and nothing was rolled back; all pairs, or those that are not rejected."""
+    l, r = blocks.Side(old), blocks.Side(new)  # noqa: E741
+    own = {c: t[c].combine_chunks() for c, t in (("product", old), ("lineage", old), ("fn", new))}
+    names, out = pa.array(["REJECTED", "CANDIDATE"]), []
+    for lo, hi, families, facts in blocks.strips(l, r):
+        plain = np.fmin(*facts["size"]) >= TRIVIAL
+        exact = plain & facts["code"]
+        similar = plain & ~exact & ((0.35 * families["instruction"] + 0.25 * families["cfg"]) / 0.60 >= STRONG)
+        told = (l.length["items"][lo:hi, None] >= DATA_ITEMS) & (r.length["items"][None, :] >= DATA_ITEMS)
+        against = (told & (facts["data"] < DATA_CONTRADICT)) | facts["differ"]
+        live = ~against & (exact | similar | (blocks.weighted(families, WEIGHTS) >= RETURN_MIN))
+        i, j = np.nonzero(live | every)
+        a, b = pa.array(i + lo), pa.array(j)
+        out.append(pa.table({"product": own["product"].take(a), "lineage": own["lineage"].take(a), "fn": own["fn"].take(b), "status": names.take(pa.array(live[i, j].astype(int))), "contradicted": pa.array(against[i, j])}))
+    return pa.concat_tables(out)
+
+
+def graded_pairs(old: DataFrame, new: DataFrame, every: bool = True, by: tuple[str, ...] = ("product",), block: int = PAIR_BLOCK) -> DataFrame:
+    """_graded() of all pairs of old (product, lineage, old) and new (product, fn, new) with the same keys, in blocks."""
+    a, b = blocks.numbers(old, *by, "lineage", of="old"), blocks.numbers(new, *by, "fn", of="new")
+    return blocks.grouped(a, b, list(by), ("lineage", "fn"), lambda x, y: _graded(x, y, every), GRADED, block)
+
+
 def resolve(graded: DataFrame) -> DataFrame:
     """At most one claim for each returning function and each lineage, best status and score first.
 

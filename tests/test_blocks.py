@@ -6,9 +6,10 @@ from decimal import ROUND_HALF_UP, Decimal
 import numpy as np
 import pytest
 from oracle import SF
+from pyspark.sql import functions as F
 from test_engine import FEATURES, function
 
-from strandline.operators import blocks, comparison, features, match
+from strandline.operators import blocks, comparison, features, lineage, match
 from strandline.plans import benchmarks
 from strandline.session import table
 
@@ -82,3 +83,19 @@ def test_structural_changes_need_no_offers(spark):
     with_offers, without = (comparison.compare(functions, steps, offers=x) for x in (True, False))
     own = lambda c: sorted(map(tuple, c.matches.select("component", "left", "right", "decision", "side").fillna(-1).collect()))
     assert own(with_offers) == own(without) and without.matches.where("size(candidates) > 0").isEmpty() and not with_offers.matches.where("size(candidates) > 0").isEmpty()
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_grades_of_blocks_are_those_of_the_columns(spark, block):
+    rnd = random.Random(11)
+    rows = [function(rnd, k, 0) | {"normalized_hash": rnd.choice([None, "h1", "h2", "h3"]), "strings": rnd.sample(["s1", "s2", "s3", "s4"], rnd.randrange(5))} for k in range(60)]
+    rows[3] |= {"insn_count": None, "mnemonics": None, "strings": None, "imports": None}
+    rows[40] |= {"insn_count": 0, "mnemonics": {}, "name": None}
+    fns = spark.createDataFrame(rows, FEATURES).withColumnsRenamed({"component": "product", "normalized_hash": "hash"}).withColumn("fn", F.col("entry").cast("string")).drop("entry")
+    old = lineage._structs(fns.where("fn < 30"), "old").withColumnRenamed("old_fn", "lineage")
+    new = lineage._structs(fns.where("fn >= 30"), "new").withColumnRenamed("new_fn", "fn")
+    none = F.array().cast("array<string>")
+    want = lineage.assess(lineage.paired(old, new).withColumns({"old_callers": none, "new_callers": none, "rollback": F.lit(False)})).select("product", "lineage", "fn", "status", "contradicted").collect()
+    assert {r["status"] for r in want} == {"CANDIDATE", "REJECTED"}
+    assert sorted(map(tuple, lineage.graded_pairs(old, new, block=block).collect())) == sorted(map(tuple, want))
+    assert sorted(map(tuple, lineage.graded_pairs(old, new, False, block=block).collect())) == sorted(tuple(r) for r in want if r["status"] != "REJECTED")
