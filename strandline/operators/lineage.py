@@ -169,16 +169,15 @@ def claimable(old: DataFrame, new: DataFrame) -> DataFrame:
     """Pairs (product, lineage, fn) that assess() may not reject.
 
     old: product, lineage, old, old_callers; new: product, fn, new, new_callers. An enough score needs
-    instruction counts within a factor of NEAR: classes of that factor and their neighbours are joined, in
-    blocks; equal code and common callers, whatever the size, are joined by themselves. Sets and maps stay
-    behind until a pair is possible.
+    instruction counts within a factor of NEAR: classes of that factor and their neighbours are graded in
+    blocks, and only what is not rejected is a pair; equal code and common callers, whatever the size, are joined
+    by themselves. There sets and maps stay behind until a pair is possible.
     """
     a = _kept(old.select("product", "lineage", _numbers(F.col("old"), "old_callers").alias("o")))
     b = _kept(new.select("product", "fn", _numbers(F.col("new"), "new_callers").alias("n")))
     size_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / F.log(F.lit(NEAR)) + 1e-9).cast("int")
-    own = size_class(F.col("o.insn_count"))
-    near = paired(a.withColumn("class", F.explode(F.sequence(own - 1, own + 1))), b.withColumn("class", size_class(F.col("n.insn_count"))), by=("product", "class"))
-    near = near.where(_possible(F.col("o"), F.col("n"))).select("product", "lineage", "fn")
+    own = size_class(F.col("old.insn_count"))
+    near = graded_pairs(old.withColumn("class", F.explode(F.sequence(own - 1, own + 1))), new.withColumn("class", size_class(F.col("new.insn_count"))), False, ("product", "class"), blocks.BLOCK).select("product", "lineage", "fn")
     key = lambda f, c: f.where(F.col(c).isNotNull()).withColumn("_k", F.col(c))
     equal = key(a, "o.normalized_hash").join(key(b, "n.normalized_hash"), ["product", "_k"]).where(_possible(F.col("o"), F.col("n"))).select("product", "lineage", "fn")
     met = a.withColumn("_k", F.explode("o.context")).join(b.withColumn("_k", F.explode("n.context")), ["product", "_k"]).where(_possible(F.col("o"), F.col("n"))).select("product", "lineage", "fn")

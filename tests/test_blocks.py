@@ -99,3 +99,13 @@ def test_grades_of_blocks_are_those_of_the_columns(spark, block):
     assert {r["status"] for r in want} == {"CANDIDATE", "REJECTED"}
     assert sorted(map(tuple, lineage.graded_pairs(old, new, block=block).collect())) == sorted(map(tuple, want))
     assert sorted(map(tuple, lineage.graded_pairs(old, new, False, block=block).collect())) == sorted(tuple(r) for r in want if r["status"] != "REJECTED")
+
+
+def test_claimable_pairs_of_equal_sizes_need_like_instructions(spark):
+    one = function(random.Random(1), 1, 0) | {"component": "p", "insn_count": 20, "normalized_hash": None, "strings": ["s1"], "imports": [], "cfg_hash": None, "name": None}
+    rows = [one | {"entry": 1, "mnemonics": {"a": 20}}, one | {"entry": 2, "mnemonics": {"b": 20}, "strings": ["s2"]}, one | {"entry": 3, "mnemonics": {"a": 19, "b": 1}, "strings": ["s2"]}]
+    fns = spark.createDataFrame(rows, FEATURES).withColumnsRenamed({"component": "product", "normalized_hash": "hash"}).withColumn("fn", F.col("entry").cast("string")).drop("entry")
+    none = F.array().cast("array<string>")
+    old = lineage._structs(fns.where("fn = '1'"), "old").withColumnRenamed("old_fn", "lineage").withColumn("old_callers", none)
+    new = lineage._structs(fns.where("fn <> '1'"), "new").withColumnRenamed("new_fn", "fn").withColumn("new_callers", none)
+    assert [r["fn"] for r in lineage.claimable(old, new).collect()] == ["3"]
