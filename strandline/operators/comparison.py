@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import changes, consensus, lineage, match, truth
+from . import blocks, changes, consensus, lineage, match, truth
 from .graph import _kept
 
 ENGINE = "features"
@@ -62,14 +62,15 @@ class Comparison:
     matches: DataFrame
 
 
-def compare(functions: DataFrame, steps: DataFrame, others: DataFrame | None = None, offers: bool = True) -> Comparison:
+def compare(functions: DataFrame, steps: DataFrame, others: DataFrame | None = None, offers: bool = True, kin: bool = False) -> Comparison:
     """Match both sides of all steps and reconcile what the engines say.
 
     Every step reads functions anew, so they should be kept rows.
     others: proposals of further engines, with product, part, left_build, right_build, engine, left, right,
     decision and families. A left function without a proposal is UNRESOLVED and keeps its best candidates; so
     is a right function that no match takes. Without offers nobody is looked for who is only a candidate, and all
-    candidates are empty; decisions do not depend on them.
+    candidates are empty; decisions do not depend on them. With kin they are looked for where a lineage can use them only:
+    for functions that are near a match in the call graph.
     """
     left, right, compared = sides(functions, steps)
     scored = _kept(match.match(left, right))
@@ -77,9 +78,10 @@ def compare(functions: DataFrame, steps: DataFrame, others: DataFrame | None = N
     proposals = scored.select("component", F.lit(ENGINE).alias("engine"), "left", "right", "decision", families.alias("families"))
     if others is not None:
         proposals = proposals.unionByName(others.join(compared, list(KEYS)).select(*proposals.columns))
-    found = _kept(match.leftovers(left, right, scored.select("component", "left", "right"))) if offers else left.sparkSession.createDataFrame([], match.OFFERS)
     silent = left.select("component", F.col("entry").alias("left")).join(scored.select("component", "left"), ["component", "left"], "left_anti")
     own = _kept(consensus.consensus(left.select("component", F.col("entry").alias("left")), proposals, silent.withColumn("engine", F.lit(ENGINE))))
+    asked = match.few(_kept(match.near_matches(left, right, own.where("right IS NOT NULL").select("component", "left", "right")))) if offers and kin else None
+    found = _kept(match.leftovers(left, right, scored.select("component", "left", "right"), asked=asked)) if offers else left.sparkSession.createDataFrame([], match.OFFERS)
     best = lambda side: consensus.candidates(found.where(F.col("side") == side).select("component", F.lit(ENGINE).alias("engine"), F.col("own").alias(side), "other", "score"), side)
     none = F.array().cast("array<struct<other: bigint, score: double>>")
     rows = own.join(best("left"), ["component", "left"], "left").withColumns({"side": F.lit("left"), "candidates": F.when(F.col("right").isNull(), F.coalesce("candidates", none)).otherwise(none)})
@@ -94,7 +96,7 @@ def compare(functions: DataFrame, steps: DataFrame, others: DataFrame | None = N
 def as_lineage(functions: DataFrame) -> DataFrame:
     """Functions as the fold takes them: names of functions are those of their builds and parts."""
     name = lambda c: F.transform(c, lambda e: F.concat_ws("|", "build", "part", e.cast("string")))
-    rest = ("insn_count", "mnemonics", "cfg_blocks", "cfg_edges", "cyclomatic", "cfg_hash", "callee_names", "imports", "strings", "constants", "name", "size")
+    rest = ("insn_count", "mnemonics", "cfg_blocks", "cfg_edges", "cyclomatic", "cfg_hash", "callee_names", "imports", "strings", "constants", "name", "size", *({blocks.FIXED} & set(functions.columns)))
     return functions.select("product", "build", function_id("build", "part", "entry").alias("fn"), F.col("normalized_hash").alias("hash"), name("callees").alias("callees"), name("callers").alias("callers"), *rest)
 
 
@@ -129,9 +131,9 @@ class Truth:
 def transition_scores(c: Comparison, t: Truth) -> DataFrame:
     """Per compared part that the truth knows: tp, fp, fn, precision, recall, f1, coverage, false_new, false_new_rate."""
     steps = t.relations.where("kind <> 'return'").select("product", "part", F.col("from").alias("left_build"), F.col("to").alias("right_build"), "kind", "left", "right")
-    known = steps.select(*KEYS).distinct().join(c.compared, list(KEYS))
+    known = _kept(steps.select(*KEYS).distinct().join(c.compared, list(KEYS)))
     named = t.functions.join(known.select("product", "part", F.col("left_build").alias("build"), "component"), ["product", "part", "build"]).select("component", F.col("address").alias("left"))
-    want = truth.required_pairs(steps.join(known, list(KEYS)).select("component", "kind", "left", "right"))
+    want = _kept(truth.required_pairs(steps.join(known, list(KEYS)).select("component", "kind", "left", "right")))
     ours = c.matches.join(known.select("component"), "component", "left_semi")
     predicted = ours.where("side = 'left'").join(named, ["component", "left"], "left_semi").select("component", "left", "right", "decision")
     seen = lambda f, side: f.join(known.select("component"), "component", "left_semi").select("component", F.lit(side).alias("side"), F.col("entry").alias("address"))

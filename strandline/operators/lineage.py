@@ -27,7 +27,7 @@ from ..functions.scalar import size_ratio
 from ..functions.stats import jaccard, weighted_mean
 from . import blocks
 from .graph import Grown, _kept, outliving, scratch
-from .match import MARGIN, STRONG, WEIGHTS, family_scores, greedy
+from .match import MARGIN, STRONG, WEIGHTS, family_scores, few, greedy
 
 #: Fixed values of the lineage rules.
 JOIN = ("EXACT", "STRONG", "PROBABLE")
@@ -137,9 +137,11 @@ def paired(old: DataFrame, new: DataFrame, block: int = PAIR_BLOCK, by: tuple[st
     return a.join(b, [*by, "_i", "_j"]).drop("_i", "_j")
 
 
-def _numbers(f: Column, callers: str) -> Column:
+def _numbers(functions: DataFrame, of: str, callers: str) -> Column:
     """What can be told of a function without its sets and maps: enough for an upper bound of its scores."""
-    items = F.size(F.array_distinct(F.concat(f["strings"], F.transform(f["constants"], lambda c: c.cast("string")))))
+    f = F.col(of)
+    prepared = blocks.FIXED in functions.schema[of].dataType.names
+    items = F.size(f[blocks.FIXED]["items"] if prepared else F.array_distinct(F.concat(f["strings"], F.transform(f["constants"], lambda c: c.cast("string")))))
     own = {c: f[c] for c in ("normalized_hash", "insn_count", "cfg_blocks", "cfg_edges", "cyclomatic", "cfg_hash", "name")}
     return F.struct(*(v.alias(k) for k, v in own.items()), F.size(f["callees"]).alias("callees"), F.size(f["callers"]).alias("callers"), items.alias("items"), F.col(callers).alias("context"))
 
@@ -173,8 +175,8 @@ def claimable(old: DataFrame, new: DataFrame) -> DataFrame:
     blocks, and only what is not rejected is a pair; equal code and common callers, whatever the size, are joined
     by themselves. There sets and maps stay behind until a pair is possible.
     """
-    a = _kept(old.select("product", "lineage", _numbers(F.col("old"), "old_callers").alias("o")))
-    b = _kept(new.select("product", "fn", _numbers(F.col("new"), "new_callers").alias("n")))
+    a = _kept(old.select("product", "lineage", _numbers(old, "old", "old_callers").alias("o")))
+    b = _kept(new.select("product", "fn", _numbers(new, "new", "new_callers").alias("n")))
     size_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / F.log(F.lit(NEAR)) + 1e-9).cast("int")
     own = size_class(F.col("old.insn_count"))
     near = graded_pairs(old.withColumn("class", F.explode(F.sequence(own - 1, own + 1))), new.withColumn("class", size_class(F.col("new.insn_count"))), False, ("product", "class"), blocks.BLOCK).select("product", "lineage", "fn")
@@ -284,7 +286,7 @@ def _step(k, rows, left, right, current, placed, lost, rollbacks):
 
     # right functions nobody claims: called by the heir of a function that they resemble, they split off it
     free = rows.where("right IS NOT NULL").select("product", "right_build", "right").distinct().join(taken, ["product", "right"], "left_anti").join(joined, ["product", "right"], "left_anti")
-    free = _kept(free.join(now.select("product", F.col("fn").alias("right"), "callers"), ["product", "right"]))
+    free = few(_kept(free.join(now.select("product", F.col("fn").alias("right"), "callers"), ["product", "right"])))
     offers = rows.where("right IS NOT NULL").select("product", "right", F.explode("candidates").alias("c")).select("product", "right", F.col("c.other").alias("parent"), F.col("c.score").alias("score")).where(F.col("score") >= SPLIT_MIN)
     called = free.select("product", "right_build", "right", F.explode("callers").alias("heir"))
     child = called.join(parents, ["product", "heir"]).join(offers, ["product", "right", "parent"])
@@ -299,7 +301,7 @@ def _step(k, rows, left, right, current, placed, lost, rollbacks):
     a = lost.join(compared.select("product"), "product", "left_semi").select("product", "lineage", "old", "old_callers")
     b = free.join(new_callers, ["product", "right"], "left").join(_structs(right, "new").withColumnRenamed("new_fn", "right"), ["product", "right"]).select("product", "right_build", F.col("right").alias("fn"), "new", F.coalesce("new_callers", none).alias("new_callers"))
     ids = _kept(claimable(a, b))
-    pairs = ids.join(a, ["product", "lineage"]).join(b, ["product", "fn"])
+    pairs = few(ids).join(a, ["product", "lineage"]).join(b, ["product", "fn"])
     if rollbacks is None:
         pairs = pairs.withColumn("rollback", F.lit(False))
     else:
@@ -329,7 +331,7 @@ def _step(k, rows, left, right, current, placed, lost, rollbacks):
     kept = continued.unionByName(absorbed.select("product", "left"))
     seen = rows.where("left IS NOT NULL").select("product", "right_build", "left").distinct()
     gone = cur.join(kept, ["product", "left"], "left_anti").join(fresh.select("product", "lineage"), ["product", "lineage"], "left_anti").join(seen, ["product", "left"])
-    gone = _kept(gone.select("product", "right_build", "left", "lineage"))
+    gone = few(_kept(gone.select("product", "right_build", "left", "lineage")))
 
     def shaped(df: DataFrame, fn: str, relation: Column) -> DataFrame:
         return df.select("product", F.col("right_build").alias("build"), "lineage", F.col(fn).alias("fn"), relation.alias("relation"), F.lit(k).alias("step"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from test_engine import FEATURES, function
 
 from strandline.operators import blocks, comparison, features, lineage, match
+from strandline.operators.graph import _kept
 from strandline.plans import benchmarks
 from strandline.session import table
 
@@ -109,3 +110,21 @@ def test_claimable_pairs_of_equal_sizes_need_like_instructions(spark):
     old = lineage._structs(fns.where("fn = '1'"), "old").withColumnRenamed("old_fn", "lineage").withColumn("old_callers", none)
     new = lineage._structs(fns.where("fn <> '1'"), "new").withColumnRenamed("new_fn", "fn").withColumn("new_callers", none)
     assert [r["fn"] for r in lineage.claimable(old, new).collect()] == ["3"]
+
+
+def test_prepared_functions_have_the_numbers_and_scores_of_whole_ones(spark):
+    left, right = features.documents_as_functions(table(spark, SF, "documents"))
+    matched = _kept(left.select("component", F.col("entry").alias("left")).join(right.select("component", F.col("entry").alias("right")), "component").where("right = left + 20"))
+    for f, g in zip(match.with_matched_callees(left, right, matched), match.with_matched_callees(blocks.prepared(left), blocks.prepared(right), matched)):
+        sets = lambda r: [tuple(sorted(v)) if k in ("called", "items") and v is not None else v for k, v in r.asDict().items()]
+        assert sorted(map(sets, blocks.numbers(f, "entry").collect()), key=str) == sorted(map(sets, blocks.numbers(g, "entry").collect()), key=str)
+    plain, hashed = (sorted(map(tuple, match.match(*sides).select("component", "left", "right", "decision", "score", *match.WEIGHTS).collect()), key=str) for sides in ((left, right), (blocks.prepared(left), blocks.prepared(right))))
+    assert plain == hashed and plain
+
+
+def test_only_functions_near_a_match_are_looked_for_where_lineages_ask(spark):
+    f = lambda rows: spark.createDataFrame(rows, "component string, entry long, callees array<bigint>, callers array<bigint>")
+    left = f([("c", 1, [2], [9]), ("c", 2, [], [1]), ("c", 3, [1], []), ("c", 4, [], [9]), ("c", 5, [6], [7]), ("d", 2, [], [1])])
+    right = f([("c", 11, [12], []), ("c", 12, [], [11]), ("c", 13, [11], []), ("d", 12, [], [11])])
+    near = match.near_matches(left, right, spark.createDataFrame([("c", 1, 11)], "component string, left long, right long"))
+    assert sorted((r["component"], r["side"], r["entry"]) for r in near.collect()) == [("c", "left", 1), ("c", "left", 2), ("c", "left", 3), ("c", "left", 4), ("c", "right", 12)]
