@@ -3,15 +3,17 @@
 import random
 from decimal import ROUND_HALF_UP, Decimal
 
+import duckdb
 import numpy as np
 import pytest
 from oracle import SF
 from pyspark.sql import functions as F
 from test_engine import FEATURES, function
 
+from strandline.functions import scalar, stats
 from strandline.operators import blocks, comparison, features, lineage, match
 from strandline.operators.graph import _kept
-from strandline.plans import benchmarks
+from strandline.plans import analytics, benchmarks
 from strandline.session import table
 
 CALLS = "component string, left long, right long"
@@ -128,3 +130,31 @@ def test_only_functions_near_a_match_are_looked_for_where_lineages_ask(spark):
     right = f([("c", 11, [12], []), ("c", 12, [], [11]), ("c", 13, [11], []), ("d", 12, [], [11])])
     near = match.near_matches(left, right, spark.createDataFrame([("c", 1, 11)], "component string, left long, right long"))
     assert sorted((r["component"], r["side"], r["entry"]) for r in near.collect()) == [("c", "left", 1), ("c", "left", 2), ("c", "left", 3), ("c", "left", 4), ("c", "right", 12)]
+
+
+@pytest.mark.parametrize("block", [5, 1024])
+def test_item_scores_of_blocks_are_those_of_the_columns(spark, block):
+    left, right = (side.localCheckpoint() for side in features.documents_as_functions(table(spark, SF, "documents")))
+    l, r = F.col("l"), F.col("r")  # noqa: E741
+    parts = lambda c: F.floor(c * 10000 + 0.000001).cast("long")
+    pairs = match.candidates(left, right)
+    want = pairs.select("component", l["entry"], r["entry"], parts(stats.jaccard_of_sets(l["strings"], r["strings"])), parts(scalar.size_ratio(l["insn_count"], r["insn_count"]))).collect()
+    got = match.item_scores(left, right, block=block)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 100
+
+
+def test_family_scores_pair_documents_of_every_size_with_those_of_none(spark, tmp_path):
+    texts = [None, "", "7 7", "one", "one\none\ntwo", "a b c d e f g h\none", None, " ".join("word" * 40), "x\n" * 30, "one\ntwo"]
+    rows = [(k, texts[k * 7 // 20 % 10 if k % 3 else k % 10], "en", "s1") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    out = analytics.family_scores(spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in out.columns)} FROM ({analytics.SQL['family_scores']})").fetchall()
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and any(None in r for r in want)
+
+
+def test_family_scores_deal_the_pairs_of_a_component_to_blocks(spark):
+    plan = analytics.family_scores(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "FlatMapCoGroupsInArrow" in plan
