@@ -1,11 +1,16 @@
 """The whole comparison of the registered queries, on their own tables, against plain Python."""
 
+import re
+from collections import Counter
+
+import test_engine
 from oracle import SF
 from plain import families, plain_fold, weighted
 from test_engine import plain_match
 
+from strandline.operators import features
 from strandline.operators.graph import _kept
-from strandline.plans import benchmarks
+from strandline.plans import analytics, benchmarks
 from strandline.session import table
 
 
@@ -74,3 +79,53 @@ def test_the_chain_over_documents_is_that_of_plain_python(spark):
     out = benchmarks.QUERIES["compared_lineages"](spark, SF).collect()
     assert sorted((r["product"], r["build"], r["fn"], r["relation"], r["step"]) for r in out) == sorted(rows)
     assert {(r["product"], r["part"], r["left_build"]): (r["functions_left"], r["functions_right"], r["unresolved_left"], r["unresolved_right"], r["modified_functions"], r["cyclomatic_delta_sum"]) for r in benchmarks.QUERIES["compared_changes"](spark, SF).collect()} == changed
+
+
+def plain_functions(docs):
+    """component -> the functions of its two sides, from the texts alone."""
+    out, names = {}, {}
+    for d in docs:
+        words = re.findall("[a-z]+", d["text"].lower())
+        lines, kinds, e = d["text"].split("\n"), set(words), d["doc_id"]
+        component = f"{d['lang']}:{d['source']}"
+        name = words[0] if words and len(words[0]) >= 4 else None
+        f = {
+            "entry": e, "insn_count": len(words), "mnemonics": dict(Counter(words)), "hash": "".join(words) or None, "cfg_hash": None, "cfg_blocks": len(lines), "cfg_edges": len(kinds), "cyclomatic": max(1, len(kinds) - len(lines) + 2),
+            "callees": [e + 40, e + 80], "callers": [e - 40, e - 80], "imports": {w for w in kinds if len(w) >= 12}, "strings": set(lines), "constants": set(re.findall("[0-9]+", d["text"])), "name": name,
+        }
+        names[component, e] = name
+        out.setdefault(component, ([], []))[e // 20 % 2].append(f | {"normalized_hash": f["hash"]})
+    for component, sides in out.items():
+        for f in (*sides[0], *sides[1]):
+            f["callee_names"] = {names.get((component, c)) for c in f["callees"]} - {None}
+    return out
+
+
+def test_documents_have_their_digit_runs_and_the_names_of_what_they_call(spark):
+    docs = table(spark, SF, "documents")
+    want = {f["entry"]: (f["constants"], f["callee_names"]) for sides in plain_functions(docs.collect()).values() for side in sides for f in side}
+    got = [r for side in features.documents_as_functions(docs) for r in features.with_callee_names(side).select("entry", "constants", "callee_names").collect()]
+    assert {r["entry"]: (set(r["constants"]), set(r["callee_names"])) for r in got} == want and len(got) == len(want)
+    assert any(c for c, _ in want.values()) and any(n for _, n in want.values())
+
+
+def test_documents_are_matched_by_all_that_they_hold(spark, monkeypatch):
+    def score(l, r, matched):  # noqa: E741
+        ends = set(matched.values())
+        return weighted(families(l, r, ({matched[c] for c in l["callees"] if c in matched}, {c for c in r["callees"] if c in ends})))
+
+    monkeypatch.setattr(test_engine, "plain_score", score)
+    plain = plain_functions(table(spark, SF, "documents").collect())
+    want = {(c, a): m for c, sides in plain.items() for a, m in plain_match(*sides).items()}
+    got = {(r["component"], r["left"]): (r["right"], r["decision"], round(r["score"], 3)) for r in analytics.feature_match(spark, SF).collect()}
+    assert got == want and got
+
+
+def test_constants_and_names_of_calls_weigh_in_a_match(spark, tmp_path):
+    rows = [(0, "alpha one two three 11 12"), (20, "alpha one two four 11 12"), (40, "called one"), (60, "called two"), (80, "zz"), (100, "zz")]
+    docs = spark.createDataFrame([(k, t, "en", "s0", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["left"]: r["score"] for r in analytics.feature_match(spark, str(tmp_path)).collect()}
+    left, right = plain_functions(docs.collect())["en:s0"]
+    assert found[0] == weighted(families(left[0], right[0], ({60, 100}, {60, 100})))
+    assert families(left[0], right[0])["data-reference"] == 0.5
